@@ -100,11 +100,15 @@ def steps() -> list[dict[str, str]]:
 
 
 def stem_vocabulary(words: DataFrame, token: str = "token") -> DataFrame:
-    """(token) to (token, stem), one row a row of ``words``."""
-    out = words.select(F.col(token).alias("token"))
+    """(token) to (token, stem), one row a distinct token.
+
+    The last aggregate keeps the partitioning of the distinct below and costs no
+    shuffle. It is there because the optimizer would otherwise push conditions
+    on the stem down through all steps, substituting each into the next."""
+    out = words.select(F.col(token).alias("token")).distinct()
     for step in steps():
         out = out.withColumns({k: F.expr(v) for k, v in step.items()})
-    return out.select("token", "stem")
+    return out.groupBy("token").agg(F.max("stem").alias("stem"))
 
 
 def duckdb_ctes(source: str, name: str = "stems") -> str:

@@ -22,7 +22,7 @@ def stages(fields_: DataFrame, analyzer: Analyzer) -> DataFrame:
     )
     rows = base.select("doc_id", "site", F.inline(arrays)).select("doc_id", "site", "etapa", F.explode("t").alias("token"))
     kept = rows.where((F.col("etapa") == "normalizados") & ~F.col("token").isin(*STOPWORDS)).withColumn("etapa", F.lit("sem_stopwords"))
-    vocabulary = stem_vocabulary(kept.select("token").distinct())
+    vocabulary = stem_vocabulary(kept)
     stems = kept.join(vocabulary, "token").select("doc_id", "site", F.lit("stems").alias("etapa"), F.col("stem").alias("token"))
     return rows.unionByName(kept).unionByName(stems)
 

@@ -24,7 +24,7 @@ def bucket_number(term: str, partitions: int) -> int:
 def with_stems(rows: DataFrame, token: str = "token") -> DataFrame:
     """Replace the token column by the index term. The stemmer runs once for
     every distinct token; Spark broadcasts the vocabulary where it is small."""
-    vocabulary = stem_vocabulary(rows.select(F.col(token).alias("token")).distinct())
+    vocabulary = stem_vocabulary(rows, token)
     return rows.join(vocabulary.withColumnRenamed("token", token), token).drop(token).withColumnRenamed("stem", "term")
 
 
@@ -72,7 +72,8 @@ def build(projects: DataFrame, config: IndexConfig) -> Index:
 
 def field_mask(tf: Column) -> Column:
     """1, 2, 4, 8 for the fields a posting occurs in."""
-    return F.aggregate(F.transform(tf, lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1), i)).otherwise(0)), F.lit(0), lambda a, x: a.bitwiseOR(x))
+    bits = F.transform(tf, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1), i)).otherwise(0))
+    return F.aggregate(bits, F.lit(0), lambda a, x: a.bitwiseOR(x))
 
 
 def gaps(postings: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def query_terms(queries: DataFrame, analyzer: Analyzer) -> DataFrame:
     often each occurs and where it occurs first."""
     tokens = queries.select("qid", F.posexplode(analyzer.terms(F.col("text"))).alias("pos", "token"))
     if analyzer.stemming:
-        tokens = tokens.join(stem_vocabulary(tokens.select("token").distinct()), "token").withColumnRenamed("stem", "term")
+        tokens = tokens.join(stem_vocabulary(tokens), "token").withColumnRenamed("stem", "term")
     else:
         tokens = tokens.withColumnRenamed("token", "term")
     return tokens.groupBy("qid", "term").agg(F.count("*").alias("qtf"), F.min("pos").alias("pos"))
