@@ -291,10 +291,16 @@ def oracle_sql() -> dict[str, str]:
         "requeue": f"with l as (select distinct url from visitadas where {_CODE} = 'soft404'), b as (select url from l where url not in (select url from fila)), q as (select url from fila union all select url from b) select count(*) fila, count(distinct url) urls, (select count(*) from visitadas where url not in (select url from l)) visitas from q",
         "seed_cross": "select (p - 1) * 5 + i ordem, 'https://gh.example/topics/' || t || case when p > 1 then '?page=' || p else '' end url from (select unnest(generate_series(1, 30)) p), (select unnest(['python', 'rust', 'search', 'games', 'editor']) t, unnest([0, 1, 2, 3, 4]) i)",
         "hint_left_join": f"with pi as (select 0 id, url, case when json_valid(dados) then coalesce(json_extract_string(dados, '$.linguagem'), json_extract_string(dados, '$.language')) end l from pistas), {_canonical('pi', 'id, url, l')}, h as (select canonica, min(l) l from canon where l is not null group by 1) select p.id, coalesce(p.linguagem, h.l) linguagem, p.linguagem is null and h.l is not null de_pista from projetos p left join h on h.canonica = p.url",
-        "robots_match": r"""with u as (select id, regexp_extract(url, '^https?://([^/?#]*)', 1) h, coalesce(nullif(regexp_replace(url, '^https?://[^/?#]*', ''), ''), '/') p from fila),
+        "robots_match": r"""with u as (select id, row_number() over () rn, regexp_extract(url, '^https?://([^/?#]*)', 1) h, coalesce(nullif(regexp_replace(url, '^https?://[^/?#]*', ''), ''), '/') p from fila),
           r(h, a, x, w) as (values ('gh.example', true, '^', 0), ('gh.example', false, '^/.*/c', 4), ('gh.example', true, '^/topics/', 8), ('gh.example', false, '^/topics/.*[?]page=1', 16),
             ('sf.example', true, '^', 0), ('sf.example', false, '^/directory/', 11), ('sf.example', true, '^/directory/.*page=2', 18), ('sf.example', false, '^/projects/.*-cache', 17)),
-          m as (select u.id, u.h, u.p, max(case when regexp_matches(u.p, r.x) then r.w * 2 + r.a::int end) b from u left join r on r.h = u.h group by 1, 2, 3, u.rowid) select id, coalesce(b % 2 = 1, false) allowed from m""".replace(", u.rowid", ""),
+          m as (select u.rn, u.id, max(case when regexp_matches(u.p, r.x) then r.w * 2 + r.a::int end) b from u left join r on r.h = u.h group by 1, 2) select id, coalesce(b % 2 = 1, false) allowed from m""",
+        "to_int": r"""with t as (select url, json_extract_string(dados, '$.estrelas') texto from pistas where json_valid(dados)),
+          r as (select url, texto, lower(regexp_replace(regexp_extract(texto, '[0-9.,]+\s*[kKmM]?', 0), '\s', '', 'g')) r from t where texto is not null),
+          b as (select *, replace(regexp_replace(r, '[km]$', ''), ',', '') x from r)
+          select url, texto, case when ends_with(r, 'k') then floor(try_cast(x as double) * 1000)::bigint when ends_with(r, 'm') then floor(try_cast(x as double) * 1000000)::bigint else try_cast(replace(x, '.', '') as bigint) end valor from b""",
+        "stream_dedup": f"with {_canonical('fila', 'id, url, site')} select distinct canonica, site from canon",
+        "stream_hourly": f"select strftime(date_trunc('hour', coletado_em::timestamptz at time zone 'UTC'), '%Y-%m-%d %H:%M') hora, site, count(status_http) paginas, count(*) filter ({_CODE} = 'projeto') projetos from visitadas group by 1, 2",
         "outcome_histogram": f"select site, {_CODE} resultado, count(*) n from visitadas group by 1, 2",
         "status_histogram": "select site, status_http, count(*) n from visitadas where status_http is not null group by 1, 2",
         "error_count": f"select count(status_http) baixadas, coalesce(sum(bytes), 0)::bigint bytes, count(*) filter ({_CODE} in ('erro_http', 'erro_rede')) erros, min(coletado_em) primeira, max(coletado_em) ultima from visitadas",

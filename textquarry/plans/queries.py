@@ -512,7 +512,8 @@ def stream_incident(spark, sf_dir):
 def stream_hourly(spark, sf_dir):
     from textquarry.streaming.crawl import hourly_counts, run_available
 
-    return run_available(hourly_counts(_stream(spark, sf_dir, "visitadas")), "hourly", mode="complete")
+    counts = run_available(hourly_counts(_stream(spark, sf_dir, "visitadas")), "hourly", mode="complete")
+    return counts.withColumn("hora", F.date_format("hora", "yyyy-MM-dd HH:mm"))
 
 
 def queries() -> dict:
