@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from textquarry.functions.cleaning import clean_text
 from textquarry.functions.lexical import FIELDS, Analyzer
+from textquarry.functions.plan import once
 from textquarry.functions.stemmer import stem_vocabulary
 from textquarry.functions.stopwords import STOPWORDS
 
@@ -20,7 +21,7 @@ def stages(fields_: DataFrame, analyzer: Analyzer) -> DataFrame:
         F.struct(F.lit("tokens").alias("etapa"), analyzer.tokens(F.col("text")).alias("t")),
         F.struct(F.lit("normalizados").alias("etapa"), normal.alias("t")),
     )
-    rows = base.select("doc_id", "site", F.inline(arrays)).select("doc_id", "site", "etapa", F.explode("t").alias("token"))
+    rows = once(base, "doc_id", "site", stages=arrays).select("doc_id", "site", F.inline("stages")).select("doc_id", "site", "etapa", F.explode("t").alias("token"))
     kept = rows.where((F.col("etapa") == "normalizados") & ~F.col("token").isin(*STOPWORDS)).withColumn("etapa", F.lit("sem_stopwords"))
     vocabulary = stem_vocabulary(kept)
     stems = kept.join(vocabulary, "token").select("doc_id", "site", F.lit("stems").alias("etapa"), F.col("stem").alias("token"))

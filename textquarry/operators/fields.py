@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textquarry.functions.lexical import FIELDS, Analyzer
+from textquarry.functions.plan import once
 
 SNIPPET = 300
 FIELD_GAP = 100
@@ -72,8 +73,8 @@ def metadata(projects: DataFrame) -> DataFrame:
 
 
 def analyzed(fields_: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """The fields as arrays of unstemmed terms, one projection a row."""
-    return fields_.select("doc_id", "site", *[analyzer.terms(F.col(f), f).alias(f) for f in FIELDS])
+    """The fields as arrays of unstemmed terms."""
+    return once(fields_, "doc_id", "site", **{f: analyzer.terms(F.col(f), f) for f in FIELDS})
 
 
 def _segment(number: int, terms: Column, base: Column) -> Column:

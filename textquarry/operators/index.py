@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from textquarry.functions.stemmer import stem_vocabulary
@@ -30,8 +31,8 @@ def with_stems(rows: DataFrame, token: str = "token") -> DataFrame:
 
 def occurrences(unit_rows: DataFrame) -> DataFrame:
     """(doc_id, unit_no, field, pos, token)."""
-    segment = unit_rows.select("doc_id", "unit_no", F.inline("segments"))
-    return segment.select("doc_id", "unit_no", "field", "base", F.posexplode("terms").alias("at", "token")).select("doc_id", "unit_no", "field", (F.col("base") + F.col("at")).alias("pos"), "token")
+    segment = unit_rows.select("doc_id", "unit_no", F.inline_outer("segments"))
+    return segment.select("doc_id", "unit_no", "field", "base", F.posexplode_outer("terms").alias("at", "token")).where("token is not null").select("doc_id", "unit_no", "field", (F.col("base") + F.col("at")).alias("pos"), "token")
 
 
 @dataclass
@@ -44,12 +45,20 @@ class Index:
     positions: DataFrame | None  # term, unit_id, field, pos: array<int>
     lexicon: DataFrame  # term, df, cf
     documents: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give back what ``build`` keeps in memory and on disk."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def build(projects: DataFrame, config: IndexConfig) -> Index:
     """The index of a table of projects."""
     config.validate()
-    rows = units(analyzed(spread(field_view(projects)), config.analyzer), config)
+    # kept, as lengths, postings and positions each read them; lost partitions
+    # are computed again from the projects
+    rows = units(analyzed(spread(field_view(projects)), config.analyzer), config).persist(StorageLevel.MEMORY_AND_DISK)
     n = len(config.fields)
     lengths = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda f: F.aggregate(F.filter("segments", lambda s: s["field"] == f), F.lit(0), lambda a, s: a + F.size(s["terms"])))
     sized = rows.withColumn("len", lengths).select("doc_id", "unit_no", "kind", "len")
@@ -63,11 +72,11 @@ def build(projects: DataFrame, config: IndexConfig) -> Index:
         packed = packed.withColumnRenamed("token", "term")
     packed = packed.join(numbered.select("doc_id", "unit_no", "unit_id"), ["doc_id", "unit_no"])
     tf = F.array(*[F.sum(F.when(F.col("field") == i, F.col("tf")).otherwise(0)).cast("int") for i in range(n)])
-    postings = packed.groupBy("term", "unit_id").agg(tf.alias("tf"))
+    postings = packed.groupBy("term", "unit_id").agg(tf.alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
     positions = packed.groupBy("term", "unit_id", "field").agg(F.sort_array(F.flatten(F.collect_list("pos"))).alias("pos")) if config.positions else None
     total = F.aggregate("tf", F.lit(0), lambda a, x: a + x)
     lexicon = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(total).alias("cf"))
-    return Index(config, numbered, postings, positions, lexicon, metadata(projects))
+    return Index(config, numbered, postings, positions, lexicon, metadata(projects), (rows, postings))
 
 
 def field_mask(tf: Column) -> Column:

@@ -67,7 +67,7 @@ def cjk_bigrams(spark, sf_dir):
 
 
 def _token_counts(arrays):
-    return arrays.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return arrays.select(F.explode_outer("t").alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("n"))
 
 
 def normalize_filter_tokens(spark, sf_dir):
