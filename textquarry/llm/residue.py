@@ -23,6 +23,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textquarry.functions.plan import once
 from textquarry.llm import residue_exemplars as ex
 from textquarry.llm.text import wide_enough
 
@@ -96,8 +97,9 @@ def template_residue(values: DataFrame, *, threshold: float = THRESHOLD) -> Data
     spark = values.sparkSession
     rows = _exemplars()
     vocabulary = sorted({t for r in rows for t in r[2]})
-    base = wide_enough(values.where(F.trim("valor") != "")).select("tabela", "chave", residue_tokens(F.col("valor")).alias("tok"), F.xxhash64("valor").alias("vh"))
-    base = base.select("tabela", "chave", "vh", F.size("tok").alias("words"), F.expr("transform(tok, t -> t)").alias("tok")).where("words > 0")
+    texts = wide_enough(values.where(F.trim("valor") != ""))
+    base = once(texts, "tabela", "chave", tok=residue_tokens(F.col("valor")), vh=F.xxhash64("valor"))
+    base = base.select("tabela", "chave", "vh", F.size("tok").alias("words"), "tok").where("words > 0")
 
     # document frequencies of the index's terms over all values, one pass
     vocab = spark.createDataFrame([(t,) for t in vocabulary], "term string")
@@ -130,10 +132,9 @@ def template_residue(values: DataFrame, *, threshold: float = THRESHOLD) -> Data
     index_df = spark.createDataFrame(index, "term string, e int, share double")
     info_df = spark.createDataFrame(info, "e int, scope string, len int")
     hits = (
-        base.withColumn("terms", _value_terms(F.col("tok")))
+        once(base, "tabela", "chave", "vh", "words", terms=_value_terms(F.col("tok")))
         .where(F.arrays_overlap(F.transform("terms", lambda s: s["term"]), F.array(*[F.lit(k) for k in sorted(keys)])))
-        .select("tabela", "chave", "vh", "words", F.explode("terms").alias("t"))
-        .select("tabela", "chave", "vh", "words", "t.at", "t.term")
+        .select("tabela", "chave", "vh", "words", F.inline_outer("terms"))
         .join(F.broadcast(index_df), "term")
         .join(F.broadcast(info_df), "e")
         # every stretch of one length lies in one of the half-overlapping windows of two
