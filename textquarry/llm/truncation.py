@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textquarry.functions.plan import once
 from textquarry.llm.text import wide_enough
 
 FORMULA_SHARE = 0.0003
@@ -93,8 +94,14 @@ def length_limits(texts: DataFrame) -> DataFrame:
 def _endings(texts: DataFrame) -> DataFrame:
     """The features of every text's end."""
     body = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"\s+$", "")
-    base = wide_enough(texts.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")).select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), F.xxhash64("text").alias("th"), F.split(body, "\n").alias("lines")
+    base = once(
+        wide_enough(texts.where(F.col("text").rlike(r"\S"))),
+        "doc_id",
+        source=F.coalesce("source", F.lit("")),
+        chars=F.length("text").cast("long"),
+        bytes=F.octet_length("text").cast("long"),
+        th=F.xxhash64("text"),
+        lines=F.split(body, "\n"),
     )
     last = F.element_at("lines", -1)
     above = F.coalesce(F.try_element_at("lines", F.lit(-2)), F.lit(""))
