@@ -38,6 +38,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textquarry.functions.plan import once
 from textquarry.llm.text import wide_enough
 from textquarry.session import cut
 
@@ -79,9 +80,8 @@ def records(table: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.lower("descricao"), F.lit(r"\p{L}+(?:-\p{L}+)*"), F.lit(0))
     # the record's own name says nothing new where its description repeats it
     words = F.filter(words, lambda w: (F.length(w) < 3) | ~F.contains(key, w))
-    base = wide_enough(table.select("id", "site", "nome", "descricao", "linguagem", "licenca")).select(
-        F.col("id").cast("long").alias("id"), "site", key.alias("nk"), words.alias("dw"), F.lower(F.trim("linguagem")).alias("lg"), licence_family(F.col("licenca")).alias("lc")
-    )
+    base = table.select(F.col("id").cast("long").alias("id"), "site", "nome", "descricao", "linguagem", "licenca")
+    base = once(wide_enough(base), "id", "site", nk=key, dw=words, lg=F.lower(F.trim("linguagem")), lc=licence_family(F.col("licenca")))
     base = base.where((F.length("nk") > 0) & (F.size("dw") > 0) & F.col("site").isNotNull()).dropDuplicates(["id"])
     padded = F.concat(F.lit("^"), F.col("nk"), F.lit("$"))
     grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))

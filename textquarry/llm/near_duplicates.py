@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from textquarry.functions.plan import once
 from textquarry.llm.text import wide_enough, words
 from textquarry.session import cut
 
@@ -93,8 +94,7 @@ def _sketcher(width: int, slots: int, blocks: int, seed: int):
 def sketches(texts: DataFrame, *, width: int = 3, min_tokens: int = 25, slots: int = SLOTS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """(campo, id, text) to one fingerprint a row, cut from its lineage."""
     toks = (
-        wide_enough(texts.select("campo", "id", "text").where(F.col("text").isNotNull()))
-        .select("campo", "id", words(F.col("text")).alias("w"))
+        once(wide_enough(texts.select("campo", "id", "text").where(F.col("text").isNotNull())), "campo", "id", w=words(F.col("text")))
         .where(F.size("w") >= min_tokens)
         .select("campo", "id", F.transform("w", lambda t: F.xxhash64(t)).alias("toks"))
     )
