@@ -71,9 +71,9 @@ def ideograph_bigrams(tokens: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
-    """Letters of the Latin, Greek and Cyrillic blocks whose base, without its
-    accents, is another single letter."""
-    blocks = [(0x00C0, 0x024F), (0x0370, 0x03FF), (0x0400, 0x04FF), (0x1E00, 0x1EFF), (0x1F00, 0x1FFF)]
+    """Letters of the Latin, Greek, Cyrillic and kana blocks whose base, without
+    its accents, is another single letter."""
+    blocks = [(0x00C0, 0x024F), (0x0370, 0x03FF), (0x0400, 0x04FF), (0x1E00, 0x1EFF), (0x1F00, 0x1FFF), (0x3040, 0x30FF)]
     source, target = [], []
     for low, high in blocks:
         for code in range(low, high + 1):
@@ -88,7 +88,7 @@ def _fold_table() -> tuple[str, str]:
 def fold(token: Column) -> Column:
     """Case folded and without accents."""
     source, target = _fold_table()
-    return F.regexp_replace(F.replace(F.translate(F.lower(token), source, target), F.lit("ß"), F.lit("ss")), r"[\x{0300}-\x{036F}]", "")
+    return F.regexp_replace(F.replace(F.translate(F.lower(token), source, target), F.lit("ß"), F.lit("ss")), r"[\x{0300}-\x{036F}\x{3099}\x{309A}]", "")
 
 
 @dataclass(frozen=True)
