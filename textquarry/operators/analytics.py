@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from textquarry.functions.cleaning import clean_text
@@ -21,7 +22,9 @@ def stages(fields_: DataFrame, analyzer: Analyzer) -> DataFrame:
         F.struct(F.lit("tokens").alias("etapa"), analyzer.tokens(F.col("text")).alias("t")),
         F.struct(F.lit("normalizados").alias("etapa"), normal.alias("t")),
     )
-    rows = once(base, "doc_id", "site", stages=arrays).select("doc_id", "site", F.inline("stages")).select("doc_id", "site", "etapa", F.explode("t").alias("token"))
+    # kept in memory or on disk: three branches read it
+    made = once(base, "doc_id", "site", stages=arrays).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = made.select("doc_id", "site", F.inline("stages")).select("doc_id", "site", "etapa", F.explode("t").alias("token"))
     kept = rows.where((F.col("etapa") == "normalizados") & ~F.col("token").isin(*STOPWORDS)).withColumn("etapa", F.lit("sem_stopwords"))
     vocabulary = stem_vocabulary(kept)
     stems = kept.join(vocabulary, "token").select("doc_id", "site", F.lit("stems").alias("etapa"), F.col("stem").alias("token"))
@@ -78,8 +81,9 @@ def top_terms(lexicon: DataFrame, documents: int | None = None, k: int = 40) ->
 def heaps_curve(occurrences_: DataFrame, width: int = 256) -> DataFrame:
     """(doc_id, tokens, vocabulario): running totals in document order. The
     counts are summed by ranges of documents first, then inside each range."""
-    firsts = occurrences_.groupBy("term").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("novos"))
-    sizes = occurrences_.groupBy("doc_id").agg(F.count("*").alias("n"))
+    counted = occurrences_.groupBy("doc_id", "term").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    firsts = counted.groupBy("term").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("novos"))
+    sizes = counted.groupBy("doc_id").agg(F.sum("n").alias("n"))
     per = sizes.join(firsts, "doc_id", "left").select("doc_id", "n", F.coalesce("novos", F.lit(0)).alias("novos"), F.floor(F.col("doc_id") / width).alias("faixa"))
     totals = per.groupBy("faixa").agg(F.sum("n").alias("tn"), F.sum("novos").alias("tv"))
     before = Window.orderBy("faixa").rowsBetween(Window.unboundedPreceding, -1)
