@@ -149,6 +149,16 @@ def test_platt_keeps_order():
     assert slope > 0 and -3 < offset < 1
 
 
+def test_calibration_by_chance_labels():
+    """Agreement by chance among many pairs that are no match moves no cut."""
+    rng = np.random.default_rng(3)
+    for n in (20, 20_000):
+        z = np.concatenate([rng.normal(6, 1, 300), rng.normal(-12, 2, n)])
+        y = np.concatenate([np.ones(300), rng.random(n) < 0.02]).astype(float)
+        slope, offset, _ = em.noisy_platt(z, y)
+        assert slope > 0.5 and abs(offset / slope) < 3
+
+
 # -------------------------------------------------------- term statistics
 
 

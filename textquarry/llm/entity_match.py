@@ -20,10 +20,10 @@ early they stand.
    containment of the descriptions, cosine of the records' vectors, agreement
    of language and licence.
 4. The cosines and containments are calibrated to a confidence by a logistic
-   curve, fitted to a bounded sample of candidates (``CALIBRATION_ROWS``) whose
-   language and licence both agree or both disagree: agreement by chance is
-   rare, so it labels the sample without using the scores. Where the sample has
-   fewer than ``MIN_LABELS`` of either label, the raw score stays as it is.
+   curve, drawn towards the raw score and fitted to a bounded sample of
+   candidates (``CALIBRATION_ROWS``), the same number at every raw score, whose
+   language and licence both agree or both disagree. The rate of agreement by
+   chance is fitted with it. The rule is one for every size of input.
 
 Defined results: records without a name or description take part in no pair; a
 null language or licence says nothing; a record collected again is matched
@@ -296,7 +296,7 @@ CONSTANT = -12.5
 AGREEMENT = 1.2
 # both views must speak for a match: (least value, weight of what is missing)
 LEAST = {"dice": (0.7, 12.0), "back": (0.2, 20.0)}
-MIN_LABELS = 30
+STRATA = 32
 
 
 def platt(z: np.ndarray, y: np.ndarray, strength: float = 20.0, rounds: int = 50) -> tuple[float, float]:
@@ -316,6 +316,31 @@ def platt(z: np.ndarray, y: np.ndarray, strength: float = 20.0, rounds: int = 50
     return float(beta[0]), float(beta[1])
 
 
+def noisy_platt(z: np.ndarray, y: np.ndarray, rounds: int = 40) -> tuple[float, float, float]:
+    """Slope, offset and chance rate (EM): a label is 1 for every match and,
+    with the chance rate, for a pair that is none."""
+    slope, offset, chance = 1.0, 0.0, 0.05
+    if not len(z):
+        return slope, offset, chance
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30)))
+        t = np.where(y > 0, p / (p + (1 - p) * chance), 0.0)
+        chance = float(np.clip(((1 - t) * y).sum() / max((1 - t).sum(), 1e-9), 1e-3, 0.5))
+        before, (slope, offset) = (slope, offset), platt(z, t)
+        if abs(before[0] - slope) + abs(before[1] - offset) < 1e-5:
+            break
+    return slope, offset, chance
+
+
+def calibration(scored: DataFrame) -> tuple[float, float, float]:
+    """The fitted slope, offset and chance rate of (a, b, raw, lang, lic)."""
+    sure = scored.where("lang = lic and lang != 0").withColumn("bin", F.greatest(F.lit(-STRATA // 2), F.least(F.lit(STRATA // 2 - 1), F.floor("raw"))))
+    share = F.broadcast(sure.groupBy("bin").agg((F.lit(CALIBRATION_ROWS / STRATA) / F.count("*")).alias("share")))  # at most STRATA rows
+    drawn = sure.join(share, "bin").where(F.pmod(F.xxhash64("a", "b"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    sample = drawn.select("a", "b", "raw", (F.col("lang") > 0).cast("double").alias("y")).limit(2 * CALIBRATION_ROWS).toPandas().sort_values(["a", "b"])
+    return noisy_platt(sample["raw"].clip(-STRATA // 2, STRATA // 2).to_numpy(), sample["y"].to_numpy())
+
+
 def match_entities(table: DataFrame, left: str = "github", right: str = "sourceforge", *, threshold: float = 0.5, tables: int = TABLES) -> DataFrame:
     """Pairs (a, b, confianca) of records of the two sites at the threshold."""
     raw = F.lit(CONSTANT)
@@ -324,10 +349,6 @@ def match_entities(table: DataFrame, left: str = "github", right: str = "sourcef
     for name, (least, weight) in LEAST.items():
         raw = raw - F.lit(weight) * F.greatest(F.lit(0.0), F.lit(least) - F.col(name))
     scored = cut(scored_candidates(table, left, right, tables=tables).withColumn("raw", raw).select("a", "b", "raw", "lang", "lic"))
-    sure = scored.where("lang = lic and lang != 0").orderBy(F.xxhash64("a", "b")).limit(CALIBRATION_ROWS)
-    sample = sure.select("raw", (F.col("lang") > 0).cast("double").alias("y")).toPandas()  # at most CALIBRATION_ROWS
-    slope, offset = 1.0, 0.0
-    if min(sample["y"].sum(), len(sample) - sample["y"].sum()) >= MIN_LABELS:
-        slope, offset = platt(sample["raw"].to_numpy(), sample["y"].to_numpy())
+    slope, offset, _ = calibration(scored)
     z = F.lit(slope) * F.col("raw") + F.lit(offset) + AGREEMENT * (F.col("lang") + F.col("lic"))
     return scored.select("a", "b", (1 / (1 + F.exp(-z))).alias("confianca")).where(F.col("confianca") >= threshold)
