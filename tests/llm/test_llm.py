@@ -137,6 +137,28 @@ def test_entity_matching(spark):
     assert all(0.5 <= c <= 1 for c in got.values())
 
 
+def test_entity_matching_under_another_name(spark):
+    """Projects with other names: a shared rare word, initials, a former name."""
+    rng = np.random.default_rng(7)
+    kinds, objects, feats = [f"kind{c}" for c in "abcdefghij"], [f"object{c}" for c in "klmnopqrst"], [f"feat{a}{b}" for a in "abcdef" for b in "uvwxyz"]
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    rows, ways = [], ("rare", "init", "named")
+    for i in range(30):
+        what, f = f"{rng.choice(kinds)} {rng.choice(objects)}", list(rng.choice(feats, 3, replace=False))
+        one, two, other, rare = word(8), word(7), word(9).title(), word(10)
+        here, there = {"rare": (f" Speaks {rare}.", f" It implements the {rare} protocol."), "init": ("", ""), "named": ("", f" Moved from {one.title()} {two.title()}.")}[ways[i % 3]]
+        name = (one[0] + two[0]).upper() if ways[i % 3] == "init" else other
+        rows.append((6000 + i, "github", f"{one}-{two}", f"Tool for {what} with {f[0]} {f[1]} {f[2]}.{here}", "Go", "MIT license", ""))
+        rows.append((7000 + i, "sourceforge", name, f"Handles {what}, featuring {f[0]} {f[1]} {f[2]} for everybody.{there}", "Go", "MIT License", ""))
+    table = spark.createDataFrame(entity_rows() + rows, "id long, site string, nome string, descricao string, linguagem string, licenca string, keys string")
+    got = {(r.a, r.b) for r in em.match_entities(table).collect()}
+    for k, way in enumerate(ways):
+        own = {(6000 + i, 7000 + i) for i in range(30) if i % 3 == k}
+        assert len(got & own) >= 8, (way, len(got & own))
+    wrong = {(a, b) for a, b in got if a >= 6000 and b != a + 1000}
+    assert len(wrong) <= 3, wrong
+
+
 def test_entity_matching_without_one_site(spark):
     table = spark.createDataFrame([r[:6] for r in entity_rows() if r[1] == "github"], "id long, site string, nome string, descricao string, linguagem string, licenca string")
     assert em.match_entities(table).count() == 0

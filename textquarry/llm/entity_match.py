@@ -11,14 +11,19 @@ early they stand.
    hashed into ``VOCABULARY`` buckets, so the model's size is bounded however
    large the collection is.
 2. Blocking by multi-table hyperplane hashing: in each table a record takes a
-   short walk to two name tokens and one description token. The choice is by
+   short walk to two name tokens and one description token, in
+   ``DESCRIPTION_TABLES`` more to three description tokens. The choice is by
    weight and, being seeded by table and token only, the same for records that
    share the token. The signs of the walk's summed vectors against the table's
    hyperplanes are the key. Records of the two sites with an equal key in any
-   table are candidates.
+   table are candidates, and so are those with a rare word in both
+   descriptions, with one name the initials of the other, or with a name met in
+   the other's description.
 3. Candidates are ranked again exactly: weighted cosine of the names, weighted
    containment of the descriptions, cosine of the records' vectors, agreement
-   of language and licence.
+   of language and licence. Where the names differ, the pair needs one of
+   these links, and descriptions that share much and more than with records of
+   other names.
 4. The cosines and containments are calibrated to a confidence by a logistic
    curve, drawn towards the raw score and fitted to a bounded sample of
    candidates (``CALIBRATION_ROWS``), the same number at every raw score, whose
@@ -51,7 +56,9 @@ HEAVY = 2000
 CALIBRATION_ROWS = 20_000
 SEED = 11
 _KEYS = "id long, site string, keys array<long>"
-_MIN_NAME = 0.4
+DESCRIPTION_TABLES = 48
+RARE = 5
+NAME_RUN = 3
 
 
 def name_key(nome: Column) -> Column:
@@ -59,6 +66,12 @@ def name_key(nome: Column) -> Column:
     return F.lower(F.regexp_replace(nome, r"[^\p{L}\p{N}]+", ""))
 
 
+def initials(nome: Column) -> Column:
+    """The first letters of a name's parts, where it has two or more."""
+    parts = F.regexp_extract_all(F.regexp_replace(nome, r"(\p{Ll})(\p{Lu})", "$1 $2"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.when(F.size(parts) > 1, F.lower(F.array_join(F.transform(parts, lambda v: F.substring(v, 1, 1)), "")))
+
+
 def licence_family(licenca: Column) -> Column:
     text = F.lower(licenca)
     return (
@@ -78,16 +91,19 @@ def records(table: DataFrame) -> DataFrame:
     name key and (position, token) pairs of its two attributes."""
     key = name_key(F.col("nome"))
     words = F.regexp_extract_all(F.lower("descricao"), F.lit(r"\p{L}+(?:-\p{L}+)*"), F.lit(0))
+    plain = F.regexp_extract_all(F.lower("descricao"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     # the record's own name says nothing new where its description repeats it
     words = F.filter(words, lambda w: (F.length(w) < 3) | ~F.contains(key, w))
     base = table.select(F.col("id").cast("long").alias("id"), "site", "nome", "descricao", "linguagem", "licenca")
-    base = once(wide_enough(base), "id", "site", nk=key, dw=words, lg=F.lower(F.trim("linguagem")), lc=licence_family(F.col("licenca")))
+    base = once(wide_enough(base), "id", "site", nk=key, ini=initials(F.col("nome")), dw=words, pw=plain, lg=F.lower(F.trim("linguagem")), lc=licence_family(F.col("licenca")))
     base = base.where((F.length("nk") > 0) & (F.size("dw") > 0) & F.col("site").isNotNull()).dropDuplicates(["id"])
     padded = F.concat(F.lit("^"), F.col("nk"), F.lit("$"))
     grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
     pairs = F.zip_with(F.slice("dw", 1, F.greatest(F.size("dw") - 1, F.lit(0))), F.slice("dw", 2, F.greatest(F.size("dw") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.size("pw") - 1), lambda i, n=n: F.array_join(F.slice("pw", i + 1, F.lit(n)), "")) for n in range(1, NAME_RUN + 1)]))
+    mentions = F.array_distinct(F.filter(F.when(F.size("pw") > 0, runs), lambda v: (F.length(v) >= 6) & (v != F.col("nk"))))
     return base.select(
-        "id", "site", "nk", "lg", "lc",
+        "id", "site", "nk", "ini", "lg", "lc", F.transform(mentions, lambda v: F.xxhash64(F.lit("m"), v)).alias("mentions"),
         F.transform(F.array_distinct(grams), lambda t: F.xxhash64(F.lit("n"), t)).alias("nt"),
         F.transform(F.concat("dw", pairs), lambda t: F.xxhash64(F.lit("d"), t)).alias("dt"),
         F.size("dw").alias("dn"),
@@ -99,21 +115,21 @@ def weigh(recs: DataFrame) -> DataFrame:
     record only cannot link it and get no weight. The heavy tokens, those of a
     share of 1/HEAVY of all (record, token) pairs at least, are at most HEAVY
     and are broadcast; the rest is joined by a shuffle."""
-    place = F.transform("dt", lambda t, i: F.struct(t.alias("t"), F.when(i < F.col("dn"), i).otherwise(i - F.col("dn")).alias("p")))
+    place = F.transform("dt", lambda t, i: F.struct(t.alias("t"), F.when(i < F.col("dn"), i).otherwise(i - F.col("dn")).alias("p"), (i < F.col("dn")).alias("u")))
     links = recs.select(
-        "id", F.explode(F.concat(F.transform("nt", lambda t: F.struct(F.lit(0).alias("a"), t.alias("t"), F.lit(0).alias("p"))), F.transform(place, lambda s: F.struct(F.lit(1).alias("a"), s["t"], s["p"])))).alias("x")
-    ).select("id", "x.a", "x.t", "x.p").groupBy("id", "a", "t").agg(F.min("p").alias("p"))
+        "id", F.explode(F.concat(F.transform("nt", lambda t: F.struct(F.lit(0).alias("a"), t.alias("t"), F.lit(0).alias("p"), F.lit(False).alias("u"))), F.transform(place, lambda s: F.struct(F.lit(1).alias("a"), s["t"], s["p"], s["u"])))).alias("x")
+    ).select("id", "x.a", "x.t", "x.p", "x.u").groupBy("id", "a", "t").agg(F.min("p").alias("p"), F.max("u").alias("u"))
     links = cut(links)
     df = links.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     sizes = links.agg(F.count("*").alias("links"), F.approx_count_distinct("id").alias("n")).first()
     n, floor = max(sizes["n"], 1), max(sizes["links"] / HEAVY, 1)
     hot = F.broadcast(df.where(F.col("df") >= floor).withColumnRenamed("df", "hot"))
     tagged = links.join(hot, "t", "left")
-    cold = tagged.where("hot is null").drop("hot").join(df.where(F.col("df") < floor), "t").select("id", "a", "t", "p", "df")
-    both = tagged.where("hot is not null").select("id", "a", "t", "p", F.col("hot").alias("df")).unionByName(cold)
+    cold = tagged.where("hot is null").drop("hot").join(df.where(F.col("df") < floor), "t").select("id", "a", "t", "p", "u", "df")
+    both = tagged.where("hot is not null").select("id", "a", "t", "p", "u", F.col("hot").alias("df")).unionByName(cold)
     idf = F.ln((F.lit(n) + 1.0) / F.col("df"))
     near = F.when(F.col("a") == 0, 1.0).otherwise(1.0 / (1.0 + F.col("p") / 12.0))
-    return both.select("id", "a", "t", idf.alias("w"), (F.greatest(idf, F.lit(0.0)) ** F.when(F.col('a') == 0, 2.0).otherwise(2.5) * near).alias("s")).where("w > 0")
+    return both.select("id", "a", "t", idf.alias("w"), (F.greatest(idf, F.lit(0.0)) ** F.when(F.col('a') == 0, 2.0).otherwise(2.5) * near).alias("s"), (F.col("u") & (F.col("df") <= RARE)).alias("rare")).where("w > 0")
 
 
 def _sentences(weighted: DataFrame, profile: DataFrame, per_record: int = 6, hops: int = 2) -> DataFrame:
@@ -174,35 +190,63 @@ def _sampler(per_record: int):
 
 
 def _hasher(vectors: np.ndarray, tables: int, bits: int, seed: int):
-    planes = np.random.default_rng(seed + 1).standard_normal((tables, vectors.shape[1], bits)).astype(np.float32)
+    planes = np.random.default_rng(seed + 1).standard_normal((tables + DESCRIPTION_TABLES, vectors.shape[1], bits)).astype(np.float32)
     powers = np.uint64(1) << np.arange(bits, dtype=np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots = np.arange(tables)
+        slots, more = np.arange(tables), np.arange(DESCRIPTION_TABLES) * 3 + 500_000
         for pdf in batches:
             keys = []
             for nt, nw, dt, dw in zip(pdf["nt"], pdf["nw"], pdf["dt"], pdf["dw"]):
                 nt, dt = np.asarray(nt, np.int64), np.asarray(dt, np.int64)
                 nw, dw = np.asarray(nw, float), np.asarray(dw, float)
-                first, second, third = nt[_draw(nt, nw, slots * 3)], nt[_draw(nt, nw, slots * 3 + 1)], dt[_draw(dt, dw, slots * 3 + 2)]
+                first, second, third = (dt[_draw(dt, dw, more + k)] for k in range(3))
+                if len(nt):  # else no token of the name is known elsewhere
+                    named = nt[_draw(nt, nw, slots * 3)], nt[_draw(nt, nw, slots * 3 + 1)], dt[_draw(dt, dw, slots * 3 + 2)]
+                    first, second, third = (np.concatenate(v) for v in zip((first, second, third), named))
                 total = vectors[first % VOCABULARY] + vectors[second % VOCABULARY] + vectors[third % VOCABULARY]
-                signs = np.einsum("td,tdb->tb", total, planes) > 0
+                signs = np.einsum("td,tdb->tb", total, planes[: len(total)]) > 0
                 keys.append((signs * powers).sum(axis=1).astype(np.int64))
             yield pd.DataFrame({"id": pdf["id"], "site": pdf["site"], "keys": keys})
 
     return run
 
 
-def _candidates(keys: DataFrame, left: str, right: str, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a of left, b of right) with an equal key in some table. Keys of
-    many records are cut into chunks, every pair of chunks a join key."""
-    rows = keys.select("id", "site", F.posexplode("keys").alias("tb", "key")).where(F.col("site").isin(left, right))
-    counts = rows.groupBy("tb", "key").agg(F.count_if(F.col("site") == left).alias("ma"), F.count_if(F.col("site") == right).alias("mb")).where("ma > 0 and mb > 0")
+LINKS = {"rare": (-1,), "init": (-2, -3), "named": (-4, -5)}
+
+
+def _linking(recs: DataFrame, weighted: DataFrame) -> DataFrame:
+    """Keys (id, site, tb, key, side) that need no similar names: a rare word
+    of the description, a name of the other's initials, a name met in the
+    other's description. ``side`` 0 is compared with 1, null with null."""
+    key = lambda tb, side, c: F.struct(F.lit(tb).alias("tb"), F.lit(side).cast("int").alias("side"), c.alias("key"))
+    initial, short = F.xxhash64(F.lit("i"), "ini"), F.xxhash64(F.lit("i"), "nk")
+    name = F.xxhash64(F.lit("m"), "nk")
+    own = F.array(
+        F.when(F.col("ini").isNotNull(), key(-2, 0, initial)), F.when(F.length("nk").between(2, 5), key(-2, 1, short)),
+        F.when(F.length("nk").between(2, 5), key(-3, 0, short)), F.when(F.col("ini").isNotNull(), key(-3, 1, initial)),
+        key(-4, 0, name), key(-5, 1, name),
+    )
+    met = F.flatten(F.transform("mentions", lambda m: F.array(key(-4, 1, m), key(-5, 0, m))))
+    made = recs.select("id", "site", F.explode(F.concat(F.filter(own, lambda v: v.isNotNull()), F.coalesce(met, F.array().cast("array<struct<tb:int,side:int,key:bigint>>")))).alias("x")).select("id", "site", "x.tb", "x.key", "x.side")
+    rare = weighted.where("rare").join(recs.select("id", "site"), "id").select("id", "site", F.lit(-1).alias("tb"), F.col("t").alias("key"), F.lit(None).cast("int").alias("side"))
+    return made.unionByName(rare)
+
+
+def _candidates(rows: DataFrame, left: str, right: str, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a of left, b of right) with an equal key in some table, and which
+    links they have. Keys of many records are cut into chunks, every pair of
+    chunks a join key. Left is side 0 of a table, right is side 1."""
+    is_a = (F.col("site") == left) & (F.coalesce("side", F.lit(0)) == 0)
+    is_b = (F.col("site") == right) & (F.coalesce("side", F.lit(1)) == 1)
+    rows = rows.select("id", "tb", "key", is_a.alias("is_a"), is_b.alias("is_b")).where("is_a or is_b")
+    counts = rows.groupBy("tb", "key").agg(F.count_if("is_a").alias("ma"), F.count_if("is_b").alias("mb")).where("ma > 0 and mb > 0")
     counts = counts.withColumn("ca", F.ceil(F.col("ma") / chunk).cast("long")).withColumn("cb", F.ceil(F.col("mb") / chunk).cast("long"))
     live = rows.join(counts, ["tb", "key"])
-    a = live.where(F.col("site") == left).select("tb", "key", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), "ca").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cb") - 1)).alias("j"))
-    b = live.where(F.col("site") == right).select("tb", "key", F.col("id").alias("b"), F.pmod(F.xxhash64("id"), "cb").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ca") - 1)).alias("i"))
-    return a.join(b, ["tb", "key", "i", "j"]).select("a", "b").distinct()
+    a = live.where("is_a").select("tb", "key", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), "ca").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cb") - 1)).alias("j"))
+    b = live.where("is_b").select("tb", "key", F.col("id").alias("b"), F.pmod(F.xxhash64("id"), "cb").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ca") - 1)).alias("i"))
+    flags = [F.max(F.col("tb").isin(*tbs).cast("double")).alias(kind) for kind, tbs in LINKS.items()]
+    return a.join(b, ["tb", "key", "i", "j"]).groupBy("a", "b").agg(*flags)
 
 
 def _name_dice(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -235,8 +279,8 @@ def _exact(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series, na: pd.Se
         _, i, j = np.intersect1d(n1, n2, assume_unique=True, return_indices=True)
         name = float((v1[i] * v2[j]).sum() / max(np.sqrt((v1**2).sum() * (v2**2).sum()), 1e-9))
         _, i, j = np.intersect1d(t1, t2, assume_unique=True, return_indices=True)
-        rows.append((name, float(w1[i].sum() / max(w1.sum(), 1e-9)), float(w2[j].sum() / max(w2.sum(), 1e-9)), float(np.dot(e1, e2))))
-    return pd.DataFrame(rows, columns=["name", "back", "fore", "vec"])
+        rows.append((name, float(w1[i].sum() / max(w1.sum(), 1e-9)), float(w2[j].sum() / max(w2.sum(), 1e-9)), float(np.dot(e1, e2)), float(w1[i].sum())))
+    return pd.DataFrame(rows, columns=["name", "back", "fore", "vec", "shared"])
 
 
 def _embedder(vectors: np.ndarray):
@@ -245,7 +289,7 @@ def _embedder(vectors: np.ndarray):
         out = []
         for a, x, b, y in zip(nt, nw, dt, dw):
             x, y = np.asarray(x, np.float32), np.asarray(y, np.float32)
-            v = (vectors[np.asarray(a, np.int64) % VOCABULARY] * (x / x.sum())[:, None]).sum(0) + (vectors[np.asarray(b, np.int64) % VOCABULARY] * (y / y.sum())[:, None]).sum(0)
+            v = (vectors[np.asarray(a, np.int64) % VOCABULARY] * (x / max(x.sum(), 1e-9))[:, None]).sum(0) + (vectors[np.asarray(b, np.int64) % VOCABULARY] * (y / y.sum())[:, None]).sum(0)
             out.append(v / max(float(np.linalg.norm(v)), 1e-9))
         return pd.Series(out, dtype=object)
 
@@ -261,32 +305,45 @@ def scored_candidates(table: DataFrame, left: str = "github", right: str = "sour
         weighted.groupBy("id")
         .agg(F.collect_list(F.struct("a", "t", "w", "s")).alias("x"))
         .select("id", by(0, "t").alias("nt"), by(0, "w").alias("nv"), by(0, "s").alias("nw"), by(1, "t").alias("dt"), by(1, "w").alias("dv"), by(1, "s").alias("dw"))
-        .where("size(nt) > 0 and size(dt) > 0")
+        .where("size(dt) > 0")
         .join(recs.select("id", "site", "nk", "lg", "lc"), "id")
         .withColumn("sample", _sampler(6)(F.concat("nt", "dt"), F.concat("nw", "dw")))
     )
     profile = cut(profile)
     vectors = token_vectors(_sentences(weighted, profile), seed=seed)
     keys = profile.select("id", "site", "nt", "nw", "dt", "dw").mapInPandas(_hasher(vectors, tables, BITS, seed), _KEYS)
-    pairs = _candidates(keys, left, right)
+    walked = keys.select("id", "site", F.posexplode("keys").alias("tb", "key"), F.lit(None).cast("int").alias("side"))
+    pairs = _candidates(walked.unionByName(_linking(recs, weighted)), left, right)
     names = profile.select("id", "nk")
     pairs = (
         pairs.join(names.select(F.col("id").alias("a"), F.col("nk").alias("ka")), "a")
         .join(names.select(F.col("id").alias("b"), F.col("nk").alias("kb")), "b")
         .withColumn("dice", F.pandas_udf(_name_dice, "double")("ka", "kb"))
-        .where(F.col("dice") >= _MIN_NAME)
-        .select("a", "b", "dice")
+        .select("a", "b", "ka", "kb", "dice", "rare", "init", "named")
     )
     full = profile.select("id", "nt", "nv", "dt", "dv", "lg", "lc", _embedder(vectors)("nt", "nw", "dt", "dw").alias("e"))
     one = full.select(*[F.col(c).alias({"id": "a"}.get(c, c + "1")) for c in full.columns])
     two = full.select(*[F.col(c).alias({"id": "b"}.get(c, c + "2")) for c in full.columns])
     agree = lambda x, y: F.when(F.col(x).isNull() | F.col(y).isNull(), 0.0).when(F.col(x) == F.col(y), 1.0).otherwise(-1.0)
-    return (
+    top = F.broadcast(weighted.agg(F.max("w").alias("top")))
+    scored = cut(
         pairs.join(one, "a")
         .join(two, "b")
-        .withColumn("f", F.pandas_udf(_exact, "name double, back double, fore double, vec double")("dt1", "dv1", "dt2", "dv2", "nt1", "nv1", "nt2", "nv2", "e1", "e2"))
-        .select("a", "b", "dice", "f.name", "f.back", "f.fore", "f.vec", agree("lg1", "lg2").alias("lang"), agree("lc1", "lc2").alias("lic"))
+        .withColumn("f", F.pandas_udf(_exact, "name double, back double, fore double, vec double, shared double")("dt1", "dv1", "dt2", "dv2", "nt1", "nv1", "nt2", "nv2", "e1", "e2"))
+        .crossJoin(top)
+        .select("a", "b", "ka", "kb", "dice", "rare", "init", "named", "f.name", "f.back", "f.fore", "f.vec", (F.col("f.shared") / F.col("top")).alias("shared"), agree("lg1", "lg2").alias("lang"), agree("lc1", "lc2").alias("lic"))
     )
+    rivals = _best_other(scored, "a", "kb").join(_best_other(scored, "b", "ka"), ["a", "b"])
+    return scored.join(rivals, ["a", "b"]).withColumn("lead", F.col("shared") - F.greatest("over_a", "over_b")).drop("ka", "kb", "over_a", "over_b")
+
+
+def _best_other(scored: DataFrame, side: str, other: str) -> DataFrame:
+    """(a, b, over_side): the most that the record of the side shares with a
+    candidate of another name."""
+    per_name = scored.groupBy(side, other).agg(F.max("shared").alias("m"))
+    best = per_name.groupBy(side).agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("m", F.col(other).alias("k"))))), 1, 2).alias("best"))
+    rest = F.filter("best", lambda v: v["k"] != F.col(other))
+    return scored.select("a", "b", other).join(best, side).select("a", "b", F.coalesce(F.try_element_at(rest, F.lit(1))["m"], F.lit(0.0)).alias(f"over_{side}"))
 
 
 #: Weights of the scores in the raw score and its constant, from the sf0.1
@@ -296,6 +353,14 @@ CONSTANT = -12.5
 AGREEMENT = 1.2
 # both views must speak for a match: (least value, weight of what is missing)
 LEAST = {"dice": (0.7, 12.0), "back": (0.2, 20.0)}
+# the score where the names say little: what the descriptions share, in tokens
+# of the highest weight, its lead over other names, and what else links the two
+WEAK_NAME = (0.4, 0.7)  # below the first it decides, below the second the better one
+WEAK = {"rare": 5.0, "init": 6.0, "named": 6.0}
+WEAK_SHARED = 5.5
+WEAK_LEAD = (1.6, 2.5)
+WEAK_LEAST = {"shared": (3.0, 6.0), "lead": (1.0, 10.0)}
+WEAK_CONSTANT = -13.0
 STRATA = 32
 
 
@@ -348,7 +413,20 @@ def match_entities(table: DataFrame, left: str = "github", right: str = "sourcef
         raw = raw + F.lit(weight) * F.col(name)
     for name, (least, weight) in LEAST.items():
         raw = raw - F.lit(weight) * F.greatest(F.lit(0.0), F.lit(least) - F.col(name))
-    scored = cut(scored_candidates(table, left, right, tables=tables).withColumn("raw", raw).select("a", "b", "raw", "lang", "lic"))
+    weight, most = WEAK_LEAD
+    weak = F.lit(WEAK_CONSTANT) + F.least("shared", F.lit(WEAK_SHARED)) + F.lit(weight) * F.greatest(F.lit(-most), F.least("lead", F.lit(most)))
+    # one link is enough: a name of initials often stands beside a rare word
+    weak = weak + F.greatest(*[F.lit(part) * F.col(name) for name, part in WEAK.items()])
+    # without a like name a description must share much, and more than with others
+    for name, (least, part) in WEAK_LEAST.items():
+        lack = F.lit(part) * F.greatest(F.lit(0.0), F.lit(least) - F.col(name))
+        weak = weak - lack
+        if name == "lead":
+            raw = raw - F.when(F.col("dice") < WEAK_NAME[1], lack).otherwise(0.0)
+    low, high = WEAK_NAME
+    scored = scored_candidates(table, left, right, tables=tables).withColumns({"strong": F.when(F.col("dice") >= low, raw), "weak": F.when(F.col("dice") < high, weak)})
+    # agreement weighs twice where it stands in for the name
+    scored = cut(scored.select("a", "b", F.greatest("strong", "weak").alias("raw"), F.when((F.col("weak") > F.coalesce("strong", F.lit(-1e9))) & (F.greatest(*WEAK) > 0), 2.0).otherwise(1.0).alias("twice"), "lang", "lic"))
     slope, offset, _ = calibration(scored)
-    z = F.lit(slope) * F.col("raw") + F.lit(offset) + AGREEMENT * (F.col("lang") + F.col("lic"))
+    z = F.lit(slope) * F.col("raw") + F.lit(offset) + AGREEMENT * F.col("twice") * (F.col("lang") + F.col("lic"))
     return scored.select("a", "b", (1 / (1 + F.exp(-z))).alias("confianca")).where(F.col("confianca") >= threshold)
