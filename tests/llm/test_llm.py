@@ -337,6 +337,22 @@ def test_truncation(spark):
     assert rates["src"] == len(found)
 
 
+def test_truncation_statistics_count_a_text_once(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, sentence(rng, int(rng.integers(5, 60))).capitalize() + ".", "src") for i in range(200)]
+    copied = "A complete text with a list of things to know.\n\n- " + sentence(rng, 6)
+    rows += [(1000 + i, copied, "src") for i in range(300)]
+    # a closing line, and a copied text with a line that begins like it
+    rows += [(2000 + i, sentence(rng, 9).capitalize() + ".\n\nThanks to all here", "src") for i in range(30)]
+    rows += [(3000 + i, "Thanks to all here and to everybody who helped.\n\nThe real end.", "src") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    limits = {(r.unit, r.limit) for r in truncation.length_limits(df).collect()}
+    assert ("chars", len(copied)) not in limits
+    got = {r.doc_id: r.is_cut for r in truncation.truncated_texts(df).collect()}
+    assert len(got) == len(rows)
+    assert not any(got[2000 + i] for i in range(30))
+
+
 def test_censored_fit():
     rng = np.random.default_rng(2)
     x = np.exp(rng.normal(5, 0.8, 20_000))

@@ -83,9 +83,11 @@ def _limits_of(histogram: pd.DataFrame) -> pd.DataFrame:
 def length_limits(texts: DataFrame) -> DataFrame:
     """(doc_id, text, source) to the candidate limits of every source. A group
     is a histogram, one row a distinct length, not the source's rows."""
-    sized = texts.where(F.trim("text") != "").select(
-        F.coalesce("source", F.lit("")).alias("source"),
-        F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").cast("long").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").cast("long").alias("len")))).alias("x"),
+    sized = (
+        texts.where(F.trim("text") != "")
+        .select(F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("th"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
+        .distinct()  # a text counts once, however often it is repeated
+        .select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("len")))).alias("x"))
     )
     histogram = sized.groupBy("source", "x.unit", "x.len").agg(F.count("*").alias("n"))
     return histogram.groupBy("source", "unit").applyInPandas(_limits_of, _LIMITS)
@@ -157,24 +159,24 @@ def truncated_texts(texts: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     )
     line_words = F.split(F.trim(F.col("line")), r"\s+")
     longer = (
-        ends.select(F.explode(F.slice("lines", 1, F.size("lines") - 1)).alias("line"))
+        ends.select("th", F.posexplode(F.slice("lines", 1, F.size("lines") - 1)).alias("at", "line"))
         .where(F.trim("line") != "")
-        .select(F.slice(line_words, 1, FORMULA_WORDS + 1).alias("w"))
+        .select("th", "at", F.slice(line_words, 1, FORMULA_WORDS + 1).alias("w"))
         .where(F.size("w") > 1)
-        .select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.array_join(F.slice("w", 1, k), " "))).alias("shape"))
+        .select("th", "at", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.array_join(F.slice("w", 1, k), " "))).alias("shape"))
         .join(F.broadcast(formulas.select("shape")), "shape")
         .groupBy("shape")
-        .agg(F.count("*").alias("longer"))
+        .agg(F.countDistinct("th", "at").alias("longer"))
     )
     closing = formulas.join(longer, "shape", "left").where(F.col("df") >= 0.25 * F.coalesce("longer", F.lit(0))).select("shape", F.lit(True).alias("closing"))
 
     # words that end list items elsewhere
     item_ends = (
-        ends.select(F.explode(F.slice("lines", 1, F.size("lines") - 1)).alias("line"))
+        ends.select("th", F.posexplode(F.slice("lines", 1, F.size("lines") - 1)).alias("at", "line"))
         .where(F.col("line").rlike(_LIST_ITEM))
-        .select(F.lower(F.regexp_extract("line", r"([\p{L}\p{N}\-]+)[^\p{L}\p{N}]*$", 1)).alias("tail"))
+        .select("th", "at", F.lower(F.regexp_extract("line", r"([\p{L}\p{N}\-]+)[^\p{L}\p{N}]*$", 1)).alias("tail"))
         .groupBy("tail")
-        .agg(F.count("*").alias("item_ends"))
+        .agg(F.countDistinct("th", "at").alias("item_ends"))
         .where("item_ends >= 2")
     )
     marked = slim.join(F.broadcast(closing), "shape", "left")
