@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,10 +43,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return target
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint that survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written to the checkpoint folder.
+
+    It survives lost executors, and unlike a checkpointed frame, which keeps
+    the size estimate of its source, it is planned by its own size, so that no
+    side is broadcast that grew beyond the threshold. Files go with the
+    session's JVM, or before by ``drop_cut``."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _path(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Remove the files of a frame of ``cut`` that no plan needs any more."""
+    _path(df.sparkSession, df._cut_path, lambda fs, p: fs.delete(p, True))
+
+
+def _path(spark: SparkSession, path: str, action) -> None:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    action(at.getFileSystem(sc._jsc.hadoopConfiguration()), at)
 
 
 def spread(df: DataFrame) -> DataFrame:
