@@ -165,20 +165,35 @@ def test_entity_matching_without_one_site(spark):
     assert em.match_entities(table.limit(0)).count() == 0
 
 
-def test_platt_keeps_order():
-    z = np.linspace(-4, 4, 200)
-    slope, offset = em.platt(z, (z > 0.5).astype(float))
-    assert slope > 0 and -3 < offset < 1
+def test_entity_matching_of_repeated_pages(spark):
+    """A page collected again is one record until the end, then every row counts."""
+    rows = [r[:6] for r in entity_rows()]
+    again = [(r[0] + 10_000 * k, *r[1:]) for r in rows if r[0] == 5 or r[0] == 1005 for k in range(1, 40)]
+    table = spark.createDataFrame(rows + again, "id long, site string, nome string, descricao string, linguagem string, licenca string")
+    reps, members = em.distinct_records(em.cut(em.records(table)))
+    assert reps.count() == len({r[1:4] for r in rows if r[2] and r[3]}) and members.count() == len(rows) + len(again) - 3
+    got = {(r.a, r.b) for r in em.match_entities(table).collect()}
+    assert {(5 + 10_000 * i, 1005 + 10_000 * j) for i in range(40) for j in range(40)} <= got
 
 
 def test_calibration_by_chance_labels():
     """Agreement by chance among many pairs that are no match moves no cut."""
     rng = np.random.default_rng(3)
-    for n in (20, 20_000):
-        z = np.concatenate([rng.normal(6, 1, 300), rng.normal(-12, 2, n)])
-        y = np.concatenate([np.ones(300), rng.random(n) < 0.02]).astype(float)
-        slope, offset, _ = em.noisy_platt(z, y)
-        assert slope > 0.5 and abs(offset / slope) < 3
+    for n in (300, 20_000):
+        x = np.concatenate([rng.normal(0.8, 0.1, (300, 2)), rng.normal(0.2, 0.15, (n, 2))])
+        truth = np.concatenate([np.ones(300), np.zeros(n)])
+        y = np.where(truth > 0, rng.random(n + 300) < 0.95, rng.random(n + 300) < 0.03).astype(float)
+        model = em.fit_calibration(x, y, x.prod(axis=1))
+        assert ((model.confidence(x) > 0.5) == (truth > 0)).mean() > 0.99, n
+        assert abs(model.chance - 0.03) < 0.03 and model.missed < 0.1
+
+
+def test_walks_reach_a_record_once_a_step(spark):
+    """However frequent a token is, no record receives all its walks."""
+    rows = [(i, [7, i], [1.0, 1.0]) for i in range(500)]
+    profile = spark.createDataFrame(rows, "id long, sample array<long>, w array<double>")
+    ends = em.walks(profile, hops=1).groupBy(F.slice("walk", 4, 2).alias("to")).count()
+    assert ends.agg(F.max("count")).first()[0] == 1 and ends.count() > 450
 
 
 # -------------------------------------------------------- term statistics

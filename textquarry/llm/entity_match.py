@@ -1,47 +1,52 @@
 """Matching entities across two sources without a common key.
 
-The record-attribute-token graph: a record is linked to the tokens of its name
-(character trigrams of the joined, lower-cased name, so that separators and
-capitals do not count) and of its description (words and neighbouring pairs).
-Tokens weigh by inverse document frequency, those of a description also by how
-early they stand.
+The record-attribute-token graph: a record leads through its name to character
+trigrams of the joined, lower-cased name, so that separators and capitals do
+not count, through its description to words and neighbouring pairs, and through
+both to links: its whole name or initials, and names of other records met in
+the description. Only tokens of both sites count. They weigh by inverse
+document frequency, those of a description also by how early they stand.
 
 1. Random walks, record to token to another record of the token, give the
    sentences on which skip-gram vectors of the tokens are trained. Tokens are
    hashed into ``VOCABULARY`` buckets, so the model's size is bounded however
    large the collection is.
-2. Blocking by multi-table hyperplane hashing: in each table a record takes a
-   short walk to two name tokens and one description token, in
-   ``DESCRIPTION_TABLES`` more to three description tokens. The choice is by
-   weight and, being seeded by table and token only, the same for records that
-   share the token. The signs of the walk's summed vectors against the table's
-   hyperplanes are the key. Records of the two sites with an equal key in any
-   table are candidates, and so are those with a rare word in both
-   descriptions, with one name the initials of the other, or with a name met in
-   the other's description.
-3. Candidates are ranked again exactly: weighted cosine of the names, weighted
-   containment of the descriptions, cosine of the records' vectors, agreement
-   of language and licence. Where the names differ, the pair needs one of
-   these links, and descriptions that share much and more than with records of
-   other names.
-4. The cosines and containments are calibrated to a confidence by a logistic
-   curve, drawn towards the raw score and fitted to a bounded sample of
-   candidates (``CALIBRATION_ROWS``), the same number at every raw score, whose
-   language and licence both agree or both disagree. The rate of agreement by
-   chance is fitted with it. The rule is one for every size of input.
+2. Blocking by multi-table hyperplane hashing. A description of one site is a
+   line and of the other a page, so that vectors of whole records of a true
+   pair stand 60 degrees apart and more, and hyperplanes alone would meet in
+   too few tables. In each table a record therefore takes a short walk
+   (``WALKS``): two name tokens and one of the description, or one link or rare
+   word and one of the description, drawn by weight and, being seeded by table
+   and token only, alike for records that share tokens. The signs of the walk's
+   summed vectors against the table's hyperplanes, ``hyperplanes(n)`` of them,
+   are the key; records of the two sites with an equal key are candidates.
+3. Candidates with a like name or a link are ranked again exactly: letter pairs
+   and weighted cosine of the names, weighted containment of the descriptions
+   in each other, the heaviest shared link, cosine of the records' vectors, and
+   how many records go the same ways (boilerplate is a crowd).
+4. The scores are calibrated to a confidence by a logistic curve over them and
+   their products, fitted on a bounded sample of candidates
+   (``CALIBRATION_ROWS``). The labels are noisy, agreement of language and
+   licence; how often matches fail it and others meet it is fitted along. They
+   are no part of the score, and the rule is one for every size of input.
+
+Records of equal name and description are one until the end, so that a page
+collected again costs nothing; each of its rows is matched.
 
 Defined results: records without a name or description take part in no pair; a
-null language or licence says nothing; a record collected again is matched
-again; tables with one site only give no pair; extra columns are ignored.
+null language or licence says nothing; tables with one site only give no pair;
+extra columns are ignored; a repeated id is one record.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textquarry.functions.plan import once
 from textquarry.llm.text import wide_enough
@@ -49,16 +54,14 @@ from textquarry.session import cut
 
 VOCABULARY = 1 << 15
 DIMENSIONS = 32
-TABLES = 192
-BITS = 32
+WALKS_A_TASK = 20_000
 CHUNK = 2000
 HEAVY = 2000
-CALIBRATION_ROWS = 20_000
 SEED = 11
-_KEYS = "id long, site string, keys array<long>"
-DESCRIPTION_TABLES = 48
 RARE = 5
 NAME_RUN = 3
+CALIBRATION_ROWS = 24_000
+LEAST_NAME = 0.4
 
 
 def name_key(nome: Column) -> Column:
@@ -88,7 +91,8 @@ def licence_family(licenca: Column) -> Column:
 
 def records(table: DataFrame) -> DataFrame:
     """(id, site, nome, descricao, linguagem, licenca) to a record with its
-    name key and (position, token) pairs of its two attributes."""
+    name key and its tokens: trigrams of the name, words and pairs of the
+    description, and links, words that can stand in both attributes."""
     key = name_key(F.col("nome"))
     words = F.regexp_extract_all(F.lower("descricao"), F.lit(r"\p{L}+(?:-\p{L}+)*"), F.lit(0))
     plain = F.regexp_extract_all(F.lower("descricao"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -101,49 +105,68 @@ def records(table: DataFrame) -> DataFrame:
     grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
     pairs = F.zip_with(F.slice("dw", 1, F.greatest(F.size("dw") - 1, F.lit(0))), F.slice("dw", 2, F.greatest(F.size("dw") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.size("pw") - 1), lambda i, n=n: F.array_join(F.slice("pw", i + 1, F.lit(n)), "")) for n in range(1, NAME_RUN + 1)]))
-    mentions = F.array_distinct(F.filter(F.when(F.size("pw") > 0, runs), lambda v: (F.length(v) >= 6) & (v != F.col("nk"))))
+    met = F.filter(F.when(F.size("pw") > 0, runs), lambda v: (F.length(v) >= 6) & (v != F.col("nk")))
+    short = F.when(F.length("nk").between(2, 5), F.col("nk"))
+    # a name and the same name met in a description are one token, a name of
+    # initials and the initials of a name another
+    abbreviated = F.when(F.coalesce("ini", short).isNotNull(), F.xxhash64(F.lit("i"), F.coalesce("ini", short)))
+    named = F.filter(F.array(F.xxhash64(F.lit("m"), "nk"), abbreviated), lambda v: v.isNotNull())
+    links = F.concat(named, F.transform(F.coalesce(met, F.array()), lambda v: F.xxhash64(F.lit("m"), v)))
     return base.select(
-        "id", "site", "nk", "ini", "lg", "lc", F.transform(mentions, lambda v: F.xxhash64(F.lit("m"), v)).alias("mentions"),
+        "id", "site", "nk", "ini", "lg", "lc", F.array_distinct(links).alias("lt"),
         F.transform(F.array_distinct(grams), lambda t: F.xxhash64(F.lit("n"), t)).alias("nt"),
         F.transform(F.concat("dw", pairs), lambda t: F.xxhash64(F.lit("d"), t)).alias("dt"),
-        F.size("dw").alias("dn"),
+        F.size("dw").alias("dn"), F.size(named).alias("ln"),
     )
 
 
-def weigh(recs: DataFrame) -> DataFrame:
-    """Distinct tokens of every record with their weights. Tokens of one
-    record only cannot link it and get no weight. The heavy tokens, those of a
-    share of 1/HEAVY of all (record, token) pairs at least, are at most HEAVY
-    and are broadcast; the rest is joined by a shuffle."""
-    place = F.transform("dt", lambda t, i: F.struct(t.alias("t"), F.when(i < F.col("dn"), i).otherwise(i - F.col("dn")).alias("p"), (i < F.col("dn")).alias("u")))
-    links = recs.select(
-        "id", F.explode(F.concat(F.transform("nt", lambda t: F.struct(F.lit(0).alias("a"), t.alias("t"), F.lit(0).alias("p"), F.lit(False).alias("u"))), F.transform(place, lambda s: F.struct(F.lit(1).alias("a"), s["t"], s["p"], s["u"])))).alias("x")
-    ).select("id", "x.a", "x.t", "x.p", "x.u").groupBy("id", "a", "t").agg(F.min("p").alias("p"), F.max("u").alias("u"))
-    links = cut(links)
-    df = links.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    sizes = links.agg(F.count("*").alias("links"), F.approx_count_distinct("id").alias("n")).first()
-    n, floor = max(sizes["n"], 1), max(sizes["links"] / HEAVY, 1)
+def distinct_records(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of equal name and description as one, with the least id, and
+    (rep, id) of all; a page collected a thousand times is matched once."""
+    kind = ["site", "nk", "h1", "h2"]
+    tagged = recs.withColumns({"h1": F.xxhash64("dt", "ini", "lt"), "h2": F.xxhash64(F.lit(1), "dn", "dt", "nt")})
+    one = tagged.groupBy(*kind).agg(F.min("id").alias("rep"), F.max("lg").alias("lg"), F.max("lc").alias("lc"))
+    members = tagged.select("id", *kind).join(one.select("rep", *kind), kind).select("rep", "id")
+    reps = recs.drop("lg", "lc").join(one.select(F.col("rep").alias("id"), "lg", "lc"), "id")
+    return cut(reps), members
+
+
+def weigh(recs: DataFrame, left: str, right: str) -> DataFrame:
+    """Distinct tokens of every record with their weights; ``a`` is 0 for the
+    name, 1 for the description, 2 for links. Tokens of one site only cannot
+    link the sites and get no weight. The heavy tokens, those of a share of
+    1/HEAVY of all (record, token) pairs at least, are at most HEAVY and are
+    broadcast; the rest is joined by a shuffle."""
+    part = lambda a, c, p, u: F.transform(c, lambda t, i: F.struct(F.lit(a).alias("a"), t.alias("t"), p(i).cast("int").alias("p"), u(i).alias("u")))
+    place = part(1, F.col("dt"), lambda i: F.when(i < F.col("dn"), i).otherwise(i - F.col("dn")), lambda i: i < F.col("dn"))
+    rows = F.concat(part(0, F.col("nt"), lambda i: F.lit(0), lambda i: F.lit(False)), place, part(2, F.col("lt"), lambda i: F.lit(0), lambda i: i < F.col("ln")))
+    links = recs.where(F.col("site").isin(left, right)).select("id", "site", F.explode(rows).alias("x")).select("id", "site", "x.a", "x.t", "x.p", "x.u")
+    links = cut(links.groupBy("id", "site", "a", "t").agg(F.min("p").alias("p"), F.max("u").alias("u")))
+    df = links.groupBy("t").agg(F.count("*").alias("df"), F.count_if(F.col("site") == left).alias("dl"), F.max((F.col("a") < 2) | F.col("u")).alias("own"))
+    df = df.where("dl > 0 and df > dl and own").select("t", "df")  # a link is somebody's name
+    n, floor = max(recs.count(), 1), max(links.count() / HEAVY, 1)
     hot = F.broadcast(df.where(F.col("df") >= floor).withColumnRenamed("df", "hot"))
     tagged = links.join(hot, "t", "left")
-    cold = tagged.where("hot is null").drop("hot").join(df.where(F.col("df") < floor), "t").select("id", "a", "t", "p", "u", "df")
+    cold = tagged.where("hot is null").drop("hot").join(df.where(F.col("df") < floor).hint("merge"), "t").select("id", "a", "t", "p", "u", "df")
     both = tagged.where("hot is not null").select("id", "a", "t", "p", "u", F.col("hot").alias("df")).unionByName(cold)
     idf = F.ln((F.lit(n) + 1.0) / F.col("df"))
-    near = F.when(F.col("a") == 0, 1.0).otherwise(1.0 / (1.0 + F.col("p") / 12.0))
-    return both.select("id", "a", "t", idf.alias("w"), (F.greatest(idf, F.lit(0.0)) ** F.when(F.col('a') == 0, 2.0).otherwise(2.5) * near).alias("s"), (F.col("u") & (F.col("df") <= RARE)).alias("rare")).where("w > 0")
-
-
-def _sentences(weighted: DataFrame, profile: DataFrame, per_record: int = 6, hops: int = 2) -> DataFrame:
-    """Walks: tokens of a record, a token, and tokens of another record of it."""
-    neighbour = weighted.groupBy("t").agg(*[F.min_by("id", F.xxhash64("id", "t", F.lit(j))).alias(f"r{j}") for j in range(hops)])
-    start = profile.select("id", "sample")
-    step = (
-        start.select("id", "sample", F.explode(F.slice("sample", 1, hops)).alias("t"))
-        .join(neighbour, "t")
-        .select("id", "sample", "t", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"r{j}").alias("to")) for j in range(hops)])).alias("x"))
-        .where("x.to != id")
-        .select("sample", "t", F.col("x.to").alias("to"))
-    )
-    ends = step.join(start.select(F.col("id").alias("to"), F.col("sample").alias("other")), "to")
+    near = F.when(F.col("a") == 1, 1.0 / (1.0 + F.col("p") / 12.0)).otherwise(1.0)
+    power = F.when(F.col("a") == 0, 2.0).otherwise(2.5)
+    rare = F.col("u") & (F.col("a") == 1) & (F.col("df") <= RARE)
+    return both.select("id", "a", "t", idf.alias("w"), (F.greatest(idf, F.lit(0.0)) ** power * near).alias("s"), rare.alias("rare")).where("w > 0")
+
+
+def walks(profile: DataFrame, hops: int = 2, ring: int = 64) -> DataFrame:
+    """Sentences of random walks: tokens of a record, a token it shares, and
+    tokens of the next record of that token. The records that a token leads to
+    stand in rings of about ``ring``, so that every record is reached once a
+    step however frequent the token is."""
+    steps = profile.select("id", "sample", F.explode(F.array_distinct(F.slice("sample", 1, hops))).alias("t"))
+    sizes = steps.groupBy("t").agg(F.count("*").alias("m")).where("m > 1")
+    # a token's rings are keys of their own, salted by the record
+    placed = steps.join(sizes.hint("merge"), "t").withColumn("g", F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("m") / ring).cast("long")))
+    order = Window.partitionBy("t", "g").orderBy(F.xxhash64("id", F.lit(6)), "id")
+    ends = placed.withColumn("other", F.lead("sample").over(order)).where("other is not null")
     hashed = F.transform(F.concat("sample", F.array("t"), "other"), lambda t: F.pmod(t, F.lit(VOCABULARY)).cast("string"))
     return ends.select(hashed.alias("walk"))
 
@@ -154,8 +177,9 @@ def token_vectors(walks: DataFrame, *, dimensions: int = DIMENSIONS, seed: int =
 
     rng = np.random.default_rng(seed)
     table = rng.standard_normal((VOCABULARY, dimensions))
-    if not walks.isEmpty():
-        parts = max(1, min(walks.sparkSession.sparkContext.defaultParallelism, 12))
+    n = walks.count()
+    if n:
+        parts = -(-n // WALKS_A_TASK)
         model = Word2Vec(vectorSize=dimensions, minCount=1, maxIter=1, numPartitions=parts, windowSize=4, seed=seed, inputCol="walk", outputCol="v", maxSentenceLength=100).fit(walks)
         for word, vector in model.getVectors().toLocalIterator():  # at most VOCABULARY rows
             table[int(word)] = np.asarray(vector.toArray() if hasattr(vector, "toArray") else vector)
@@ -189,64 +213,56 @@ def _sampler(per_record: int):
     return sample
 
 
-def _hasher(vectors: np.ndarray, tables: int, bits: int, seed: int):
-    planes = np.random.default_rng(seed + 1).standard_normal((tables + DESCRIPTION_TABLES, vectors.shape[1], bits)).astype(np.float32)
+def hyperplanes(n: int) -> int:
+    """Signs of a key: enough that of ``n`` records few other walks meet."""
+    return min(60, 2 * math.ceil(math.log2(max(n, 2))) + 8)
+
+
+#: The walks of a table: which tokens each step goes to (n name, d
+#: description, l link), and the number of tables. The last kind tells only how
+#: many records go the same way.
+WALKS = {"nnd": 64, "ld": 32}
+CROWD = {"ddd": 12}
+
+
+def _hasher(vectors: np.ndarray, bits: int, seed: int):
+    kinds = [k for kinds in (WALKS, CROWD) for k, n in kinds.items() for _ in range(n)]
+    planes = np.random.default_rng(seed + 1).standard_normal((len(kinds), vectors.shape[1], bits)).astype(np.float32)
     powers = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    # for every sort of token the seeds of its draws, and per table the draws it takes
+    wanted = {c: [(t, i) for t, k in enumerate(kinds) for i, x in enumerate(k) if x == c] for c in "ndl"}
+    seeds = {c: np.array([t * 8 + i for t, i in v], np.int64) for c, v in wanted.items()}
+    owner = {c: np.array([t for t, _ in v], np.int64) for c, v in wanted.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots, more = np.arange(tables), np.arange(DESCRIPTION_TABLES) * 3 + 500_000
         for pdf in batches:
-            keys = []
-            for nt, nw, dt, dw in zip(pdf["nt"], pdf["nw"], pdf["dt"], pdf["dw"]):
-                nt, dt = np.asarray(nt, np.int64), np.asarray(dt, np.int64)
-                nw, dw = np.asarray(nw, float), np.asarray(dw, float)
-                first, second, third = (dt[_draw(dt, dw, more + k)] for k in range(3))
-                if len(nt):  # else no token of the name is known elsewhere
-                    named = nt[_draw(nt, nw, slots * 3)], nt[_draw(nt, nw, slots * 3 + 1)], dt[_draw(dt, dw, slots * 3 + 2)]
-                    first, second, third = (np.concatenate(v) for v in zip((first, second, third), named))
-                total = vectors[first % VOCABULARY] + vectors[second % VOCABULARY] + vectors[third % VOCABULARY]
-                signs = np.einsum("td,tdb->tb", total, planes[: len(total)]) > 0
-                keys.append((signs * powers).sum(axis=1).astype(np.int64))
-            yield pd.DataFrame({"id": pdf["id"], "site": pdf["site"], "keys": keys})
+            total = np.zeros((len(pdf), len(kinds), vectors.shape[1]), np.float32)
+            known = np.ones((len(pdf), len(kinds)), bool)
+            for c in "ndl":
+                for r, (tokens, weights) in enumerate(zip(pdf[c + "t"], pdf[c + "w"])):
+                    tokens, weights = np.asarray(tokens, np.int64), np.asarray(weights, float)
+                    if len(tokens):
+                        step = tokens[_draw(tokens, weights, seeds[c])]
+                        np.add.at(total[r], owner[c], vectors[step % VOCABULARY])
+                    else:  # no token of this sort is known on the other site
+                        known[r, owner[c]] = False
+            signs = np.einsum("rtd,tdb->rtb", total, planes, optimize=True) > 0
+            keys = (signs * powers).sum(axis=2).view(np.int64)
+            rows, tables = np.nonzero(known)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "is_a": pdf["is_a"].to_numpy()[rows], "tb": tables.astype(np.int32), "key": keys[rows, tables]})
 
     return run
 
 
-LINKS = {"rare": (-1,), "init": (-2, -3), "named": (-4, -5)}
-
-
-def _linking(recs: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Keys (id, site, tb, key, side) that need no similar names: a rare word
-    of the description, a name of the other's initials, a name met in the
-    other's description. ``side`` 0 is compared with 1, null with null."""
-    key = lambda tb, side, c: F.struct(F.lit(tb).alias("tb"), F.lit(side).cast("int").alias("side"), c.alias("key"))
-    initial, short = F.xxhash64(F.lit("i"), "ini"), F.xxhash64(F.lit("i"), "nk")
-    name = F.xxhash64(F.lit("m"), "nk")
-    own = F.array(
-        F.when(F.col("ini").isNotNull(), key(-2, 0, initial)), F.when(F.length("nk").between(2, 5), key(-2, 1, short)),
-        F.when(F.length("nk").between(2, 5), key(-3, 0, short)), F.when(F.col("ini").isNotNull(), key(-3, 1, initial)),
-        key(-4, 0, name), key(-5, 1, name),
-    )
-    met = F.flatten(F.transform("mentions", lambda m: F.array(key(-4, 1, m), key(-5, 0, m))))
-    made = recs.select("id", "site", F.explode(F.concat(F.filter(own, lambda v: v.isNotNull()), F.coalesce(met, F.array().cast("array<struct<tb:int,side:int,key:bigint>>")))).alias("x")).select("id", "site", "x.tb", "x.key", "x.side")
-    rare = weighted.where("rare").join(recs.select("id", "site"), "id").select("id", "site", F.lit(-1).alias("tb"), F.col("t").alias("key"), F.lit(None).cast("int").alias("side"))
-    return made.unionByName(rare)
-
-
-def _candidates(rows: DataFrame, left: str, right: str, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a of left, b of right) with an equal key in some table, and which
-    links they have. Keys of many records are cut into chunks, every pair of
-    chunks a join key. Left is side 0 of a table, right is side 1."""
-    is_a = (F.col("site") == left) & (F.coalesce("side", F.lit(0)) == 0)
-    is_b = (F.col("site") == right) & (F.coalesce("side", F.lit(1)) == 1)
-    rows = rows.select("id", "tb", "key", is_a.alias("is_a"), is_b.alias("is_b")).where("is_a or is_b")
-    counts = rows.groupBy("tb", "key").agg(F.count_if("is_a").alias("ma"), F.count_if("is_b").alias("mb")).where("ma > 0 and mb > 0")
-    counts = counts.withColumn("ca", F.ceil(F.col("ma") / chunk).cast("long")).withColumn("cb", F.ceil(F.col("mb") / chunk).cast("long"))
-    live = rows.join(counts, ["tb", "key"])
+def _candidates(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) of the two sites with an equal key in some table. Keys of
+    many records are cut into chunks, every pair of chunks a join key."""
+    counts = rows.groupBy("tb", "key").agg(F.count_if("is_a").alias("ma"), F.count_if(~F.col("is_a")).alias("mb")).where("ma > 0 and mb > 0")
+    counts = counts.select("tb", "key", F.ceil(F.col("ma") / chunk).cast("long").alias("ca"), F.ceil(F.col("mb") / chunk).cast("long").alias("cb"))
+    live = rows.join(counts.hint("merge"), ["tb", "key"])
     a = live.where("is_a").select("tb", "key", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), "ca").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cb") - 1)).alias("j"))
-    b = live.where("is_b").select("tb", "key", F.col("id").alias("b"), F.pmod(F.xxhash64("id"), "cb").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ca") - 1)).alias("i"))
-    flags = [F.max(F.col("tb").isin(*tbs).cast("double")).alias(kind) for kind, tbs in LINKS.items()]
-    return a.join(b, ["tb", "key", "i", "j"]).groupBy("a", "b").agg(*flags)
+    b = live.where("not is_a").select("tb", "key", F.col("id").alias("b"), F.pmod(F.xxhash64("id"), "cb").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ca") - 1)).alias("i"))
+    return a.hint("merge").join(b, ["tb", "key", "i", "j"]).select("a", "b").distinct()
 
 
 def _name_dice(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -271,16 +287,46 @@ def _name_dice(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def _exact(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series, na: pd.Series, va: pd.Series, nb: pd.Series, vb: pd.Series, ea: pd.Series, eb: pd.Series) -> pd.DataFrame:
+def _shared(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> tuple[np.ndarray, ...]:
+    """Per pair of rows of sorted tokens with weights: the product sum of the
+    shared ones, the sums of both sides' weights of them, the largest, and the
+    sums and square sums of all weights of both sides."""
+    n = len(ta)
+
+    def flat(t, w):
+        size = np.array([len(v) for v in t])
+        row = np.repeat(np.arange(n), size)
+        tokens = np.concatenate(t.to_list() or [[]]).astype(np.int64).view(np.uint64) if size.sum() else np.empty(0, np.uint64)
+        weights = np.concatenate(w.to_list() or [[]]).astype(float) if size.sum() else np.empty(0)
+        with np.errstate(over="ignore"):
+            return row, tokens ^ _mix(row.astype(np.uint64) + np.uint64(1)), weights
+
+    ra, ka, va = flat(ta, wa)
+    rb, kb, vb = flat(tb, wb)
+    order = np.argsort(kb)
+    at = np.searchsorted(kb, ka, sorter=order)
+    at = order[np.minimum(at, max(len(order) - 1, 0))] if len(order) else np.zeros(len(ka), int)
+    hit = (kb[at] == ka) if len(order) else np.zeros(len(ka), bool)
+    row, x = ra[hit], va[hit]
+    y = vb[at[hit]] if len(order) else x
+    add = lambda r, v: np.bincount(r, weights=v, minlength=n)
+    top = np.zeros(n)
+    np.maximum.at(top, row, x)
+    return add(row, x * y), add(row, x), add(row, y), top, add(ra, va), add(rb, vb), add(ra, va**2), add(rb, vb**2)
+
+
+_FEATURES = "name double, back double, fore double, shared double, link double, vec double"
+
+
+def _exact(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series, na: pd.Series, va: pd.Series, nb: pd.Series, vb: pd.Series, la: pd.Series, ua: pd.Series, lb: pd.Series, ub: pd.Series, ea: pd.Series, eb: pd.Series) -> pd.DataFrame:
     """Weighted cosine of the names, weighted containment of each description
-    in the other one, cosine of the records' vectors."""
-    rows = []
-    for t1, w1, t2, w2, n1, v1, n2, v2, e1, e2 in zip(ta, wa, tb, wb, na, va, nb, vb, ea, eb):
-        _, i, j = np.intersect1d(n1, n2, assume_unique=True, return_indices=True)
-        name = float((v1[i] * v2[j]).sum() / max(np.sqrt((v1**2).sum() * (v2**2).sum()), 1e-9))
-        _, i, j = np.intersect1d(t1, t2, assume_unique=True, return_indices=True)
-        rows.append((name, float(w1[i].sum() / max(w1.sum(), 1e-9)), float(w2[j].sum() / max(w2.sum(), 1e-9)), float(np.dot(e1, e2)), float(w1[i].sum())))
-    return pd.DataFrame(rows, columns=["name", "back", "fore", "vec", "shared"])
+    in the other one, the weight shared, the heaviest shared link, cosine of
+    the records' vectors."""
+    dot, *_, p, q = _shared(na, va, nb, vb)
+    _, x, y, _, sx, sy, _, _ = _shared(ta, wa, tb, wb)
+    link = _shared(la, ua, lb, ub)[3]
+    vec = [float(np.dot(e, f)) for e, f in zip(ea, eb)]
+    return pd.DataFrame({"name": dot / np.maximum(np.sqrt(p * q), 1e-9), "back": x / np.maximum(sx, 1e-9), "fore": y / np.maximum(sy, 1e-9), "shared": x, "link": link, "vec": vec})
 
 
 def _embedder(vectors: np.ndarray):
@@ -289,144 +335,151 @@ def _embedder(vectors: np.ndarray):
         out = []
         for a, x, b, y in zip(nt, nw, dt, dw):
             x, y = np.asarray(x, np.float32), np.asarray(y, np.float32)
-            v = (vectors[np.asarray(a, np.int64) % VOCABULARY] * (x / max(x.sum(), 1e-9))[:, None]).sum(0) + (vectors[np.asarray(b, np.int64) % VOCABULARY] * (y / y.sum())[:, None]).sum(0)
+            v = (vectors[np.asarray(a, np.int64) % VOCABULARY] * (x / max(x.sum(), 1e-9))[:, None]).sum(0) + (vectors[np.asarray(b, np.int64) % VOCABULARY] * (y / max(y.sum(), 1e-9))[:, None]).sum(0)
             out.append(v / max(float(np.linalg.norm(v)), 1e-9))
         return pd.Series(out, dtype=object)
 
     return embed
 
 
-def scored_candidates(table: DataFrame, left: str = "github", right: str = "sourceforge", *, tables: int = TABLES, seed: int = SEED) -> DataFrame:
-    """Candidates (a, b) with their exact attribute scores."""
-    recs = cut(records(table))
-    weighted = cut(weigh(recs))
+def candidates(reps: DataFrame, left: str, right: str, *, seed: int = SEED, vectors: np.ndarray | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles, pairs (a, b) that meet in some table, and (id, crowd): how
+    many records, by the mean logarithm over tables, go a record's ways."""
+    weighted = weigh(reps, left, right)
     by = lambda a, c: F.transform(F.array_sort(F.filter("x", lambda s: s["a"] == a)), lambda s: s[c])
+    linking = F.filter("x", lambda s: (s["a"] == 2) | s["rare"])
     profile = (
         weighted.groupBy("id")
-        .agg(F.collect_list(F.struct("a", "t", "w", "s")).alias("x"))
-        .select("id", by(0, "t").alias("nt"), by(0, "w").alias("nv"), by(0, "s").alias("nw"), by(1, "t").alias("dt"), by(1, "w").alias("dv"), by(1, "s").alias("dw"))
+        .agg(F.collect_list(F.struct("a", "t", "w", "s", "rare")).alias("x"))
+        .select("id", by(0, "t").alias("nt"), by(0, "w").alias("nv"), by(0, "s").alias("nw"), by(1, "t").alias("dt"), by(1, "w").alias("dv"), by(1, "s").alias("dw"),
+                F.transform(linking, lambda s: s["t"]).alias("lt"), F.transform(linking, lambda s: s["w"]).alias("lv"), F.transform(linking, lambda s: s["w"] ** 2.5).alias("lw"))
         .where("size(dt) > 0")
-        .join(recs.select("id", "site", "nk", "lg", "lc"), "id")
-        .withColumn("sample", _sampler(6)(F.concat("nt", "dt"), F.concat("nw", "dw")))
-    )
-    profile = cut(profile)
-    vectors = token_vectors(_sentences(weighted, profile), seed=seed)
-    keys = profile.select("id", "site", "nt", "nw", "dt", "dw").mapInPandas(_hasher(vectors, tables, BITS, seed), _KEYS)
-    walked = keys.select("id", "site", F.posexplode("keys").alias("tb", "key"), F.lit(None).cast("int").alias("side"))
-    pairs = _candidates(walked.unionByName(_linking(recs, weighted)), left, right)
-    names = profile.select("id", "nk")
-    pairs = (
-        pairs.join(names.select(F.col("id").alias("a"), F.col("nk").alias("ka")), "a")
-        .join(names.select(F.col("id").alias("b"), F.col("nk").alias("kb")), "b")
-        .withColumn("dice", F.pandas_udf(_name_dice, "double")("ka", "kb"))
-        .select("a", "b", "ka", "kb", "dice", "rare", "init", "named")
-    )
-    full = profile.select("id", "nt", "nv", "dt", "dv", "lg", "lc", _embedder(vectors)("nt", "nw", "dt", "dw").alias("e"))
-    one = full.select(*[F.col(c).alias({"id": "a"}.get(c, c + "1")) for c in full.columns])
-    two = full.select(*[F.col(c).alias({"id": "b"}.get(c, c + "2")) for c in full.columns])
+        .join(reps.select("id", (F.col("site") == left).alias("is_a"), "nk", "lg", "lc"), "id")
+    )
+    profile = cut(profile.withColumn("sample", _sampler(6)(F.concat("nt", "dt", "lt"), F.concat("nw", "dw", "lw"))))
+    vectors = token_vectors(walks(profile), seed=seed) if vectors is None else vectors
+    keys = profile.select("id", "is_a", "nt", "nw", "dt", "dw", "lt", "lw").mapInPandas(_hasher(vectors, hyperplanes(profile.count()), seed), "id long, is_a boolean, tb int, key long")
+    keys = cut(keys)
+    walked = sum(WALKS.values())
+    ways = keys.where(F.col("tb") >= walked)
+    crowd = ways.join(ways.groupBy("tb", "key").agg(F.count("*").alias("m")).hint("merge"), ["tb", "key"]).groupBy("id").agg(F.avg(F.ln("m")).alias("crowd"))
+    full = profile.select("id", "nk", "nt", "nv", "dt", "dv", "lt", "lv", "lg", "lc", _embedder(vectors)("nt", "nw", "dt", "dw").alias("e")).join(crowd.hint("merge"), "id", "left")
+    return cut(full), _candidates(keys.where(F.col("tb") < walked)), keys
+
+
+def scored_candidates(table: DataFrame, left: str = "github", right: str = "sourceforge", *, seed: int = SEED, vectors: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b) of distinct records with their exact attribute scores,
+    and the rows (rep, id) of every record."""
+    reps, members = distinct_records(cut(records(table)))
+    full, pairs, _ = candidates(reps, left, right, seed=seed, vectors=vectors)
+    few = full.select("id", "nk", "lt")
+    named = (
+        pairs.hint("merge").join(few.select(F.col("id").alias("a"), F.col("nk").alias("ka"), F.col("lt").alias("la")), "a")
+        .hint("merge").join(few.select(F.col("id").alias("b"), F.col("nk").alias("kb"), F.col("lt").alias("lb")), "b")
+        .select("a", "b", F.arrays_overlap("la", "lb").alias("linked"), F.pandas_udf(_name_dice, "double")("ka", "kb").alias("dice"))
+        # a match needs a like name or a link
+        .where((F.col("dice") >= LEAST_NAME) | F.col("linked"))
+        .select("a", "b", "dice")
+    )
+    one = full.drop("nk").select(*[F.col(c).alias({"id": "a"}.get(c, c + "1")) for c in full.columns if c != "nk"])
+    two = full.drop("nk").select(*[F.col(c).alias({"id": "b"}.get(c, c + "2")) for c in full.columns if c != "nk"])
     agree = lambda x, y: F.when(F.col(x).isNull() | F.col(y).isNull(), 0.0).when(F.col(x) == F.col(y), 1.0).otherwise(-1.0)
-    top = F.broadcast(weighted.agg(F.max("w").alias("top")))
-    scored = cut(
-        pairs.join(one, "a")
-        .join(two, "b")
-        .withColumn("f", F.pandas_udf(_exact, "name double, back double, fore double, vec double, shared double")("dt1", "dv1", "dt2", "dv2", "nt1", "nv1", "nt2", "nv2", "e1", "e2"))
-        .crossJoin(top)
-        .select("a", "b", "ka", "kb", "dice", "rare", "init", "named", "f.name", "f.back", "f.fore", "f.vec", (F.col("f.shared") / F.col("top")).alias("shared"), agree("lg1", "lg2").alias("lang"), agree("lc1", "lc2").alias("lic"))
-    )
-    rivals = _best_other(scored, "a", "kb").join(_best_other(scored, "b", "ka"), ["a", "b"])
-    return scored.join(rivals, ["a", "b"]).withColumn("lead", F.col("shared") - F.greatest("over_a", "over_b")).drop("ka", "kb", "over_a", "over_b")
-
-
-def _best_other(scored: DataFrame, side: str, other: str) -> DataFrame:
-    """(a, b, over_side): the most that the record of the side shares with a
-    candidate of another name."""
-    per_name = scored.groupBy(side, other).agg(F.max("shared").alias("m"))
-    best = per_name.groupBy(side).agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("m", F.col(other).alias("k"))))), 1, 2).alias("best"))
-    rest = F.filter("best", lambda v: v["k"] != F.col(other))
-    return scored.select("a", "b", other).join(best, side).select("a", "b", F.coalesce(F.try_element_at(rest, F.lit(1))["m"], F.lit(0.0)).alias(f"over_{side}"))
-
-
-#: Weights of the scores in the raw score and its constant, from the sf0.1
-#: tables; AGREEMENT is the weight of an equal or unequal language or licence.
-WEIGHTS = {"dice": 6.0, "name": 2.0, "back": 14.0, "fore": 14.0, "vec": 1.0}
-CONSTANT = -12.5
-AGREEMENT = 1.2
-# both views must speak for a match: (least value, weight of what is missing)
-LEAST = {"dice": (0.7, 12.0), "back": (0.2, 20.0)}
-# the score where the names say little: what the descriptions share, in tokens
-# of the highest weight, its lead over other names, and what else links the two
-WEAK_NAME = (0.4, 0.7)  # below the first it decides, below the second the better one
-WEAK = {"rare": 5.0, "init": 6.0, "named": 6.0}
-WEAK_SHARED = 5.5
-WEAK_LEAD = (1.6, 2.5)
-WEAK_LEAST = {"shared": (3.0, 6.0), "lead": (1.0, 10.0)}
-WEAK_CONSTANT = -13.0
-STRATA = 32
-
-
-def platt(z: np.ndarray, y: np.ndarray, strength: float = 20.0, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of the logistic calibration curve, drawn towards (1, 0)
-    as by ``strength`` observations."""
-    x = np.stack([z, np.ones(len(z))], axis=1)
-    start = np.array([1.0, 0.0])
-    beta = start.copy()
+    scored = (
+        cut(named).hint("merge").join(one, "a").hint("merge").join(two, "b")
+        .withColumn("f", F.pandas_udf(_exact, _FEATURES)("dt1", "dv1", "dt2", "dv2", "nt1", "nv1", "nt2", "nv2", "lt1", "lv1", "lt2", "lv2", "e1", "e2"))
+        .select("a", "b", "dice", "f.*", "crowd1", "crowd2", agree("lg1", "lg2").alias("lang"), agree("lc1", "lc2").alias("lic"))
+    )
+    return cut(scored), members
+
+
+#: The attribute scores, as they enter the model.
+SCORES = {
+    "dice": F.col, "name": F.col, "back": F.col, "fore": F.col, "vec": F.col, "link": lambda c: F.col(c) / 10,
+    "linked": lambda c: (F.col("link") > 0).cast("double"), "shared": lambda c: F.least(F.col(c) / 40, F.lit(2.0)),
+    "crowd1": lambda c: F.least(F.coalesce(F.col(c), F.lit(0.0)), F.lit(3.0)), "crowd2": lambda c: F.least(F.coalesce(F.col(c), F.lit(0.0)), F.lit(3.0)),
+}
+STRATA = 16
+
+
+@dataclass
+class Calibration:
+    """A logistic curve over the scores and their products."""
+
+    centre: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    chance: float
+    missed: float
+
+    def design(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.centre) / self.scale
+        return np.concatenate([z] + [z[:, i : i + 1] * z[:, i:] for i in range(z.shape[1])] + [np.ones((len(z), 1))], axis=1)
+
+    def confidence(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weights, -30, 30)))
+
+    def column(self, scores: list[Column]) -> Column:
+        z = [(c - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(scores, self.centre, self.scale)]
+        w, n = [float(v) for v in self.weights], len(z)
+        total, at = F.lit(w[-1]), n
+        for i in range(n):
+            inner = F.lit(w[i])
+            for j in range(i, n):
+                inner = inner + F.lit(w[at]) * z[j]
+                at += 1
+            total = total + z[i] * inner
+        return 1 / (1 + F.exp(-total))
+
+
+def _logistic(x: np.ndarray, t: np.ndarray, ridge: np.ndarray, rounds: int = 30) -> np.ndarray:
+    beta = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (y - p) - strength * (beta - start)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        beta = beta + np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-7:
+        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(hess, x.T @ (t - p) - ridge * beta)
+        beta = beta + step
+        if np.abs(step).max() < 1e-6:
             break
-    return float(beta[0]), float(beta[1])
-
-
-def noisy_platt(z: np.ndarray, y: np.ndarray, rounds: int = 40) -> tuple[float, float, float]:
-    """Slope, offset and chance rate (EM): a label is 1 for every match and,
-    with the chance rate, for a pair that is none."""
-    slope, offset, chance = 1.0, 0.0, 0.05
-    if not len(z):
-        return slope, offset, chance
+    return beta
+
+
+def fit_calibration(x: np.ndarray, y: np.ndarray, start: np.ndarray, *, ridge: float = 1.0, rounds: int = 60) -> Calibration:
+    """The curve from noisy labels (EM). ``y`` is 1 where language and licence
+    agree, which a match fails with a rate ``missed`` and others meet with a
+    rate ``chance``; both rates are fitted. ``start`` is a first guess."""
+    out = Calibration(x.mean(axis=0) if len(x) else np.zeros(x.shape[1]), (x.std(axis=0) if len(x) else np.zeros(x.shape[1])) + 1e-3, np.empty(0), 0.05, 0.08)
+    z = out.design(x)
+    penalty = np.full(z.shape[1], ridge)
+    penalty[-1] = 1e-3
+    p = np.clip(start, 0.01, 0.99)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30)))
-        t = np.where(y > 0, p / (p + (1 - p) * chance), 0.0)
-        chance = float(np.clip(((1 - t) * y).sum() / max((1 - t).sum(), 1e-9), 1e-3, 0.5))
-        before, (slope, offset) = (slope, offset), platt(z, t)
-        if abs(before[0] - slope) + abs(before[1] - offset) < 1e-5:
+        t = np.where(y > 0, p * (1 - out.missed) / (p * (1 - out.missed) + (1 - p) * out.chance), p * out.missed / (p * out.missed + (1 - p) * (1 - out.chance)))
+        out.chance = float(np.clip(((1 - t) * y).sum() / max((1 - t).sum(), 1e-9), 1e-3, 0.5))
+        out.missed = float(np.clip((t * (1 - y)).sum() / max(t.sum(), 1e-9), 0.01, 0.3))
+        out.weights = _logistic(z, t, penalty)
+        before, p = p, out.confidence(x)
+        if not len(p) or np.abs(p - before).max() < 1e-3:
             break
-    return slope, offset, chance
+    return out
 
 
-def calibration(scored: DataFrame) -> tuple[float, float, float]:
-    """The fitted slope, offset and chance rate of (a, b, raw, lang, lic)."""
-    sure = scored.where("lang = lic and lang != 0").withColumn("bin", F.greatest(F.lit(-STRATA // 2), F.least(F.lit(STRATA // 2 - 1), F.floor("raw"))))
-    share = F.broadcast(sure.groupBy("bin").agg((F.lit(CALIBRATION_ROWS / STRATA) / F.count("*")).alias("share")))  # at most STRATA rows
-    drawn = sure.join(share, "bin").where(F.pmod(F.xxhash64("a", "b"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
-    sample = drawn.select("a", "b", "raw", (F.col("lang") > 0).cast("double").alias("y")).limit(2 * CALIBRATION_ROWS).toPandas().sort_values(["a", "b"])
-    return noisy_platt(sample["raw"].clip(-STRATA // 2, STRATA // 2).to_numpy(), sample["y"].to_numpy())
+def calibrate(scored: DataFrame) -> Calibration:
+    """Fit on at most CALIBRATION_ROWS pairs of known language and licence, the
+    same number from every stratum of a first guess: how alike the names are,
+    times how much of one description is in the other."""
+    guess = F.greatest("dice", F.when(F.col("link") > 0, 0.8).otherwise(0.0)) * F.col("back")
+    known = scored.where("lang != 0 and lic != 0").select("a", "b", guess.alias("start"), ((F.col("lang") > 0) & (F.col("lic") > 0)).cast("double").alias("y"), *[make(c).alias(f"x_{c}") for c, make in SCORES.items()])
+    known = known.withColumn("bin", F.least(F.lit(STRATA - 1), F.floor(F.col("start") * STRATA)))
+    share = F.broadcast(known.groupBy("bin").agg((F.lit(CALIBRATION_ROWS / STRATA) / F.count("*")).alias("share")))  # at most STRATA rows
+    drawn = known.join(share, "bin").where(F.pmod(F.xxhash64("a", "b"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    sample = drawn.limit(2 * CALIBRATION_ROWS).toPandas().sort_values(["a", "b"])
+    return fit_calibration(sample[[f"x_{c}" for c in SCORES]].to_numpy(float), sample["y"].to_numpy(float), sample["start"].to_numpy(float))
 
 
-def match_entities(table: DataFrame, left: str = "github", right: str = "sourceforge", *, threshold: float = 0.5, tables: int = TABLES) -> DataFrame:
+def match_entities(table: DataFrame, left: str = "github", right: str = "sourceforge", *, threshold: float = 0.5, vectors: np.ndarray | None = None) -> DataFrame:
     """Pairs (a, b, confianca) of records of the two sites at the threshold."""
-    raw = F.lit(CONSTANT)
-    for name, weight in WEIGHTS.items():
-        raw = raw + F.lit(weight) * F.col(name)
-    for name, (least, weight) in LEAST.items():
-        raw = raw - F.lit(weight) * F.greatest(F.lit(0.0), F.lit(least) - F.col(name))
-    weight, most = WEAK_LEAD
-    weak = F.lit(WEAK_CONSTANT) + F.least("shared", F.lit(WEAK_SHARED)) + F.lit(weight) * F.greatest(F.lit(-most), F.least("lead", F.lit(most)))
-    # one link is enough: a name of initials often stands beside a rare word
-    weak = weak + F.greatest(*[F.lit(part) * F.col(name) for name, part in WEAK.items()])
-    # without a like name a description must share much, and more than with others
-    for name, (least, part) in WEAK_LEAST.items():
-        lack = F.lit(part) * F.greatest(F.lit(0.0), F.lit(least) - F.col(name))
-        weak = weak - lack
-        if name == "lead":
-            raw = raw - F.when(F.col("dice") < WEAK_NAME[1], lack).otherwise(0.0)
-    low, high = WEAK_NAME
-    scored = scored_candidates(table, left, right, tables=tables).withColumns({"strong": F.when(F.col("dice") >= low, raw), "weak": F.when(F.col("dice") < high, weak)})
-    # agreement weighs twice where it stands in for the name
-    scored = cut(scored.select("a", "b", F.greatest("strong", "weak").alias("raw"), F.when((F.col("weak") > F.coalesce("strong", F.lit(-1e9))) & (F.greatest(*WEAK) > 0), 2.0).otherwise(1.0).alias("twice"), "lang", "lic"))
-    slope, offset, _ = calibration(scored)
-    z = F.lit(slope) * F.col("raw") + F.lit(offset) + AGREEMENT * F.col("twice") * (F.col("lang") + F.col("lic"))
-    return scored.select("a", "b", (1 / (1 + F.exp(-z))).alias("confianca")).where(F.col("confianca") >= threshold)
+    scored, members = scored_candidates(table, left, right, vectors=vectors)
+    model = calibrate(scored)
+    sure = scored.select("a", "b", model.column([make(c) for c, make in SCORES.items()]).alias("confianca")).where(F.col("confianca") >= threshold)
+    rows = lambda side: members.select(F.col("rep").alias(side), F.col("id").alias(f"{side}_id"))
+    return sure.join(rows("a").hint("merge"), "a").join(rows("b").hint("merge"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "confianca")
