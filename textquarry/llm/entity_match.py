@@ -99,8 +99,8 @@ def records(table: DataFrame) -> DataFrame:
     # the record's own name says nothing new where its description repeats it
     words = F.filter(words, lambda w: (F.length(w) < 3) | ~F.contains(key, w))
     base = table.select(F.col("id").cast("long").alias("id"), "site", "nome", "descricao", "linguagem", "licenca")
-    base = once(wide_enough(base), "id", "site", nk=key, ini=initials(F.col("nome")), dw=words, pw=plain, lg=F.lower(F.trim("linguagem")), lc=licence_family(F.col("licenca")))
-    base = base.where((F.length("nk") > 0) & (F.size("dw") > 0) & F.col("site").isNotNull()).dropDuplicates(["id"])
+    base = once(wide_enough(base.dropDuplicates(["id"])), "id", "site", nk=key, ini=initials(F.col("nome")), dw=words, pw=plain, lg=F.lower(F.trim("linguagem")), lc=licence_family(F.col("licenca")))
+    base = base.where((F.length("nk") > 0) & (F.size("dw") > 0) & F.col("site").isNotNull())
     padded = F.concat(F.lit("^"), F.col("nk"), F.lit("$"))
     grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
     pairs = F.zip_with(F.slice("dw", 1, F.greatest(F.size("dw") - 1, F.lit(0))), F.slice("dw", 2, F.greatest(F.size("dw") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
@@ -221,35 +221,39 @@ def hyperplanes(n: int) -> int:
 #: The walks of a table: which tokens each step goes to (n name, d
 #: description, l link), and the number of tables. The last kind tells only how
 #: many records go the same way.
-WALKS = {"nnd": 64, "ld": 32}
-CROWD = {"ddd": 12}
+WALKS = {"nnd": 56, "ld": 32}
+CROWD = {"ddd": 8}
+SLICE = 512
 
 
 def _hasher(vectors: np.ndarray, bits: int, seed: int):
     kinds = [k for kinds in (WALKS, CROWD) for k, n in kinds.items() for _ in range(n)]
     planes = np.random.default_rng(seed + 1).standard_normal((len(kinds), vectors.shape[1], bits)).astype(np.float32)
-    powers = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-    # for every sort of token the seeds of its draws, and per table the draws it takes
-    wanted = {c: [(t, i) for t, k in enumerate(kinds) for i, x in enumerate(k) if x == c] for c in "ndl"}
-    seeds = {c: np.array([t * 8 + i for t, i in v], np.int64) for c, v in wanted.items()}
-    owner = {c: np.array([t for t, _ in v], np.int64) for c, v in wanted.items()}
+    # for every sort of token: the seeds of its draws by table, the tables, where each one's draws begin
+    draws = {}
+    for c in "ndl":
+        wanted = [(t, i) for t, k in enumerate(kinds) for i, x in enumerate(k) if x == c]
+        tables, first = np.unique([t for t, _ in wanted], return_index=True)
+        draws[c] = np.array([t * 8 + i for t, i in wanted], np.int64), tables, first
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            total = np.zeros((len(pdf), len(kinds), vectors.shape[1]), np.float32)
-            known = np.ones((len(pdf), len(kinds)), bool)
-            for c in "ndl":
-                for r, (tokens, weights) in enumerate(zip(pdf[c + "t"], pdf[c + "w"])):
-                    tokens, weights = np.asarray(tokens, np.int64), np.asarray(weights, float)
-                    if len(tokens):
-                        step = tokens[_draw(tokens, weights, seeds[c])]
-                        np.add.at(total[r], owner[c], vectors[step % VOCABULARY])
-                    else:  # no token of this sort is known on the other site
-                        known[r, owner[c]] = False
-            signs = np.einsum("rtd,tdb->rtb", total, planes, optimize=True) > 0
-            keys = (signs * powers).sum(axis=2).view(np.int64)
-            rows, tables = np.nonzero(known)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "is_a": pdf["is_a"].to_numpy()[rows], "tb": tables.astype(np.int32), "key": keys[rows, tables]})
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                pdf = batch.iloc[at : at + SLICE]
+                total = np.zeros((len(kinds), len(pdf), vectors.shape[1]), np.float32)
+                known = np.ones((len(kinds), len(pdf)), bool)
+                for c, (seeds, tables, first) in draws.items():
+                    for r, (tokens, weights) in enumerate(zip(pdf[c + "t"], pdf[c + "w"])):
+                        if len(tokens):
+                            step = np.asarray(tokens, np.int64)[_draw(np.asarray(tokens, np.int64), np.asarray(weights, float), seeds)]
+                            total[tables, r] += np.add.reduceat(vectors[step % VOCABULARY], first)
+                        else:  # no token of this sort is known on the other site
+                            known[tables, r] = False
+                signs = np.zeros((len(kinds), len(pdf), 64), bool)
+                signs[:, :, :bits] = np.matmul(total, planes) > 0
+                keys = np.packbits(signs, axis=2, bitorder="little").view(np.int64)[:, :, 0]
+                tables, rows = np.nonzero(known)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "is_a": pdf["is_a"].to_numpy()[rows], "tb": tables.astype(np.int32), "key": keys[tables, rows]})
 
     return run
 
