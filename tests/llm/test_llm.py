@@ -368,6 +368,29 @@ def test_truncation_statistics_count_a_text_once(spark):
     assert not any(got[2000 + i] for i in range(30))
 
 
+def test_truncation_by_the_posterior(spark):
+    """A heading or a list item may well end a text; at a limit it is a cut."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(1, 12))))
+    say = lambda n: " ".join(" ".join(word() for _ in range(int(rng.integers(3, 12)))).capitalize() + "." for _ in range(n))
+    rows, at_limit, away = [], set(), set()
+    for i in range(900):
+        t = say(int(rng.integers(2, 30)))
+        rows.append((i, t if len(t) <= 700 else t[:700], "src"))
+    for i in range(900, 960):
+        end = f"\n\n## {sentence(rng, 3)}" if i % 3 else f"\n\n- {sentence(rng, 3)} those\n- {sentence(rng, 3)} those"
+        t = say(30)[: 700 - len(end)].rstrip() if i % 2 else say(int(rng.integers(2, 8)))
+        t = t + "." * (700 - len(end) - len(t)) + end if i % 2 else t + end
+        rows.append((i, t, "src"))
+        (at_limit if i % 2 else away).add(i)
+    rows += [(2000 + i, say(3) + "\n\n- one of those\n- another of those\n\nThat is all of it.", "src") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id for r in truncation.truncated_texts(df).where("is_cut").collect()}
+    blind = {r.doc_id for r in truncation.truncated_texts(df, use_lengths=False).where("is_cut").collect()}
+    assert at_limit <= found and not found & away
+    assert abs(len(at_limit & blind) - len(away & blind)) <= 3  # without lengths they look the same
+
+
 def test_censored_fit():
     rng = np.random.default_rng(2)
     x = np.exp(rng.normal(5, 0.8, 20_000))

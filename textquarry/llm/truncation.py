@@ -8,16 +8,23 @@ posterior of a value at limit L is
 
     (n_L / N) / (n_L / N + f(L))
 
-with the fitted density f. Its log-odds are added to the evidence of the
-ending: cut marks, sentence ends, open code blocks, list items against the
-ends of list items elsewhere, and closing lines. A closing line ("Thanks")
-ends a share of ``FORMULA_SHARE`` of all texts at least, which bounds their
-number by 1/FORMULA_SHARE and lets them be broadcast, and is rarely continued
-on lines elsewhere.
+with the fitted density f. It is the prior of a text at a limit, uncapped; the
+prior of other texts is one rate, fitted along. The evidence of the ending is
+its class: a cut mark, an open code block, a list item unlike the ends of list
+items elsewhere, a heading, a short line and so on. At limits its weight is the
+log-likelihood ratio between texts at limits and complete texts, fitted by EM;
+away from limits, where nothing tells cut texts from complete ones but their
+ends, it is a fixed one (``START``, which counts as ``GUESS`` texts at limits).
+A text that ends a sentence, a block or with a closing line does not end inside
+anything and is no case wherever it ends.
+
+A closing line ("Thanks") ends a share of ``FORMULA_SHARE`` of all texts at
+least, which bounds their number by 1/FORMULA_SHARE and lets them be broadcast,
+and is rarely continued on lines elsewhere.
 
 Defined results: null, empty and blank texts are not cut. Repeated texts each
-count, statistics of endings count a text once. A null source is a source of
-its own. Whole texts are read, of any length.
+count, statistics count a text once. A null source is a source of its own.
+Whole texts are read, of any length.
 """
 
 from __future__ import annotations
@@ -28,9 +35,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textquarry.functions.plan import once
 from textquarry.llm.text import wide_enough
+from textquarry.session import cut
 
 FORMULA_SHARE = 0.0003
-FORMULA_WORDS = 9
+#: First guess of every open ending's log-odds of a cut, before the prior.
+START = {
+    "mark": 9.0, "fence": 8.0, "table": 7.0, "dots": 7.0, "dots_after_sentence": 0.0, "number": 7.0, "heading": 2.0, "item_shorter": 6.5, "item_unlike": 5.5,
+    "item": 0.0, "url": 0.0, "version": -1.0, "signature": -2.0, "notice": 5.0, "fields": 0.0, "letter": 0.0, "short": 4.5, "line": 7.0,
+}
+GUESS = 20.0
+RATE = 0.02
 _LIMITS = "source string, unit string, limit long, n long, posterior double, mu double, sigma double"
 
 _LIST_ITEM = r"^\s{0,8}(?:[-*+•]|\d{1,3}[.)])\s"
@@ -68,7 +82,8 @@ def _limits_of(histogram: pd.DataFrame) -> pd.DataFrame:
     source, unit = h["source"].iloc[0], h["unit"].iloc[0]
     lengths, counts = h["len"].to_numpy(), h["n"].to_numpy()
     total = counts.sum()
-    near = np.array([counts[(lengths >= v - 25) & (lengths <= v + 25) & (lengths != v)].sum() / 50 for v in lengths])
+    running = np.concatenate([[0], np.cumsum(counts)])
+    near = (running[np.searchsorted(lengths, lengths + 25, "right")] - running[np.searchsorted(lengths, lengths - 25, "left")] - counts) / 50
     spike = (counts >= 5) & (counts >= 4 * near + 3) & (lengths >= 40) & (counts >= 0.003 * total)
     mu, sigma = censored_fit(lengths, counts, spike)
     rows = []
@@ -81,15 +96,17 @@ def _limits_of(histogram: pd.DataFrame) -> pd.DataFrame:
 
 
 def length_limits(texts: DataFrame) -> DataFrame:
-    """(doc_id, text, source) to the candidate limits of every source. A group
-    is a histogram, one row a distinct length, not the source's rows."""
-    sized = (
-        texts.where(F.trim("text") != "")
-        .select(F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("th"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
-        .distinct()  # a text counts once, however often it is repeated
-        .select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("len")))).alias("x"))
-    )
-    histogram = sized.groupBy("source", "x.unit", "x.len").agg(F.count("*").alias("n"))
+    """(doc_id, text, source) to the candidate limits of every source."""
+    sizes = {"th": F.xxhash64("text"), "chars": F.length("text").cast("long"), "bytes": F.octet_length("text").cast("long")}
+    return _limits(texts.where(F.col("text").rlike(r"\S")).select(F.coalesce("source", F.lit("")).alias("source"), *[c.alias(n) for n, c in sizes.items()]))
+
+
+def _limits(sized: DataFrame) -> DataFrame:
+    """A group is a histogram, one row a distinct length, not the source's rows."""
+    units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("len"))))
+    # a text counts once, however often it is repeated
+    lengths = sized.select("source", "th", "chars", "bytes").distinct().select("source", units.alias("x"))
+    histogram = lengths.groupBy("source", "x.unit", "x.len").agg(F.count("*").alias("n"))
     return histogram.groupBy("source", "unit").applyInPandas(_limits_of, _LIMITS)
 
 
@@ -141,82 +158,114 @@ def _kind(last: Column) -> Column:
     )
 
 
-def truncated_texts(texts: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, text, source) to (doc_id, source, evidence, censored, p_cut,
-    is_cut) for every text that is not null or blank."""
-    ends = _endings(texts).withColumn("kind", _kind(F.col("last")))
-    slim = ends.select("doc_id", "source", "chars", "bytes", "th", "last", "before", "fences", "sibling", "shape", "words", "tail", "kind")
-
-    # closing lines: at most 1/FORMULA_SHARE of them, so they can be broadcast
-    n_texts = slim.agg(F.approx_count_distinct("th").alias("n_texts"))
-    formulas = (
-        slim.where(F.col("words") <= FORMULA_WORDS)
-        .groupBy("shape")
-        .agg(F.countDistinct("th").alias("df"))
-        .join(F.broadcast(n_texts))
-        .where((F.col("df") >= 3) & (F.col("df") >= F.lit(FORMULA_SHARE) * F.col("n_texts")))
-        .select("shape", "df")
-    )
-    line_words = F.split(F.trim(F.col("line")), r"\s+")
+def _closing_lines(slim: DataFrame, lines: DataFrame) -> DataFrame:
+    """Shapes of closing lines. ``lines`` is (th, at, line), all but the last."""
+    n = slim.select("th").distinct().count()
+    formulas = slim.groupBy("shape").agg(F.countDistinct("th").alias("df"), F.max("words").alias("words")).where((F.col("df") >= 3) & (F.col("df") >= FORMULA_SHARE * n))
+    formulas = cut(formulas)  # at most 1/FORMULA_SHARE rows
+    sizes = [r[0] for r in formulas.select("words").distinct().collect()]
+    words = F.split(F.trim("line"), r"\s+")
+    starts = F.transform(F.filter(F.array(*[F.lit(k) for k in sizes]).cast("array<int>"), lambda k: k < F.size("w")), lambda k: F.array_join(F.slice("w", 1, k), " "))
     longer = (
-        ends.select("th", F.posexplode(F.slice("lines", 1, F.size("lines") - 1)).alias("at", "line"))
-        .where(F.trim("line") != "")
-        .select("th", "at", F.slice(line_words, 1, FORMULA_WORDS + 1).alias("w"))
-        .where(F.size("w") > 1)
-        .select("th", "at", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.array_join(F.slice("w", 1, k), " "))).alias("shape"))
+        lines.select("th", "at", words.alias("w"))
+        .select("th", "at", F.explode(starts).alias("shape"))
         .join(F.broadcast(formulas.select("shape")), "shape")
         .groupBy("shape")
         .agg(F.countDistinct("th", "at").alias("longer"))
     )
-    closing = formulas.join(longer, "shape", "left").where(F.col("df") >= 0.25 * F.coalesce("longer", F.lit(0))).select("shape", F.lit(True).alias("closing"))
+    return formulas.join(longer, "shape", "left").where(F.col("df") >= 0.25 * F.coalesce("longer", F.lit(0))).select("shape", F.lit(True).alias("closing"))
+
+
+def _ending_class() -> Column:
+    """The class of an open ending; null where nothing is left open."""
+    last = F.col("last")
+    bare = F.trim(F.regexp_replace(last, _DOTS, ""))
+    shorter = F.col("words") <= 0.7 * F.col("sibling")
+    closed = F.lit(None).cast("string")
+    return (
+        F.when(~last.rlike(r"[\p{L}\p{N}]") & (F.col("chars") < 20), closed)
+        .when(last.rlike(_MARK), "mark")
+        .when(F.coalesce("closing", F.lit(False)) & (F.col("kind") != "list"), closed)
+        .when((F.col("fences") % 2 == 1), "fence")
+        .when(F.col("kind") == "fence", closed)
+        .when(F.col("kind") == "table", F.when(last.rlike(r"\|$"), closed).otherwise("table"))
+        .when(last.rlike(_DOTS), F.when(bare.rlike(_SENTENCE_END), "dots_after_sentence").otherwise("dots"))
+        .when(last.rlike(_SENTENCE_END), F.when((F.col("words") == 1) & last.rlike(r"^\d+\.$"), "number").otherwise(closed))
+        .when(F.col("kind") == "head", "heading")
+        .when((F.col("kind") == "list"), F.when(shorter, "item_shorter").when(F.col("item_ends").isNull(), "item_unlike").otherwise("item"))
+        .when(last.rlike(r"(?i)(?:^|\s)(?:https?://|www\.)[^\s/]+\.\p{L}{2,}/\S+$"), "url")
+        .when(last.rlike(r"(?:[:;]-?[)D(]|\p{So})$"), closed)
+        .when(last.rlike(r"^v?\d+(?:\.\d+)+$"), "version")
+        .when(last.rlike(r"^(?:--|—|©|\(c\))"), F.when((F.col("words") >= 3) & last.rlike(r"(?i)(?:team|authors|equipe|equipo)$"), "signature").otherwise("notice"))
+        .when(last.rlike(r"^\p{Lu}\p{L}{2,15}:\s") & last.rlike(r":(?:\s[\p{L}\p{N}+#.\-]+,)*\s[\p{L}\p{N}+#.\-]+$") & last.contains(","), "fields")
+        .when((F.col("words") <= 3) & F.col("before").rlike(_GREETING), "letter")
+        .when(F.col("words") <= 2, "short")
+        .otherwise("line")
+    )
+
+
+def fit_endings(counts: pd.DataFrame, rounds: int = 100) -> tuple[dict[str, float], float]:
+    """Log-likelihood ratio of every class at limits and the log-odds of a cut
+    away from limits, by EM. ``counts`` is (ending, odds, n): texts of an ending
+    class ("" for closed ones) by their censoring log-odds, null away from
+    limits. Texts at limits show how cut texts end, those away how complete
+    ones do, but for the cut ones among them, which ``START`` tells apart."""
+    names = ["", *START]
+    at = counts["ending"].map(names.index).to_numpy(int)
+    odds, n = counts["odds"].to_numpy(float), counts["n"].to_numpy(float)
+    away = np.isnan(odds)
+    guess = np.array([-50.0, *START.values()])
+    rate, ratio = np.log(RATE / (1 - RATE)), guess.copy()
+    held = np.bincount(at, weights=n * ~away, minlength=len(names))
+    total = lambda q: np.bincount(at, weights=n * q, minlength=len(names)) + 0.5
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(np.where(away, rate + guess[at], odds + ratio[at]), -500, 500)))
+        cut_, whole = total(np.where(away, 0, p)), total(np.where(away, 1 - p, 0))
+        seen = np.log(cut_ / cut_[1:].sum()) - np.log(whole / whole.sum())
+        new = np.where(guess < -49, guess, (held * seen + GUESS * guess) / (held + GUESS))
+        share = ((n * p)[away].sum() + GUESS * RATE) / (n[away].sum() + GUESS)
+        moved = np.abs(new - ratio).max() + abs(np.log(share / (1 - share)) - rate)
+        ratio, rate = new, float(np.log(share / (1 - share)))
+        if moved < 1e-6:
+            break
+    return dict(zip(names[1:], ratio[1:].tolist())), rate
+
+
+def truncated_texts(texts: DataFrame, *, threshold: float = 0.5, use_lengths: bool = True) -> DataFrame:
+    """(doc_id, text, source) to (doc_id, source, ending, censored, p_cut,
+    is_cut) for every text that is not null or blank."""
+    ends = _endings(texts).withColumn("kind", _kind(F.col("last")))
+    slim = cut(ends.select("doc_id", "source", "chars", "bytes", "th", "last", "before", "fences", "sibling", "shape", "words", "tail", "kind"))
+    lines = ends.select("th", F.posexplode(F.slice("lines", 1, F.size("lines") - 1)).alias("at", "line")).where(F.trim("line") != "")
 
     # words that end list items elsewhere
     item_ends = (
-        ends.select("th", F.posexplode(F.slice("lines", 1, F.size("lines") - 1)).alias("at", "line"))
-        .where(F.col("line").rlike(_LIST_ITEM))
+        lines.where(F.col("line").rlike(_LIST_ITEM))
         .select("th", "at", F.lower(F.regexp_extract("line", r"([\p{L}\p{N}\-]+)[^\p{L}\p{N}]*$", 1)).alias("tail"))
         .groupBy("tail")
         .agg(F.countDistinct("th", "at").alias("item_ends"))
         .where("item_ends >= 2")
     )
-    marked = slim.join(F.broadcast(closing), "shape", "left")
+    marked = slim.join(F.broadcast(_closing_lines(slim, lines)), "shape", "left")
     as_item = marked.where("kind = 'list'").join(item_ends, "tail", "left")
     rest = marked.where("kind != 'list'").withColumn("item_ends", F.lit(None).cast("long"))
-    known = rest.unionByName(as_item.select(rest.columns))
+    known = rest.unionByName(as_item.select(rest.columns)).withColumn("ending", _ending_class())
 
-    last = F.col("last")
-    bare = F.trim(F.regexp_replace(last, _DOTS, ""))
-    shorter = F.col("words") <= 0.7 * F.col("sibling")
-    letter = (F.col("words") <= 3) & F.col("before").rlike(_GREETING)
-    evidence = (
-        F.when(~last.rlike(r"[\p{L}\p{N}]") & (F.col("chars") < 20), -7.0)
-        .when(last.rlike(_MARK), 6.0)
-        .when(F.coalesce("closing", F.lit(False)) & (F.col("kind") != "list"), -7.0)
-        .when((F.col("fences") % 2 == 1), 5.0)
-        .when(F.col("kind") == "fence", -7.0)
-        .when(F.col("kind") == "table", F.when(last.rlike(r"\|$"), -6.0).otherwise(4.0))
-        .when(last.rlike(_DOTS), F.when(bare.rlike(_SENTENCE_END), -2.0).otherwise(4.0))
-        .when(last.rlike(_SENTENCE_END), F.when((F.col("words") == 1) & last.rlike(r"^\d+\.$"), 4.0).otherwise(-7.0))
-        .when(F.col("kind") == "head", 0.5)
-        .when((F.col("kind") == "list"), F.when(shorter, 3.5).when(F.col("item_ends").isNull(), 2.5).otherwise(-3.0))
-        .when(last.rlike(r"(?i)(?:^|\s)(?:https?://|www\.)[^\s/]+\.\p{L}{2,}/\S+$"), -2.0)
-        .when(last.rlike(r"(?:[:;]-?[)D(]|\p{So})$"), -7.0)
-        .when(last.rlike(r"^v?\d+(?:\.\d+)+$"), -4.0)
-        .when(last.rlike(r"^(?:--|—|©|\(c\))"), F.when(F.col("words") >= 3, F.when(last.rlike(r"(?i)(?:team|authors|equipe|equipo)$"), -5.0).otherwise(1.5)).otherwise(1.5))
-        .when(last.rlike(r"^\p{Lu}\p{L}{2,15}:\s") & last.rlike(r":(?:\s[\p{L}\p{N}+#.\-]+,)*\s[\p{L}\p{N}+#.\-]+$") & last.contains(","), -2.0)
-        .when(letter, -2.0)
-        .when(F.col("words") <= 2, 1.0)
-        .otherwise(4.0)
-    )
-    limits = length_limits(texts).where("posterior >= 0.5")
+    limits = _limits(slim).where(F.col("posterior") >= 0.5 if use_lengths else F.lit(False))
     one = limits.groupBy("source").agg(F.collect_list(F.when(F.col("unit") == "chars", F.struct("limit", "posterior"))).alias("lc"), F.collect_list(F.when(F.col("unit") == "bytes", F.struct("limit", "posterior"))).alias("lb"))
 
     def at(limits_: str, size: Column) -> Column:
-        return F.coalesce(F.array_max(F.transform(F.filter(limits_, lambda v: v["limit"] == size), lambda v: v["posterior"])), F.lit(0.0))
+        return F.array_max(F.transform(F.filter(limits_, lambda v: v["limit"] == size), lambda v: v["posterior"]))
 
-    scored = known.withColumn("evidence", evidence).join(one, "source", "left").withColumn("censored", F.greatest(at("lc", F.col("chars")), at("lb", F.col("bytes"))))
-    odds = F.when(F.col("censored") > 0, F.least(F.ln(F.col("censored") / F.greatest(1 - F.col("censored"), F.lit(0.01))), F.lit(4.0))).otherwise(-0.2)
-    return scored.withColumn("p_cut", 1 / (1 + F.exp(-(F.col("evidence") + odds)))).select("doc_id", "source", "evidence", "censored", "p_cut", (F.col("p_cut") > threshold).alias("is_cut"))
+    posed = known.join(one, "source", "left").withColumn("censored", F.greatest(at("lc", F.col("chars")), at("lb", F.col("bytes"))))
+    posed = cut(posed.select("doc_id", "source", "th", "ending", "censored", F.ln(F.col("censored") / F.greatest(1 - F.col("censored"), F.lit(1e-12))).alias("odds")))
+    # a row an ending class and quarter of log-odds
+    counts = posed.groupBy(F.coalesce("ending", F.lit("")).alias("ending"), (F.round(F.col("odds") * 4) / 4).alias("odds")).agg(F.countDistinct("th").alias("n")).toPandas()
+    ratio, rate = fit_endings(counts)
+    told = lambda of: F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), F.col("ending"))
+    z = F.when(F.col("odds").isNull(), told(START) + F.lit(rate)).otherwise(told(ratio) + F.col("odds"))
+    p = F.when(F.col("ending").isNull(), 0.0).otherwise(1 / (1 + F.exp(-z)))
+    return posed.withColumn("p_cut", p).select("doc_id", "source", "ending", F.coalesce("censored", F.lit(0.0)).alias("censored"), "p_cut", (F.col("p_cut") > threshold).alias("is_cut"))
 
 
 def truncation_rates(texts: DataFrame) -> DataFrame:
