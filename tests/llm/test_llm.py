@@ -322,6 +322,13 @@ def test_shortage_goes_to_siblings(spark):
     assert mix(spark, counts, [("m", "x1", 1.0, 0)])[1]["m", "x1"].tokens == 0
 
 
+def test_a_source_without_documents_gives_to_its_siblings(spark):
+    counts = {("forum", "en"): [10] * 20_000, ("wiki", "en"): [10] * 20_000, ("listagem", "pt"): [10] * 20_000}
+    targets = [("m", "forum", 0.2, 1), ("m", "chat", 0.3, 1), ("m", "wiki", 0.25, 1), ("m", "listagem", 0.25, 1)]
+    _, shares = mix(spark, counts, targets, total_tokens={"m": 100_000}, domains={"forum": "c", "chat": "c", "wiki": "p", "listagem": "p"})
+    assert [abs(shares["m", s].tokens - n) <= 10 for s, n in (("forum", 50_000), ("chat", 0), ("wiki", 25_000), ("listagem", 25_000))] == [True] * 4
+
+
 # --------------------------------------------------------------- truncation
 
 
@@ -402,7 +409,7 @@ def test_censored_fit():
 # ------------------------------------------------------------------ queries
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p4_found", "p5_found", "p5_frequencies"])
+@pytest.mark.parametrize("name", ["p1_found", "p4_found", "p5_found", "p5_frequencies", "p6_bounds", "p7_bounds"])
 def test_query_against_sql(spark, duck, small, name):
     from conftest import comparable
     from textquarry.llm.oracles import oracle_sql

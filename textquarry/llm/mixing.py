@@ -29,19 +29,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window, functions as F
 
 MAX_LEAVES = 200_000
+NO_LANGUAGE = ""
 BUCKETS = 4096
-#: Which sources form a domain; others are a domain of their own name.
-DOMAINS = {
-    "readme_github": "paginas",
-    "descricao_sourceforge": "paginas",
-    "listagem": "paginas",
-    "wiki": "paginas",
-    "notas_versao": "paginas",
-    "forum": "conversa",
-    "lista_email": "conversa",
-    "avaliacoes": "conversa",
-    "chat": "conversa",
-}
 _BUDGET = "mistura string, source string, idioma string, disponivel long, max_repeticoes int, orcamento long"
 _SHARES = "mistura string, source string, peso_alvo double, total long"
 
@@ -93,13 +82,14 @@ def _tree(own: list, have: dict, domains: dict[str, str], endless: bool = False)
     """The tree of one mixture, weights and rooms summed up to the root."""
     root = Node()
     for source, weight, repeat in own:
-        mass = sum(have.get(source, {}).values())
-        for language, tokens in sorted(have.get(source, {}).items()):
+        held = have.get(source) or {NO_LANGUAGE: 0}  # a source without documents has its weight and no room
+        mass = sum(held.values()) or 1
+        for language, tokens in sorted(held.items()):
             room = float(tokens * max(repeat or 0, 0))
             path = root
             for name in (domains.get(source, source), language):
                 path = path.children.setdefault(name, Node())
-            path.children[source] = Node(weight * tokens / mass, float("inf") if endless and room else room)
+            path.children[source] = Node(weight * (tokens / mass if tokens else 1.0), float("inf") if endless and room else room)
 
     def up(node: Node) -> None:
         for kid in node.children.values():
@@ -122,7 +112,7 @@ def _on_target(endless: Node, bounded: Node) -> float:
     return min((b.room / e.given for e, b in zip(_leaves(endless), _leaves(bounded)) if e.given > 1e-12), default=0.0)
 
 
-def _budgets(leaves: list, targets: list, total_of, domains: dict[str, str]) -> tuple[list, list]:
+def _budgets(leaves: list, targets: list, total_of, domains: dict[str, str], stretch: float = 1.0) -> tuple[list, list]:
     """Rows of _BUDGET and _SHARES from the aggregated leaves."""
     have: dict[str, dict[str, int]] = {}
     for source, language, tokens in leaves:
@@ -132,24 +122,27 @@ def _budgets(leaves: list, targets: list, total_of, domains: dict[str, str]) ->
         own = [(s, w, r) for m, s, w, r in targets if m == mixture and w and w > 0]
         total = total_of(mixture)
         if total is None:
-            total = _on_target(_tree(own, have, domains, endless=True), _tree(own, have, domains))
+            total = stretch * _on_target(_tree(own, have, domains, endless=True), _tree(own, have, domains))
         root = _tree(own, have, domains)
         budget_tree(float(total), root)
         for domain in root.children.values():
             for language, node in domain.children.items():
                 for source, leaf in node.children.items():
+                    if source not in have:
+                        continue
                     repeat = next(r for s, _, r in own if s == source)
                     budgets.append((mixture, source, language, have[source][language], int(repeat or 0), int(round(leaf.given))))
         shares += [(mixture, s, float(w), int(total)) for s, w, _ in own]
     return budgets, shares
 
 
-def plan_mixtures(sized: DataFrame, targets: DataFrame, *, total_tokens: dict[str, int] | None = None, domains: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def plan_mixtures(sized: DataFrame, targets: DataFrame, *, total_tokens: dict[str, int] | None = None, stretch: float = 1.0, domains: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, lang, tokens) and the targets to the leaf budgets and
     the target shares. ``total_tokens`` is the size of each mixture; by default
     the largest at which every source that has documents meets its share
-    within its cap. At a larger size, sources at their cap fall short and the
-    others take their shares."""
+    within its cap, times ``stretch``. At a larger size, sources at their cap
+    fall short and the others take their shares. ``domains`` names the domain
+    of a source; others are a domain of their own name."""
     spark = sized.sparkSession
     leaf = sized.where("tokens > 0 and source is not null").groupBy("source", "idioma").agg(F.sum("tokens").alias("tokens"))
     rows = leaf.limit(MAX_LEAVES + 1).collect()
@@ -157,7 +150,7 @@ def plan_mixtures(sized: DataFrame, targets: DataFrame, *, total_tokens: dict[st
     if max(len(rows), len(kinds)) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
     given = total_tokens or {}
-    budgets, shares = _budgets([tuple(r) for r in rows], [tuple(k) for k in kinds], given.get, DOMAINS if domains is None else domains)
+    budgets, shares = _budgets([tuple(r) for r in rows], [tuple(k) for k in kinds], given.get, domains or {}, stretch)
     return spark.createDataFrame(budgets, _BUDGET), spark.createDataFrame(shares, _SHARES)
 
 

@@ -43,5 +43,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _PAIRS,
         "p4_found": f"with {_TERMS} select o.id, o.campo, o.termo from o join d using (campo, termo) where o.campo <> 'categorias' and d.registros between 2 and 8 and (o.campo = 'topicos' or o.tf >= 4)",
         "p5_found": f"with {_TERMS} select campo, termo, marca from m where marca is not null",
+        "p6_bounds": "select recipiente, (select count(distinct doc_id) from documents where length(text) > 0) textos, 0::bigint acima, 0::bigint diferentes, 0::bigint partidos from (select distinct recipiente from recipientes where capacidade_tokens > 0)",
+        "p7_bounds": "select distinct mistura, source, 0::bigint dobrados, 0::bigint acima, 0::bigint vazios from metas_mistura",
         "p5_frequencies": f"with {_TERMS} select campo, termo, ocorrencias, registros, marca from m",
     }

@@ -12,6 +12,18 @@ from textquarry.llm.tokens import token_count
 from textquarry.session import cut
 from textquarry.sources.tables import table
 
+#: The domains of this project's sources, for problem 7.
+DOMAINS = {
+    "readme_github": "paginas",
+    "descricao_sourceforge": "paginas",
+    "listagem": "paginas",
+    "wiki": "paginas",
+    "notas_versao": "paginas",
+    "forum": "conversa",
+    "lista_email": "conversa",
+    "avaliacoes": "conversa",
+    "chat": "conversa",
+}
 COMMON = {"readme": 0.58, "topicos": 0.30, "categorias": 0.30}
 
 
@@ -113,10 +125,10 @@ def p6_unused(spark, sf_dir):
     return packing.unused_space(_packed(spark, sf_dir))
 
 
-def _mixed(spark, sf_dir):
+def _mixed(spark, sf_dir, stretch=1.0):
     docs = wide_enough(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     sized = cut(docs.select("doc_id", "source", mixing.language_of(F.col("lang")).alias("idioma"), token_count(F.col("text")).alias("tokens")).dropDuplicates(["doc_id"]))
-    budgets, shares = mixing.plan_mixtures(sized, table(spark, sf_dir, "metas_mistura"))
+    budgets, shares = mixing.plan_mixtures(sized, table(spark, sf_dir, "metas_mistura"), domains=DOMAINS, stretch=stretch)
     return mixing.mix_sources(sized, budgets), shares
 
 
@@ -130,6 +142,33 @@ def p7_shares(spark, sf_dir):
     return mixing.actual_shares(*_mixed(spark, sf_dir))
 
 
+def p7_short(spark, sf_dir):
+    """Shares at twice the size that the caps allow: sources at their cap fall
+    short and their siblings take over."""
+    return mixing.actual_shares(*_mixed(spark, sf_dir, stretch=2.0))
+
+
+def p7_bounds(spark, sf_dir):
+    """Per mixture and source: rows chosen twice, rows beyond the cap, rows of
+    no text; all 0 in a right choice."""
+    chosen = _mixed(spark, sf_dir, stretch=2.0)[0]
+    goals = table(spark, sf_dir, "metas_mistura").select("mistura", "source", "max_repeticoes").distinct()
+    per = chosen.groupBy("mistura", "source").agg((F.count("*") - F.countDistinct("doc_id")).alias("dobrados"), F.max("repeticoes").alias("m"), F.count_if(F.col("tokens") < 1).alias("vazios"))
+    joined = goals.join(per, ["mistura", "source"], "left")
+    return joined.select("mistura", "source", F.coalesce("dobrados", F.lit(0)).alias("dobrados"), (F.coalesce("m", F.lit(0)) > F.col("max_repeticoes")).cast("long").alias("acima"), F.coalesce("vazios", F.lit(0)).alias("vazios"))
+
+
+def p6_bounds(spark, sf_dir):
+    """Per container kind: texts placed, containers above the capacity, texts
+    with other tokens than they have, texts split though they fit."""
+    items = cut(packing.sized(table(spark, sf_dir, "documents")))
+    placed = cut(packing.harmonic_packing(items, packing.capacities_of(table(spark, sf_dir, "recipientes"))))
+    boxes = placed.groupBy("recipiente", "capacidade", "container").agg(F.sum("tokens").alias("n")).groupBy("recipiente").agg(F.count_if(F.col("n") > F.col("capacidade")).alias("acima"))
+    texts = placed.groupBy("recipiente", "capacidade", "doc_id").agg(F.sum("tokens").alias("n"), F.count("*").alias("partes")).join(items, "doc_id", "left")
+    whole = texts.groupBy("recipiente").agg(F.count("*").alias("textos"), F.count_if(~F.col("n").eqNullSafe(F.col("tokens"))).alias("diferentes"), F.count_if((F.col("partes") > 1) & (F.col("tokens") <= F.col("capacidade"))).alias("partidos"))
+    return whole.join(boxes, "recipiente").select("recipiente", "textos", "acima", "diferentes", "partidos")
+
+
 def _documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
 
@@ -147,5 +186,5 @@ def p8_rates(spark, sf_dir):
 def queries():
     return {
         f.__name__: f
-        for f in (p1_found, p1_classes, p2_found, p2_labels, p3_found, p3_matches, p4_found, p4_scores, p4_top_terms, p5_found, p5_frequencies, p6_packing, p6_unused, p7_chosen, p7_shares, p8_found, p8_rates)
+        for f in (p1_found, p1_classes, p2_found, p2_labels, p3_found, p3_matches, p4_found, p4_scores, p4_top_terms, p5_found, p5_frequencies, p6_packing, p6_unused, p6_bounds, p7_chosen, p7_shares, p7_short, p7_bounds, p8_found, p8_rates)
     }
