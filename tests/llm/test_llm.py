@@ -67,6 +67,13 @@ def test_near_duplicate_classes(spark):
     for campo, a, b in pairs:
         assert got[campo, a][0] == got[campo, b][0]
     assert len({c for (f, _), (c, _) in got.items() if f == "d"}) == 1
+    assert got.keys() == {(f, i) for f, i, t, *_ in rows if t is not None}
+
+
+def test_short_texts_have_classes(spark):
+    rows = [("r", 1, "Too short", 0, ""), ("r", 2, "too, SHORT!", 0, ""), ("r", 3, "other", 0, ""), ("r", 4, "", 0, ""), ("r", 5, None, 0, ""), ("d", 6, "too short", 0, "")]
+    got = {r.id: r.class_id for r in nd.near_duplicate_classes(texts(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 6: 6}
 
 
 def test_components_of_a_chain(spark):

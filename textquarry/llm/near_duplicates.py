@@ -15,7 +15,7 @@ class holding a third of all rows costs one fingerprint. Blocks shared by many
 classes are cut into chunks, and every pair of chunks is its own join key.
 
 Defined results: a null text, or one with fewer than ``min_tokens`` tokens,
-takes part in no pair. Empty tables give empty results. Repeated ids of one
+takes part in no pair; of these the latter have a class by equality. Empty tables give empty results. Repeated ids of one
 field collapse to one. Columns other than those named are ignored.
 """
 
@@ -126,30 +126,42 @@ def similar_classes(sketch: DataFrame, *, threshold: float, hamming_share: float
     members = sketch.select("campo", "h", "id").distinct().join(one, ["campo", "h"]).select("campo", "id", "rep")
     reps = sketch.join(one.select("campo", F.col("rep").alias("id")), ["campo", "id"], "left_semi").dropDuplicates(["campo", "id"])
     candidates = _shared_blocks(reps, chunk)
-    side = reps.select("campo", "id", "fp", "shingles")
     limit = F.size("fa") * hamming_share
-    close = (
-        candidates.join(side.select("campo", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("shingles").alias("sa")), ["campo", "a"])
-        .join(side.select("campo", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("shingles").alias("sb")), ["campo", "b"])
+    # fingerprints first, the far larger shingle sets only for what is left
+    side = lambda end, **cols: reps.select("campo", F.col("id").alias(end), *[F.col(c).alias(n) for n, c in cols.items()])
+    near = (
+        candidates.hint("merge").join(side("a", fa="fp"), ["campo", "a"])
+        .hint("merge").join(side("b", fb="fp"), ["campo", "b"])
         .where(F.size(F.filter(F.zip_with("fa", "fb", lambda x, y: x != y), lambda d: d)) <= limit)
+        .select("campo", "a", "b")
+    )
+    close = (
+        cut(near).hint("merge").join(side("a", sa="shingles"), ["campo", "a"])
+        .hint("merge").join(side("b", sb="shingles"), ["campo", "b"])
         .withColumn("both", F.size(F.array_intersect("sa", "sb")))
         .select("campo", "a", "b", (F.col("both") / (F.size("sa") + F.size("sb") - F.col("both"))).alias("jaccard"))
         .where(F.col("jaccard") >= threshold)
-    )
+    )
     return members, close
 
 
 def near_duplicate_pairs(texts: DataFrame, *, threshold: float, width: int = 3, min_tokens: int = 25, chunk: int = CHUNK) -> DataFrame:
-    """All pairs of rows (campo, id_a, id_b), id_a < id_b, at the threshold."""
+    """All pairs of rows (campo, id_a, id_b), id_a < id_b, at the threshold.
+    Classes of many rows are cut into chunks, every pair of chunks a key."""
     sketch = sketches(texts, width=width, min_tokens=min_tokens)
     members, close = similar_classes(sketch, threshold=threshold, chunk=chunk)
-    reps = members.where("id != rep").select("campo", F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
-    linked = close.select("campo", "a", "b").unionByName(reps)
+    sizes = members.groupBy("campo", "rep").agg(F.ceil(F.count("*") / chunk).cast("int").alias("c"), F.count("*").alias("m"))
+    linked = close.select("campo", "a", "b").unionByName(sizes.where("m > 1").select("campo", F.col("rep").alias("a"), F.col("rep").alias("b")))
+    parted = members.join(sizes.hint("merge"), ["campo", "rep"]).select("campo", "rep", "id", F.pmod(F.xxhash64("id"), "c").cast("int").alias("g"))
+    parts = lambda end, at: sizes.select("campo", F.col("rep").alias(end), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias(at))
+    rows = lambda end, at, name: parted.select("campo", F.col("rep").alias(end), F.col("g").alias(at), F.col("id").alias(name))
     ids = (
-        linked.join(members.select("campo", F.col("rep").alias("a"), F.col("id").alias("x")), ["campo", "a"])
-        .join(members.select("campo", F.col("rep").alias("b"), F.col("id").alias("y")), ["campo", "b"])
+        linked.hint("merge").join(parts("a", "i"), ["campo", "a"])
+        .hint("merge").join(parts("b", "j"), ["campo", "b"])
+        .hint("merge").join(rows("a", "i", "x"), ["campo", "a", "i"])
+        .hint("merge").join(rows("b", "j", "y"), ["campo", "b", "j"])
         .where("a != b or x < y")
-    )
+    )
     return ids.select("campo", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
@@ -175,14 +187,20 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 def near_duplicate_classes(texts: DataFrame, *, threshold: float = 0.8, width: int = 5, min_tokens: int = 5) -> DataFrame:
     """One row a text (campo, id, class_id, n_links): its class and the number
     of other classes of equal texts that its own is linked to. Texts without a
-    near copy form a class of their own; nulls and shorter texts are left out."""
-    sketch = sketches(texts, width=width, min_tokens=max(min_tokens, width))
+    near copy form a class of their own, shorter ones a class with those of the
+    same tokens; nulls are left out."""
+    least = max(min_tokens, width)
+    sketch = sketches(texts, width=width, min_tokens=least)
     members, close = similar_classes(sketch, threshold=threshold)
     close = cut(close)
     degree = close.select("campo", F.explode(F.array("a", "b")).alias("rep")).groupBy("campo", "rep").agg(F.count("*").alias("n_links"))
     found = components(close)
+    short = once(texts.select("campo", "id", "text").where(F.col("text").isNotNull()), "campo", "id", w=words(F.col("text"))).where(F.size("w") < least)
+    short = short.select("campo", F.col("id").cast("long").alias("id"), F.array_join("w", " ").alias("tokens")).distinct()
+    alone = short.join(short.groupBy("campo", "tokens").agg(F.min("id").alias("class_id")), ["campo", "tokens"]).select("campo", "id", "class_id", F.lit(0).cast("long").alias("n_links"))
     return (
         members.join(found.withColumnRenamed("id", "rep"), ["campo", "rep"], "left")
         .join(degree, ["campo", "rep"], "left")
         .select("campo", "id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .unionByName(alone)
     )
