@@ -416,7 +416,7 @@ def test_censored_fit():
 # ------------------------------------------------------------------ queries
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p4_found", "p5_found", "p5_frequencies", "p6_bounds", "p7_bounds"])
+@pytest.mark.parametrize("name", ["p1_found", "p4_found", "p4_scores", "p5_found", "p5_frequencies", "p6_bounds", "p7_bounds"])
 def test_query_against_sql(spark, duck, small, name):
     from conftest import comparable
     from textquarry.llm.oracles import oracle_sql

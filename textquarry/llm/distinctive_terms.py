@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from textquarry.llm.term_frequency import _PAIRS, _count_in_record
+from textquarry.session import cut
 
 HEAVY = 2000
 RECORD_SHARE = 0.1
@@ -44,9 +45,22 @@ def parsimonious(tf: np.ndarray, background: np.ndarray, share: float = RECORD_S
 
 
 def _em(share: float, rounds: int):
+    """The same for a batch of records at once, always ``rounds`` rounds, so
+    that a record's result does not depend on its batch."""
+
     @F.pandas_udf("array<double>")
     def em(tf: pd.Series, bg: pd.Series) -> pd.Series:
-        return pd.Series([parsimonious(np.asarray(t, float), np.asarray(b, float), share, rounds) for t, b in zip(tf, bg)], dtype=object)
+        if not len(tf):
+            return pd.Series([], dtype=object)
+        sizes = np.array([len(t) for t in tf])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        n, rest = np.concatenate(tf.to_list()).astype(float), (1 - share) * np.concatenate(bg.to_list()).astype(float)
+        p = n / np.repeat(np.add.reduceat(n, starts), sizes)
+        for _ in range(rounds):
+            own = share * p
+            e = n * own / (own + rest)
+            p = e / np.repeat(np.add.reduceat(e, starts), sizes)
+        return pd.Series(np.split(p, starts[1:]), dtype=object)
 
     return em
 
@@ -60,7 +74,7 @@ def term_counts(terms: DataFrame) -> DataFrame:
 def distinctive_terms(terms: DataFrame, *, share: float = RECORD_SHARE, rounds: int = ROUNDS, heavy: int = HEAVY) -> DataFrame:
     """(campo, id, terms) to (campo, id, termo, tf, df, score): every term of
     every record with its converged probability."""
-    counts = term_counts(terms)
+    counts = cut(term_counts(terms))  # read by statistics and by the join
     stats = counts.groupBy("campo", "termo").agg(F.sum("n").alias("cf"), F.count("*").alias("df"))
     totals = stats.groupBy("campo").agg(F.sum("cf").alias("total"))
     stats = stats.join(F.broadcast(totals), "campo").withColumn("bg", F.col("cf") / F.col("total"))
@@ -68,7 +82,7 @@ def distinctive_terms(terms: DataFrame, *, share: float = RECORD_SHARE, rounds:
     cold = stats.where(F.col("bg") < 1.0 / heavy).select("campo", "termo", F.col("df").alias("cdf"), F.col("bg").alias("cbg"))
     tagged = counts.join(F.broadcast(hot), ["campo", "termo"], "left")
     known = tagged.where("hdf is not null").select("campo", "id", "termo", "n", F.col("hdf").alias("df"), F.col("hbg").alias("bg"))
-    rest = tagged.where("hdf is null").join(cold, ["campo", "termo"]).select("campo", "id", "termo", "n", F.col("cdf").alias("df"), F.col("cbg").alias("bg"))
+    rest = tagged.where("hdf is null").join(cold.hint("merge"), ["campo", "termo"]).select("campo", "id", "termo", "n", F.col("cdf").alias("df"), F.col("cbg").alias("bg"))
     per = (
         known.unionByName(rest)
         .groupBy("campo", "id")

@@ -38,6 +38,21 @@ m as (
 """
 
 
+_SCORES = f"""
+with recursive {_TERMS},
+b as (
+  select o.campo, o.id, o.termo, o.tf, d.registros df, d.ocorrencias::double / t.total bg
+  from o join d using (campo, termo) join (select campo, sum(ocorrencias)::double total from d group by 1) t using (campo) where o.campo <> 'categorias'
+), em as (
+  select campo, id, termo, tf, df, bg, tf::double / sum(tf) over (partition by campo, id) p, 0 r from b
+  union all
+  select campo, id, termo, tf, df, bg, e / sum(e) over (partition by campo, id), r + 1
+  from (select *, tf * (0.1e0 * p) / (0.1e0 * p + 0.9e0 * bg) e from em where r < 60)
+)
+select id, campo, termo, tf, df, round(p, 6) score from em where r = 60
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _PAIRS,
@@ -45,5 +60,6 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"with {_TERMS} select campo, termo, marca from m where marca is not null",
         "p6_bounds": "select recipiente, (select count(distinct doc_id) from documents where length(text) > 0) textos, 0::bigint acima, 0::bigint diferentes, 0::bigint partidos from (select distinct recipiente from recipientes where capacidade_tokens > 0)",
         "p7_bounds": "select distinct mistura, source, 0::bigint dobrados, 0::bigint acima, 0::bigint vazios from metas_mistura",
+        "p4_scores": _SCORES,
         "p5_frequencies": f"with {_TERMS} select campo, termo, ocorrencias, registros, marca from m",
     }

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textquarry.llm.text import wide_enough
+from textquarry.session import cut
 
 _PAIRS = "campo string, termo string, id long, n long"
 _RUNS = "campo string, termo string, ocorrencias long, registros long"
@@ -80,7 +81,12 @@ def field_terms(table: DataFrame, fields: dict[str, Column], key: str = "id") ->
 
 def term_frequencies(terms: DataFrame) -> DataFrame:
     """(campo, id, terms) to (campo, termo, ocorrencias, registros)."""
-    pairs = terms.select("campo", "id", "terms").mapInArrow(_count_in_record, _PAIRS)
+    # the range sort reads its input twice, to sample it and to sort it
+    pairs = cut(terms.select("campo", "id", "terms").mapInArrow(_count_in_record, _PAIRS))
+    return _summed(pairs)
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
     ordered = pairs.repartitionByRange("campo", "termo", "id").sortWithinPartitions("campo", "termo", "id")
     runs = ordered.mapInArrow(_scan_runs, _RUNS)
     return runs.groupBy("campo", "termo").agg(F.sum("ocorrencias").alias("ocorrencias"), F.sum("registros").alias("registros"))
@@ -91,10 +97,11 @@ def marked_frequencies(terms: DataFrame, common: dict[str, float], rare_at: int
     records, ``comum`` for terms in at least the share ``common[campo]`` of the
     records that have any term there, else null; ``rara`` wins. The number of
     records of each field is one row a field, so its join is broadcast."""
-    totals = terms.select("campo", "id").distinct().groupBy("campo").agg(F.count("*").alias("linhas"))
+    pairs = cut(terms.select("campo", "id", "terms").mapInArrow(_count_in_record, _PAIRS))
+    totals = pairs.select("campo", "id").distinct().groupBy("campo").agg(F.count("*").alias("linhas"))
     share = F.element_at(F.create_map(*[F.lit(x) for kv in common.items() for x in kv]), F.col("campo"))
     return (
-        term_frequencies(terms)
+        _summed(pairs)
         .join(F.broadcast(totals), "campo")
         .withColumn("marca", F.when(F.col("registros") <= rare_at, "rara").when(F.col("registros") >= share * F.col("linhas") - 1e-9, "comum"))
         .select("campo", "termo", "ocorrencias", "registros", "linhas", "marca")
