@@ -221,6 +221,36 @@ _LISTS = ("topicos", "categorias")
 _ORDERED = f"""seen as (select distinct on (url, coletado_em) site, tipo, url, {_CODE} code, coletado_em::timestamptz t from visitadas order by url, coletado_em)"""
 
 
+_WS = r"[\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{000B}\x{001C}-\x{001F}]+"
+
+
+def _tidy(text: str) -> str:
+    return f"nullif(trim(regexp_replace({text}, '{_WS}', ' ', 'g')), '')"
+
+
+def _made_fields() -> str:
+    """The fields of the made pages, from the values they are made of."""
+    listed = lambda c: f"coalesce(array_to_string(list_filter(list_transform({c}, lambda v: {_tidy('v')}), lambda v, i: v is not null and list_position(list_transform({c}, lambda w: {_tidy('w')}), v) = i), '|'), '')"
+    gh, sf = "case when site = 'github' then", "case when site <> 'github' and nome is not null then"
+    licence = f"regexp_replace({_tidy('licenca')}, '\\s*license$', '', 'i')"
+    return f"""
+      select url pagina,
+        {gh} lower(chave) when nome is not null then regexp_extract(url, '/projects/([^/]+)/', 1) end chave,
+        {gh} split_part(chave, '/', 2) when nome is not null then {_tidy('nome')} end nome,
+        {gh} split_part(chave, '/', 1) end dono,
+        {gh} {_tidy('descricao')} when nome is not null then {_tidy('descricao')} end descricao,
+        {sf} {_tidy('resumo')} end resumo,
+        {gh} {listed('topicos')} end topicos,
+        {sf} {listed('categorias')} end categorias,
+        {gh} {_tidy('linguagem')} when nome is not null then {_tidy('linguagem')} end linguagem,
+        {gh} estrelas::bigint end estrelas, {gh} forks::bigint end forks,
+        {gh} case when licenca is null then null when {licence} in ('', 'view') then 'Other' else {licence} end when nome is not null then {_tidy('licenca')} end licenca,
+        {gh} left({_tidy('readme')}, 100000) end readme,
+        {sf} downloads_semana::bigint end downloads_semana, {sf} nota end nota, {sf} num_avaliacoes::bigint end num_avaliacoes,
+        {sf} {_tidy('ultima_atualizacao')} end ultima_atualizacao
+      from projetos"""
+
+
 def oracle_sql() -> dict[str, str]:
     readme = _special(_clean("coalesce(readme, '')"))
     stage = f"""{_FIELDS}, tx as (select doc_id, site, concat_ws(chr(10), nome, descricao, rotulos, readme) x from f),
@@ -282,6 +312,8 @@ def oracle_sql() -> dict[str, str]:
         "url_normalize": f"with {_canonical('fila', 'id, url')} select id, canonica from canon",
         "url_classify": f"with {_canonical('fila', 'id, url')}, s as (select id, {_SPLIT} from canon) select id, {_SITE} site, {_KIND} tipo from s",
         "sitemap_locs": "select distinct site, url loc from fila where tipo = 'project'",
+        "html_project_extract": _made_fields(),
+        "listing_hints": f"select id, url, {_tidy('linguagem')} linguagem from projetos where site = 'github' and {_tidy('linguagem')} is not null",
         "clean_ws": r"select id, nullif(trim(regexp_replace(descricao, '[\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{000B}]+', ' ', 'g')), '') texto from projetos",
         "content_hash": "with t as (select id, concat_ws(' ', nullif(descricao, ''), nullif(readme, '')) x from projetos) select id, case when length(x) >= 200 then sha1(lower(x)) end sha1 from t",
         "exact_duplicates": "select site, id, row_number() over (partition by site, chave order by id) > 1 por_chave, coalesce(hash_conteudo is not null and row_number() over (partition by site, hash_conteudo order by id) > 1, false) por_hash from projetos",

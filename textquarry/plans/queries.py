@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from textquarry.functions import cleaning, html as pages_html, lexical, robots, urls, vbyte
 from textquarry.functions.lexical import FIELDS, Analyzer
@@ -474,18 +474,44 @@ def hold_backoff(spark, sf_dir):
     return crawl.hold_backoff(held).groupBy("site", "tipo", "espera").agg(F.count("*").alias("n"))
 
 
-def html_project_extract(spark, sf_dir):
-    """Fields read back from pages made of the projects' own values."""
+def _made_pages(spark, sf_dir):
+    """Pages of both sites made of the projects' own values."""
     p = _t(spark, sf_dir, "projetos")
-    esc = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    esc = lambda c: F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    def put(c, before, after=""):
+        return F.coalesce(F.concat(F.lit(before), esc(c if isinstance(c, Column) else F.col(c)), F.lit(after)), F.lit(""))
+
+    def each(c, before, after):
+        return F.concat_ws("", F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: put(t, before, after)))
+
     code = F.concat(
-        F.lit('<meta name="octolytics-dimension-repository_nwo" content="'), F.col("chave"), F.lit('"><div><h2>About</h2><p>'), esc("descricao"), F.lit("</p>"),
-        F.concat_ws("", F.transform(F.coalesce("topicos", F.array().cast("array<string>")), lambda t: F.concat(F.lit('<a href="/topics/x">'), esc(t), F.lit("</a>")))),
-        F.lit('</div><span itemprop="programmingLanguage">'), esc("linguagem"), F.lit('</span><a id="repo-stars-counter-star" title="'), F.coalesce(F.col("estrelas").cast("string"), F.lit("")), F.lit('"></a>'),
+        put("chave", '<meta name="octolytics-dimension-repository_nwo" content="', '"><div><h2>About</h2>'), put("descricao", "<p>", "</p>"), each("topicos", '<a href="/topics/x">', "</a>"),
+        put("licenca", '<a href="#LICENSE-1-ov-file">', "</a>"), F.lit("</div>"), put("linguagem", '<span itemprop="programmingLanguage">', "</span>"),
+        put("estrelas", '<a id="repo-stars-counter-star" title="', '"></a>'), put("forks", '<a id="repo-network-counter" title="', '"></a>'), put("readme", '<article class="markdown-body">', "</article>"),
+    )
+    forge = F.concat(
+        put("url", '<meta property="og:url" content="', '">'), put("nome", '<h1 itemprop="name">', "</h1>"), put("resumo", '<h2 class="summary">', "</h2>"), put("descricao", '<p itemprop="description">', "</p>"),
+        each("categorias", '<span itemprop="applicationCategory">', "</span>"), put("licenca", '<section class="project-info"><h3>License</h3>', "</section>"),
+        put("linguagem", '<section class="project-info"><h4>Programming Language</h4><a>', "</a></section>"), put("downloads_semana", '<div class="as-h2"><span class="label">Downloads:</span> ', " This Week</div>"),
+        put("ultima_atualizacao", '<div class="as-h2"><span class="label">Last Update:</span><time datetime="', '">x</time></div>'),
+        F.lit('<div itemprop="aggregateRating">'), put("nota", '<meta itemprop="ratingValue" content="', '">'), put("num_avaliacoes", '<span itemprop="ratingCount">', "</span>"), F.lit("</div>"),
     )
-    forge = F.concat(F.lit('<meta property="og:url" content="'), F.col("url"), F.lit('"><h1 itemprop="name">'), esc("nome"), F.lit('</h1><p itemprop="description">'), esc("descricao"), F.lit("</p>"))
-    pages = spread(p.select("url", "site", F.when(F.col("site") == "github", code).otherwise(forge).alias("html")))
-    return pages_html.extract_projects(pages).select("pagina", "chave", "nome", "descricao", "linguagem", "estrelas")
+    return spread(p.select("url", "site", F.when(F.col("site") == "github", code).otherwise(forge).alias("html")))
+
+
+def html_project_extract(spark, sf_dir):
+    """Every field of both sites read back from pages made of the values."""
+    found = pages_html.extract_projects(_made_pages(spark, sf_dir))
+    lists = {c: F.array_join(c, "|").alias(c) for c in ("topicos", "categorias")}
+    return found.select("pagina", *[lists.get(c, F.col(c)) for c in found.columns if c not in ("pagina", "url")])
+
+
+def listing_hints(spark, sf_dir):
+    """Languages read from listing cards, one a project page."""
+    card = F.concat(F.lit('<article><h3><a href="/">x</a> <a href="'), "url", F.lit('">y</a></h3><span itemprop="programmingLanguage"> '), "linguagem", F.lit("</span></article>"))
+    pages = _t(spark, sf_dir, "projetos").where("site = 'github' and linguagem is not null").select("id", "url", card.alias("html"))
+    return spread(pages).select("id", F.inline(pages_html.extract_cards(F.col("html"), F.col("url")))).select("id", "url", "linguagem")
 
 
 # -------------------------------------------------------------- streaming
@@ -527,7 +553,7 @@ def queries() -> dict:
         sitemap_locs, to_int, clean_ws, content_hash, exact_duplicates, greedy_duplicates, frontier_next, frontier_dedup, frontier_counts,
         requeue, seed_cross, hint_left_join, robots_match, link_priority, outcome_histogram, status_histogram, error_count, crawl_rate,
         fill_rate, hourly_timeline, crawl_summary, last_block, run_bookkeeping, systematic_sample, export_jsonl, project_listing,
-        incident_runs, hold_backoff, html_project_extract, stream_dedup, stream_incident, stream_hourly,
+        incident_runs, hold_backoff, html_project_extract, listing_hints, stream_dedup, stream_incident, stream_hourly,
     )
     renamed = {"fields": "field_view", "stem_words": "stem_vocabulary"}
     return {renamed.get(f.__name__, f.__name__): f for f in listed}
