@@ -89,6 +89,27 @@ def test_written_index_prunes_buckets(spark, tmp_path):
     assert [r.unit_id for r in ranking.phrase_units(index, ["python", "librari"]).collect()] == [1]
 
 
+def test_written_index_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "i")
+    ix.write(ix.build(projects(spark, SEVEN), IndexConfig(partitions=3, granularity="documento")), path)
+    ix.write(ix.build(projects(spark, SEVEN[:2]), IndexConfig(partitions=5, positions=False)), path)
+    index = ix.open_index(spark, path)
+    assert index.config == IndexConfig(partitions=5, positions=False) and index.positions is None
+    assert index.units.count() == 2 and [p.name for p in tmp_path.iterdir()] == ["i"]
+
+
+def test_kept_index(spark, tmp_path):
+    """Built once, shared by configurations of one analysis, built again when the table changes."""
+    table = str(tmp_path / "projetos.parquet")
+    projects(spark, SEVEN).write.parquet(table)
+    first = ix.kept_index(spark.read.parquet(table), IndexConfig())
+    again = ix.kept_index(spark.read.parquet(table), IndexConfig())
+    assert sorted(first.postings.inputFiles()) == sorted(again.postings.inputFiles())
+    assert ix.kept_index(spark.read.parquet(table), IndexConfig(granularity="documento")).units.count() == 7
+    projects(spark, SEVEN[:3]).write.mode("overwrite").parquet(table)
+    assert ix.kept_index(spark.read.parquet(table), IndexConfig()).units.count() == 3
+
+
 @pytest.mark.parametrize("bad", [{"granularity": "x"}, {"granularity": "chunk", "chunk": 10, "overlap": 10}, {"partitions": 0}, {"block": 0}])
 def test_bad_options(bad):
     with pytest.raises(ValueError):

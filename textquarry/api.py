@@ -18,8 +18,9 @@ class SearchService:
     """Answers single queries from a written index; results are at most k rows."""
 
     def __init__(self, spark: SparkSession, path: str, config: IndexConfig | None = None):
-        self.spark, self.config = spark, (config or IndexConfig()).validate()
-        self.index = ix.open_index(spark, path, self.config)
+        self.spark = spark
+        self.index = ix.open_index(spark, path, config)
+        self.config = self.index.config.validate()
 
     def _terms(self, text: str):
         queries = self.spark.createDataFrame([(1, text)], "qid int, text string")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 import zlib
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from textquarry.functions.lexical import Analyzer
 from textquarry.functions.stemmer import stem_vocabulary
 from textquarry.operators.fields import IndexConfig, analyzed, field_view, metadata, unit_numbers, units
-from textquarry.session import spread
+from textquarry.session import ensure_checkpoint_dir, path_of, spread
 
 
 def bucket_of(term: Column, partitions: int) -> Column:
@@ -53,12 +57,14 @@ class Index:
             df.unpersist()
 
 
-def build(projects: DataFrame, config: IndexConfig) -> Index:
-    """The index of a table of projects."""
+def build(projects: DataFrame, config: IndexConfig, analysis: DataFrame | None = None) -> Index:
+    """The index of a table of projects, from their written ``analysis`` if
+    there is one."""
     config.validate()
     # kept, as lengths, postings and positions each read them; lost partitions
     # are computed again from the projects
-    rows = units(analyzed(spread(field_view(projects)), config.analyzer), config).persist(StorageLevel.MEMORY_AND_DISK)
+    made = analyzed(spread(field_view(projects)), config.analyzer) if analysis is None else analysis
+    rows = units(made, config).persist(StorageLevel.MEMORY_AND_DISK)
     n = len(config.fields)
     lengths = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda f: F.aggregate(F.filter("segments", lambda s: s["field"] == f), F.lit(0), lambda a, s: a + F.size(s["terms"])))
     sized = rows.withColumn("len", lengths).select("doc_id", "unit_no", "kind", "len")
@@ -121,27 +127,86 @@ def block_vocabulary(index_units: DataFrame, postings: DataFrame, block: int) ->
 # --------------------------------------------------------------- on disk
 
 
+BAND = 1 << 20  # units whose postings one task writes, of a bucket
+
+
 def write(index: Index, path: str) -> None:
     """Tables sorted by term inside the buckets they are partitioned by, so
-    that a lookup reads one bucket and skips by row-group statistics."""
+    that a lookup reads one bucket and skips by row-group statistics. All is
+    written beside the path first, which is replaced at the end: a reader finds
+    the old index or the new one, never a part."""
+    spark, new = index.units.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
     p = index.config.partitions
     tables = {"postings": index.postings, "lexicon": index.lexicon} | ({"positions": index.positions} if index.positions is not None else {})
     for name, df in tables.items():
         keyed = df.withColumn("bucket", bucket_of(F.col("term"), p))
-        order = ["bucket", "term"] + (["unit_id"] if name != "lexicon" else [])
-        keyed.repartition(p, "bucket").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
-    index.units.write.mode("overwrite").parquet(f"{path}/units")
-    index.documents.write.mode("overwrite").parquet(f"{path}/documents")
-    spark = index.units.sparkSession
-    stats = collection_statistics(open_index(spark, path, index.config))
-    stats.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
-
-
-def open_index(spark: SparkSession, path: str, config: IndexConfig) -> Index:
+        listed = name != "lexicon"
+        keyed = keyed.repartition("bucket", F.floor(F.col("unit_id") / BAND)) if listed else keyed.repartition("bucket")
+        keyed.sortWithinPartitions("bucket", "term", *(["unit_id"] if listed else [])).write.partitionBy("bucket").parquet(f"{new}/{name}")
+    index.units.write.parquet(f"{new}/units")
+    index.documents.write.parquet(f"{new}/documents")
+    config = spark.createDataFrame([(json.dumps(asdict(index.config)),)], "config string")
+    collection_statistics(open_index(spark, new, index.config)).join(F.broadcast(config)).coalesce(1).write.json(f"{new}/meta")
+    fs, at = path_of(spark, path)
+    _, fresh = path_of(spark, new)
+    _, old = path_of(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    fs.mkdirs(at.getParent())
+    if fs.exists(at):
+        fs.rename(at, old)
+    if not fs.rename(fresh, at):
+        raise OSError(f"could not replace {path}")
+    fs.delete(old, True)
+
+
+def open_index(spark: SparkSession, path: str, config: IndexConfig | None = None) -> Index:
+    """A written index; its configuration is read back where none is given."""
+    if config is None:
+        kept = json.loads(spark.read.json(f"{path}/meta").first()["config"])
+        config = IndexConfig(**kept | {"analyzer": Analyzer(**kept["analyzer"])})
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     return Index(config, read("units"), read("postings"), read("positions") if config.positions else None, read("lexicon"), read("documents"))
 
 
+def _key(projects: DataFrame, options: object) -> str:
+    """Names what is made from a table's files as they are now."""
+    spark = projects.sparkSession
+    marks = []
+    for name in sorted(projects.inputFiles()):
+        fs, at = path_of(spark, name)
+        status = fs.getFileStatus(at)
+        marks.append((name, status.getLen(), status.getModificationTime()))
+    return hashlib.sha1(repr((marks, options)).encode()).hexdigest()[:24]
+
+
+def kept_analysis(projects: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """The analyzed fields of a table, written once in the checkpoint folder:
+    indexes of any granularity are built from it."""
+    spark = projects.sparkSession
+    # stemming comes later, so stemmed and unstemmed indexes share it
+    path = f"{ensure_checkpoint_dir(spark)}/analysis-{_key(projects, asdict(analyzer) | {'stemming': None})}"
+    fs, at = path_of(spark, path)
+    if not fs.exists(at):
+        new = f"{path}.new-{uuid.uuid4().hex}"
+        analyzed(spread(field_view(projects)), analyzer).write.parquet(new)
+        fs.rename(path_of(spark, new)[1], at)
+        fs.deleteOnExit(at)
+    return spark.read.parquet(path)
+
+
+def kept_index(projects: DataFrame, config: IndexConfig) -> Index:
+    """The index of a table as written in the checkpoint folder; it is built
+    where it is not there or the table's files are others."""
+    spark = projects.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/index-{_key(projects, asdict(config))}"
+    fs, at = path_of(spark, path)
+    if not fs.exists(at):
+        built = build(projects, config.validate(), kept_analysis(projects, config.analyzer))
+        write(built, path)
+        built.release()
+        fs.deleteOnExit(at)
+    return open_index(spark, path, config)
+
+
 def lookup(index_table: DataFrame, term: str, partitions: int) -> DataFrame:
     """Rows of a term in a written table: one bucket is read."""
     return index_table.where((F.col("bucket") == bucket_number(term, partitions)) & (F.col("term") == term))

@@ -8,7 +8,7 @@ from textquarry.functions import cleaning, html as pages_html, lexical, robots,
 from textquarry.functions.lexical import FIELDS, Analyzer
 from textquarry.functions.stemmer import stem_vocabulary
 from textquarry.operators import analytics, crawl, index as ix, ranking
-from textquarry.operators.fields import IndexConfig, analyzed, field_view, metadata, unit_numbers, units
+from textquarry.operators.fields import IndexConfig, field_view, metadata, unit_numbers, units
 from textquarry.session import spread
 from textquarry.sources.jsonl import export_json
 from textquarry.sources.tables import table
@@ -28,8 +28,11 @@ def _fields(spark, sf_dir):
 
 
 def _index(spark, sf_dir, granularity="campo", **options):
-    config = IndexConfig(granularity=granularity, analyzer=options.pop("analyzer", PLAIN), **options)
-    return ix.build(_t(spark, sf_dir, "projetos"), config)
+    """The written index of the projects; queries of one configuration share it."""
+    analyzer = options.pop("analyzer", PLAIN)
+    # chunks and unstemmed terms are only searched
+    positions = options.pop("positions", True) or (analyzer == PLAIN and granularity != "chunk")
+    return ix.kept_index(_t(spark, sf_dir, "projetos"), IndexConfig(granularity=granularity, analyzer=analyzer, positions=positions, **options))
 
 
 def _joined(tokens):
@@ -100,7 +103,7 @@ def snippet(spark, sf_dir):
 
 def _unit_rows(spark, sf_dir, **config):
     config = IndexConfig(analyzer=PLAIN, **config)
-    rows = units(analyzed(_fields(spark, sf_dir), PLAIN), config)
+    rows = units(ix.kept_analysis(_t(spark, sf_dir, "projetos"), PLAIN), config)
     size = F.aggregate("segments", F.lit(0), lambda a, s: a + F.size(s["terms"]))
     first = F.array_min(F.transform("segments", lambda s: s["base"]))
     last = F.array_max(F.transform("segments", lambda s: s["base"] + F.size(s["terms"])))
@@ -145,7 +148,7 @@ def positions(spark, sf_dir):
 
 
 def lexicon_df_cf(spark, sf_dir):
-    return _index(spark, sf_dir).lexicon
+    return _index(spark, sf_dir).lexicon.select("term", "df", "cf")
 
 
 def unit_lengths(spark, sf_dir):
@@ -218,7 +221,7 @@ def idf_table(spark, sf_dir):
 
 
 def _search(spark, sf_dir, granularity, k=10, analyzer=PLAIN, chunk=64, **options):
-    i = _index(spark, sf_dir, granularity, analyzer=analyzer, positions=False, chunk=chunk)
+    i = _index(spark, sf_dir, granularity, analyzer=analyzer, positions=False, **({"chunk": chunk} if granularity == "chunk" else {}))
     return i, ranking.search(i, _workload(spark, sf_dir), k, **options)
 
 
@@ -290,7 +293,7 @@ def top_terms_df(spark, sf_dir):
 
 
 def _document_terms(spark, sf_dir):
-    rows = units(analyzed(_fields(spark, sf_dir), PLAIN), IndexConfig(granularity="documento", analyzer=PLAIN))
+    rows = units(ix.kept_analysis(_t(spark, sf_dir, "projetos"), PLAIN), IndexConfig(granularity="documento", analyzer=PLAIN))
     return ix.with_stems(ix.occurrences(rows).select("doc_id", "token"))
 
 

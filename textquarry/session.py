@@ -53,7 +53,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _path(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    fs, at = path_of(spark, path)
+    fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -61,13 +62,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 def drop_cut(df: DataFrame) -> None:
     """Remove the files of a frame of ``cut`` that no plan needs any more."""
-    _path(df.sparkSession, df._cut_path, lambda fs, p: fs.delete(p, True))
+    fs, at = path_of(df.sparkSession, df._cut_path)
+    fs.delete(at, True)
 
 
-def _path(spark: SparkSession, path: str, action) -> None:
+def path_of(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path, as its JVM objects."""
     sc = spark.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    action(at.getFileSystem(sc._jsc.hadoopConfiguration()), at)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
 
 
 def spread(df: DataFrame) -> DataFrame:
