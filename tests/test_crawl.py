@@ -86,3 +86,26 @@ def test_incidents_and_holds(spark):
 def test_outcomes(spark, status, kind, want):
     df = spark.createDataFrame([(True, status, kind, "text/html", False, True, False)], "allowed boolean, status int, kind string, content_type string, xml boolean, is_project boolean, duplicate boolean")
     assert crawl.outcome(df).first().resultado == want
+
+
+def test_runs_by_bands(spark):
+    """Runs and waits are the same however the rows are divided."""
+    rows = [("s" if i % 3 else "t", "p", i, i * 7 % 5 < 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "site string, tipo string, ordem int, suspeita boolean").withColumn("resultado", F.when(F.col("suspeita"), "soft404").otherwise("ok")).withColumn("adiada", F.col("suspeita"))
+    bands = [None, F.floor(F.col("ordem") / 7), F.when(F.col("ordem") > 50, F.floor(F.col("ordem") / 10))]
+    for made in (lambda b: crawl.incident_runs(df, 3, band=b).select("site", "inicio", "fim", "tamanho"), lambda b: crawl.hold_backoff(df, band=b).select("site", "ordem", "espera")):
+        assert len({tuple(sorted(map(tuple, made(b).collect()))) for b in bands}) == 1
+
+
+def test_page_record_changes_nothing_twice(spark):
+    queue = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, None)], "id long, url string")
+    visits = spark.createDataFrame([("u0", "2024-01-01T00:00:00Z", 200), ("u1", "2024-01-01T00:00:00Z", 500)], "url string, coletado_em string, status_http int")
+    projects = spark.createDataFrame([(1, "s", "a", "old")], "id long, site string, chave string, nome string")
+    batch = spark.createDataFrame([("u1", "2024-01-02T00:00:00Z", 404), ("u1", "2024-01-03T00:00:00Z", 200), ("u9", None, 200)], visits.schema)
+    found = spark.createDataFrame([(9, "s", "a", "new"), (5, "s", "b", "first"), (7, "s", "b", "second")], projects.schema)
+    one = crawl.record_pages(queue, visits, projects, batch, found)
+    two = crawl.record_pages(*one, batch, found)
+    for frames in (one, two):
+        assert sorted((r.id for r in frames[0].collect())) == [2, 3]
+        assert sorted((r.url, r.status_http) for r in frames[1].collect()) == [("u0", 200), ("u1", 200), ("u9", 200)]
+        assert sorted((r.chave, r.nome) for r in frames[2].collect()) == [("a", "old"), ("b", "first")]

@@ -110,6 +110,18 @@ def test_kept_index(spark, tmp_path):
     assert ix.kept_index(spark.read.parquet(table), IndexConfig()).units.count() == 3
 
 
+def test_gaps_and_sums_by_bands(spark):
+    from textquarry.functions.plan import sums_before
+
+    rows = [(t, u) for t, step in (("a", 1), ("b", 7), ("c", 101)) for u in range(step, 500, step)]
+    df = spark.createDataFrame(rows, "term string, unit_id long")
+    want = {(t, u): u - max([v for w, v in rows if w == t and v < u], default=0) for t, u in rows}
+    for band in (1, 16, 1 << 16):
+        assert {(r.term, r.unit_id): r.gap for r in ix.gaps(df, band).collect()} == want
+    sums = sums_before(df.groupBy("term", "unit_id").agg(F.count("*").alias("n")), "unit_id", ("term",), width=10, before="n")
+    assert {(r.term, r.unit_id): r.before for r in sums.collect()} == {(t, u): sum(1 for w, v in rows if w == t and v < u) for t, u in rows}
+
+
 @pytest.mark.parametrize("bad", [{"granularity": "x"}, {"granularity": "chunk", "chunk": 10, "overlap": 10}, {"partitions": 0}, {"block": 0}])
 def test_bad_options(bad):
     with pytest.raises(ValueError):

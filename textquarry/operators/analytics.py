@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from textquarry.functions.cleaning import clean_text
 from textquarry.functions.lexical import FIELDS, Analyzer
-from textquarry.functions.plan import once
+from textquarry.functions.plan import once, sums_before
 from textquarry.functions.stemmer import stem_vocabulary
 from textquarry.functions.stopwords import STOPWORDS
 
@@ -37,21 +37,23 @@ def stage_counts(stage_rows: DataFrame) -> DataFrame:
     return counted.groupingSets([["etapa"], ["etapa", "site"]], "etapa", "site").agg(F.sum("n").alias("tokens"), F.countDistinct("token").alias("vocabulario"))
 
 
-def _range_ranked(values: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
-    """row_number over all rows in descending order without one task for all:
-    rows are numbered inside bands of equal magnitude, bands are summed up."""
-    band = F.floor(F.log2(F.col(order)) * 4).cast("int")
-    keyed = values.withColumn("band", band)
-    counts = keyed.groupBy("band").agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("band", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    local = Window.partitionBy("band").orderBy(F.desc(order), "term")
-    return keyed.withColumn("at", F.row_number().over(local)).join(F.broadcast(starts), "band").withColumn(name, F.col("start") + F.col("at")).drop("band", "at", "start")
+EXACT = 64
 
 
 def zipf_ranks(lexicon: DataFrame) -> DataFrame:
-    """Terms by falling frequency with their rank."""
-    return _range_ranked(lexicon.select("term", "cf"), "cf", "posto")
+    """Terms by falling frequency with their rank, without one task for all:
+    terms are numbered inside bands, bands are summed up. The low frequencies,
+    which most terms have, are a band each, divided by the terms' beginnings;
+    above them a band is a quarter of a power of two."""
+    cf, low = F.col("cf"), F.col("cf") <= EXACT
+    band = -F.when(low, cf).otherwise(EXACT + 1 + F.floor(F.log2(cf / F.lit(float(EXACT))) * 4)).cast("long")
+    keyed = lexicon.select("term", "cf", band.alias("band"), F.when(low, F.substring("term", 1, 2)).otherwise("").alias("start"))
+    counts = keyed.groupBy("band", "start").agg(F.count("*").alias("n"))
+    bands = sums_before(counts.groupBy("band").agg(F.sum("n").alias("n")), "band", above="n")  # a few hundred rows
+    inside = Window.partitionBy("band").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("band", "start", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("before")).join(F.broadcast(bands), "band")
+    local = Window.partitionBy("band", "start").orderBy(F.desc("cf"), "term")
+    return keyed.withColumn("at", F.row_number().over(local)).join(starts, ["band", "start"]).select("term", "cf", (F.col("above") + F.col("before") + F.col("at")).alias("posto"))
 
 
 def zipf_fit(ranks: DataFrame, low: int = 10, high: int = 10_000) -> DataFrame:
@@ -86,10 +88,9 @@ def heaps_curve(occurrences_: DataFrame, width: int = 256) -> DataFrame:
     sizes = counted.groupBy("doc_id").agg(F.sum("n").alias("n"))
     per = sizes.join(firsts, "doc_id", "left").select("doc_id", "n", F.coalesce("novos", F.lit(0)).alias("novos"), F.floor(F.col("doc_id") / width).alias("faixa"))
     totals = per.groupBy("faixa").agg(F.sum("n").alias("tn"), F.sum("novos").alias("tv"))
-    before = Window.orderBy("faixa").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("faixa", F.coalesce(F.sum("tn").over(before), F.lit(0)).alias("sn"), F.coalesce(F.sum("tv").over(before), F.lit(0)).alias("sv"))
+    starts = sums_before(totals, "faixa", sn="tn", sv="tv")
     inside = Window.partitionBy("faixa").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return per.join(F.broadcast(starts), "faixa").select("doc_id", (F.col("sn") + F.sum("n").over(inside)).alias("tokens"), (F.col("sv") + F.sum("novos").over(inside)).alias("vocabulario"))
+    return per.join(starts, "faixa").select("doc_id", (F.col("sn") + F.sum("n").over(inside)).alias("tokens"), (F.col("sv") + F.sum("novos").over(inside)).alias("vocabulario"))
 
 
 def heaps_fit(curve: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from textquarry.functions.plan import sums_before
 from textquarry.functions.urls import SITES, Sites, canonical_native, classify, is_pagination, site_of
+from textquarry.session import cut
 
 # Outcomes that count as errors, and the export's columns.
 ERROR_RESULTS = ("erro_http", "erro_rede")
@@ -94,23 +98,32 @@ def result_code(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(F.trim(text)), rf"^({'|'.join(OUTCOMES)})(?:[^a-z0-9_]|$)", 1), F.lit(""))
 
 
-def incident_runs(visits: DataFrame, threshold: int = 10) -> DataFrame:
+def _runs(rows: DataFrame, by: tuple[str, ...], ends: Column, band: Column) -> DataFrame:
+    """Rows with ``run``, the number of rows of the same ``by`` up to here where
+    ``ends`` holds, in the order of ``ordem``. ``band`` is a whole number that
+    never falls in that order; rows are counted by bands and inside them."""
+    keyed = rows.withColumn("_ends", F.when(ends, 1).otherwise(0)).withColumn("_band", F.coalesce(band.cast("long"), F.lit(-(1 << 62))))
+    starts = sums_before(keyed.groupBy(*by, "_band").agg(F.sum("_ends").alias("n")), "_band", by, _start="n")
+    inside = Window.partitionBy(*by, "_band").orderBy("ordem")
+    return keyed.withColumn("_in", F.sum("_ends").over(inside)).join(starts, [*by, "_band"]).withColumn("run", F.col("_start") + F.col("_in")).drop("_ends", "_band", "_in", "_start")
+
+
+def incident_runs(visits: DataFrame, threshold: int = 10, band: Column | None = None) -> DataFrame:
     """Runs of suspicious outcomes in a row, by site: (site, run, inicio, fim,
     tamanho, incidentes). Blocked rows are transparent, any other outcome ends a
-    run. ``visits`` has site, ordem and resultado, and suspeita, a boolean."""
+    run. ``visits`` has site, ordem and resultado, and suspeita, a boolean;
+    ``band`` divides a site's visits among tasks, see ``_runs``."""
     seen = visits.where((F.col("resultado") != "bloqueada_robots") | F.col("resultado").isNull())
-    by_site = Window.partitionBy("site").orderBy("ordem")
-    breaks = seen.withColumn("run", F.sum(F.when(F.coalesce("suspeita", F.lit(False)), 0).otherwise(1)).over(by_site))
+    breaks = _runs(seen, ("site",), ~F.coalesce("suspeita", F.lit(False)), F.lit(0) if band is None else band)
     runs = breaks.where("suspeita").groupBy("site", "run").agg(F.min("ordem").alias("inicio"), F.max("ordem").alias("fim"), F.count("*").alias("tamanho"))
     return runs.withColumn("incidentes", F.floor(F.col("tamanho") / threshold))
 
 
-def hold_backoff(failures: DataFrame, first: float = 120.0, most: float = 3600.0) -> DataFrame:
+def hold_backoff(failures: DataFrame, first: float = 120.0, most: float = 3600.0, band: Column | None = None) -> DataFrame:
     """Waiting time after every response that asked to wait: doubling within a
     run of them, by site and kind; a success starts again. ``failures`` has site,
-    tipo, ordem and adiada, a boolean."""
-    key = Window.partitionBy("site", "tipo").orderBy("ordem")
-    runs = failures.withColumn("run", F.sum(F.when(F.col("adiada"), 0).otherwise(1)).over(key))
+    tipo, ordem and adiada, a boolean; ``band`` as for ``_runs``."""
+    runs = _runs(failures, ("site", "tipo"), ~F.col("adiada"), F.lit(0) if band is None else band)
     inside = Window.partitionBy("site", "tipo", "run").orderBy("ordem")
     held = runs.where("adiada").withColumn("n", F.row_number().over(inside))
     return held.select("site", "tipo", "ordem", F.least(F.lit(first) * F.pow(F.lit(2.0), F.least(F.col("n") - 1, F.lit(30))), F.lit(most)).alias("espera"))
@@ -141,28 +154,48 @@ def greedy_duplicates(projects: DataFrame) -> DataFrame:
     """Ids of the saved rows (site, id) under both criteria at once, in order
     of arrival: a row that is dropped does not drop later ones.
 
-    Of rows with equal key and hash only the first can be saved, so they are
-    collapsed first, copies of one page to one row. The fold then runs inside
-    connected groups of keys and hashes, as rows that share neither cannot
-    touch each other; a group holds the distinct contents of one page."""
-    from textquarry.operators.graph import connected
-
-    key = F.concat_ws("/", F.lit("k"), "site", "chave")
-    digest = F.when(F.col("hash_conteudo").isNotNull(), F.concat_ws("/", F.lit("h"), "site", "hash_conteudo"))
-    nodes = projects.select("site", "id", key.alias("k"), digest.alias("h")).groupBy("site", "k", "h").agg(F.min("id").alias("id"))
-    groups = connected(nodes.where("h is not null").select(F.col("k").alias("a"), F.col("h").alias("b")))
-    tagged = nodes.join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("grupo", F.coalesce("label", "k"))
-
-    def fold(pdf):
-        pdf = pdf.sort_values("id")
-        seen, kept = set(), []
-        for k, h in zip(pdf["k"], pdf["h"]):
-            kept.append(k not in seen and (h is None or h not in seen))
-            if kept[-1]:
-                seen |= {k, h}
-        return pdf.loc[kept, ["site", "id"]]
-
-    return tagged.select("site", "id", "k", "h", "grupo").groupBy("grupo").applyInPandas(fold, "site string, id long")
+    Of rows with equal key and hash only the first can be saved. Then, round by
+    round, a row that is the first of its key and of its hash among the open
+    ones is saved, and the rows that share one with it are dropped; a round
+    takes minima only, so a key or hash may have any number of rows."""
+    nodes = projects.select("site", "id", F.col("chave").alias("k"), F.col("hash_conteudo").alias("h")).groupBy("site", "k", "h").agg(F.min("id").alias("id"))
+    # rows without a key or hash share none
+    known = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c)), F.concat(F.lit("i"), F.col("id").cast("string")))
+    open_, saved = cut(nodes.select("site", "id", known("k").alias("k"), known("h").alias("h"))), []
+    while not open_.isEmpty():
+        first_k = open_.groupBy("site", "k").agg(F.min("id").alias("mk"))
+        first_h = open_.groupBy("site", "h").agg(F.min("id").alias("mh"))
+        seen = open_.join(first_k, ["site", "k"]).join(first_h, ["site", "h"])
+        now = cut(seen.where("id = mk and id = mh").select("site", "id", "k", "h"))
+        saved.append(now.select("site", "id"))
+        left = open_.join(now.select("site", "k"), ["site", "k"], "left_anti").join(now.select("site", "h"), ["site", "h"], "left_anti")
+        open_ = cut(left.select("site", "id", "k", "h"))
+    return reduce(DataFrame.unionByName, saved) if saved else nodes.select("site", "id")
+
+
+# ------------------------------------------------------------ page records
+
+
+def record_pages(queue: DataFrame, visits: DataFrame, projects: DataFrame, batch: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The queue, visits and projects after a batch of pages: a page's url
+    leaves the queue, its visit replaces an older one of the url, its project
+    is added unless its (site, chave) is known. Of several rows of a batch for
+    one url or key the last by ``coletado_em``, or the first by id, counts.
+    Applied again, a batch changes nothing."""
+    newest = Window.partitionBy("url").orderBy(F.desc(F.to_timestamp("coletado_em")), F.desc("coletado_em"))
+    last = batch.where("url is not null").withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    first = Window.partitionBy("site", "chave").orderBy("id")
+    new = found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").join(projects.select("site", "chave"), ["site", "chave"], "left_anti").select(projects.columns)
+    urls = last.select("url")
+    return queue.join(urls, "url", "left_anti").select(queue.columns), visits.join(urls, "url", "left_anti").select(visits.columns).unionByName(last.select(visits.columns)), projects.unionByName(new)
+
+
+def until_target(pages: DataFrame, target: int) -> DataFrame:
+    """The pages a crawl takes until each site has ``target`` projects, in
+    arrival order: rows with fewer projects of their site before them. ``pages``
+    has site, ordem (a whole number) and projeto, a boolean."""
+    done = _runs(pages, ("site",), F.coalesce("projeto", F.lit(False)), F.floor(F.col("ordem") / 4096))
+    return done.withColumn("antes", F.col("run") - F.coalesce(F.col("projeto"), F.lit(False)).cast("int")).where(F.col("antes") < target).drop("run")
 
 
 # ---------------------------------------------------------------- reports

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textquarry.functions.lexical import FIELDS, Analyzer
-from textquarry.functions.plan import once
+from textquarry.functions.plan import once, sums_before
 
 SNIPPET = 300
 FIELD_GAP = 100
@@ -114,8 +114,6 @@ def unit_numbers(unit_rows: DataFrame, width: int = 4096) -> DataFrame:
     are counted by ranges of ids, the counts are summed up, and only the units
     of one range are numbered together, so no task sees all of them."""
     keyed = unit_rows.select("doc_id", "unit_no", F.floor(F.col("doc_id") / width).alias("range"))
-    counts = keyed.groupBy("range").agg(F.count("*").alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = sums_before(keyed.groupBy("range").agg(F.count("*").alias("n")), "range", start="n")
     local = Window.partitionBy("range").orderBy("doc_id", "unit_no")
-    return keyed.withColumn("at", F.row_number().over(local) - 1).join(F.broadcast(starts), "range").select("doc_id", "unit_no", (F.col("start") + F.col("at")).alias("unit_id"))
+    return keyed.withColumn("at", F.row_number().over(local) - 1).join(starts, "range").select("doc_id", "unit_no", (F.col("start") + F.col("at")).alias("unit_id"))

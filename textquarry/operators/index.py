@@ -91,10 +91,21 @@ def field_mask(tf: Column) -> Column:
     return F.aggregate(bits, F.lit(0), lambda a, x: a.bitwiseOR(x))
 
 
-def gaps(postings: DataFrame) -> DataFrame:
-    """Unit numbers of every term as gaps, the first one as it is."""
-    by_term = Window.partitionBy("term").orderBy("unit_id")
-    return postings.select("term", "unit_id", (F.col("unit_id") - F.lag("unit_id", 1, 0).over(by_term)).alias("gap"))
+def gaps(postings: DataFrame, band: int = 1 << 16) -> DataFrame:
+    """Unit numbers of every term as gaps, the first one as it is. A term's
+    units are taken by bands, each with the last unit of the bands before, so
+    that no task sees all postings of a frequent term."""
+    keyed = postings.select("term", "unit_id", F.floor(F.col("unit_id") / band).alias("band"))
+    ends = keyed.groupBy("term", "band").agg(F.max("unit_id").alias("last"))
+    ends = ends.select("term", "band", F.lag("last", 1, 0).over(Window.partitionBy("term").orderBy("band")).alias("before"))
+    local = Window.partitionBy("term", "band").orderBy("unit_id")
+    return keyed.withColumn("prior", F.lag("unit_id").over(local)).join(ends, ["term", "band"]).select("term", "unit_id", (F.col("unit_id") - F.coalesce("prior", "before")).alias("gap"))
+
+
+def position_gaps(positions: DataFrame) -> DataFrame:
+    """Positions of every posting as gaps, the first one as it is."""
+    before = F.concat(F.array(F.lit(0)), F.slice("pos", 1, F.size("pos") - 1))
+    return positions.select("term", "unit_id", "field", F.zip_with("pos", before, lambda p, q: p - q).alias("gaps"))
 
 
 def vbyte_size(number: Column) -> Column:

@@ -312,6 +312,48 @@ def oracle_sql() -> dict[str, str]:
         "url_normalize": f"with {_canonical('fila', 'id, url')} select id, canonica from canon",
         "url_classify": f"with {_canonical('fila', 'id, url')}, s as (select id, {_SPLIT} from canon) select id, {_SITE} site, {_KIND} tipo from s",
         "sitemap_locs": "select distinct site, url loc from fila where tipo = 'project'",
+        "vbyte_roundtrip": f"with {_GAPS} select term, sum(case when gap < 128 then 1 when gap < 16384 then 2 when gap < 2097152 then 3 when gap < 268435456 then 4 else 5 end)::bigint bytes, true igual from g group by 1",
+        "position_bytes": f"with {_OCC}, pg as (select field, pos - coalesce(lag(pos) over (partition by doc_id, field, term order by pos), 0) gap from occ) select field, count(*) posicoes, sum(case when gap < 128 then 1 when gap < 16384 then 2 when gap < 2097152 then 3 when gap < 268435456 then 4 else 5 end)::bigint bytes from pg group by 1",
+        "crc32_bucket": f"""with {_POST}, tb as (select list(t order by i) tb from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(3988292384, c // 2) else c // 2 end) t from (select unnest(generate_series(0::bigint, 255)) i))),
+          by_ as (select term, df, list_transform(generate_series(1, length(hex(encode(term))) // 2), lambda k: ('0x' || substring(hex(encode(term)), 2 * k - 1, 2))::bigint) b from lex),
+          cr as (select df, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(tb[xor(c, x) % 256 + 1], c // 256)), 4294967295::bigint) c from by_, tb)
+          select (c % 16)::int particao, count(*) termos, sum(df)::bigint postings from cr group by 1""",
+        "config_sweep": f"""select 'documento' configuracao, (select count(*) from projetos) unidades, v.* from (with {_POST} select count(*) vocabulario, sum(df)::bigint postings, sum(cf)::bigint ocorrencias from lex) v
+          union all select 'campo', (select count(*) from projetos), v.* from (with {_POST} select count(*), sum(df)::bigint, sum(cf)::bigint from lex) v
+          union all select 'chunk_64', v.* from (with {_OCC}, {_chunk_units(64, 64)}, seg as (select u.unit_id, o.term from un u join occ o on o.doc_id = u.doc_id where (u.unit_no = 0 and o.field < 3) or (u.unit_no > 0 and o.field = 3 and o.pos >= u.inicio and o.pos < u.inicio + 64)),
+            pc as (select term, unit_id, count(*) n from seg group by 1, 2) select (select count(*) from un), count(distinct term), count(*), sum(n)::bigint from pc) v
+          union all select 'documento_sem_stemming', v.* from (with {_PLAIN_OCC}, pc as (select term, doc_id, count(*) n from occ group by 1, 2) select (select count(*) from projetos), count(distinct term), count(*), sum(n)::bigint from pc) v""",
+        "cjk_bigrams": f"select id doc_id, coalesce(array_to_string({_bigrams(_tokens('coalesce(readme, ' + chr(39) * 2 + ')'))}, ' '), '') tokens from projetos",
+        "phrase_search": f"with {_OCC}, {_LEN} select l.unit_id, a.field, a.pos as start from occ a join occ b on a.doc_id = b.doc_id and a.field = b.field and b.pos = a.pos + 1 join len l on l.doc_id = a.doc_id where a.term = 'memori' and b.term = 'stay'",
+        "topk_overlap": f"""with a as (with {_top(_bm25(_OCC))} select qid, doc_id from top), b as (with {_top(_bm25f())} select qid, doc_id from top),
+          x as (select b.qid, count(a.doc_id) h, count(*) n from b left join a using (qid, doc_id) group by 1)
+          select count(*) queries, round(avg(h / 10e0), 6) overlap, round(avg(h / n::double), 6) normalized from x""",
+        "greedy_duplicates": """with recursive o as (select row_number() over (order by id) n, id, site, site || '/' || chave k, site || '/' || hash_conteudo h from projetos),
+          r as (select 0::bigint n, []::varchar[] ks, []::varchar[] hs, null::bigint id, null::varchar site
+            union all select o.n, case when ok then list_append(ks, k) else ks end, case when ok and h is not null then list_append(hs, h) else hs end, case when ok then id end, case when ok then site end
+            from (select o.*, r.ks, r.hs, not list_contains(r.ks, o.k) and (o.h is null or not list_contains(r.hs, o.h)) ok from r join o on o.n = r.n + 1) o)
+          select site, id from r where id is not null""",
+        "link_extract": f"with fl as (select id, url, origem from fila where origem is not null and url is not null), {_canonical('fl', 'id, url, origem')} select distinct origem url, canonica link from canon",
+        "url_normalize_exact": f"with {_canonical('fila', 'id, url')} select id, canonica from canon",
+        "response_outcomes": f"""with v as (select distinct on (url, coletado_em) coalesce({_CODE}, '') c, status_http s, coalesce(tipo, 'listing') kind, coalesce(bytes, 1) % 7 = 0 img from visitadas order by url, coletado_em)
+          select kind, case when c = 'bloqueada_robots' then 'bloqueada_robots' when s is null then 'erro_rede' when s in (301, 302, 303, 307, 308) then 'redirecionada' when s in (429, 503) then 'adiada' when s <> 200 then 'erro_http'
+            when kind = 'sitemap' then 'ok' when img then 'tipo_invalido' when kind = 'project' and c = 'soft404' then 'soft404' when kind = 'project' and c = 'duplicada' then 'duplicada' when kind = 'project' then 'projeto' else 'ok' end resultado, count(*) n from v group by 1, 2""",
+        "backoff_waits": r"with v as (select profundidade, nullif(regexp_extract(detalhe, '(\d+)', 1), '') pedido from visitadas where status_http >= 400), w as (select *, coalesce(least(try_cast(pedido as double), 300e0), least(5e0 * pow(2e0, coalesce(profundidade, 0)), 300e0)) espera from v) select profundidade, pedido, espera, count(*) n from w group by 1, 2, 3",
+        "line_counts": "select site, count(*) linhas from projetos group by 1",
+        "target_stop": "with t as (select site, id, count(*) filter (status_http = 200) over (partition by site order by id rows between unbounded preceding and 1 preceding) b from projetos) select site, count(*) paginas, max(id) ate from t where coalesce(b, 0) < 100 group by 1",
+        "page_record": """with l as (select *, coalesce(try_cast(substring(coletado_em, 15, 2) as int) % 2 = 1, false) late from visitadas), u as (select distinct url from l where late and url is not null),
+          p as (select site, chave, coalesce(try_cast(substring(coletado_em, 15, 2) as int) % 2 = 1, false) late from projetos)
+          select (select count(*) from fila where url is null or url not in (select url from u)) fila, (select count(*) from l where not late and (url is null or url not in (select url from u))) + (select count(*) from u) visitas,
+            (select count(*) from p where not late) + (select count(*) from (select site, chave from p where late except select site, chave from p where not late)) projetos""",
+        "link_priority": f"""with fl as (select id, url, origem from fila where url is not null), {_canonical('fl', 'id, url, origem')},
+          o as (select url origem, min(tipo) tipo, min(profundidade) profundidade from visitadas group by 1),
+          s as (select canonica, origem, {_SPLIT} from canon),
+          k as (select s.*, o.tipo, o.profundidade, {_KIND} k, {_SITE} site,
+            regexp_extract(origem, '^https://([^/?#]*)', 1) = h and regexp_extract(origem, '^https://[^/?#]*([^?#]*)', 1) = p and
+            list_sort(list_filter(string_split(regexp_extract(origem, '[?](.*)$', 1), '&'), lambda x: x <> '' and not starts_with(x, 'page='))) = list_sort(list_filter(string_split(qs, '&'), lambda x: x <> '' and not starts_with(x, 'page='))) same
+            from s join o using (origem))
+          select site, k tipo, (case when k = 'project' and tipo in ('listing', 'sitemap') then 0 else 1 end)::int prioridade,
+            (case when SAME then profundidade else profundidade + 1 end)::int profundidade, count(*) n from k where k is not null group by 1, 2, 3, 4""".replace("SAME", "(coalesce(same, false) or (tipo = 'sitemap' and k = 'sitemap'))"),
         "html_project_extract": _made_fields(),
         "listing_hints": f"select id, url, {_tidy('linguagem')} linguagem from projetos where site = 'github' and {_tidy('linguagem')} is not null",
         "clean_ws": r"select id, nullif(trim(regexp_replace(descricao, '[\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{000B}]+', ' ', 'g')), '') texto from projetos",

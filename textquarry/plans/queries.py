@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, Window, functions as F
 
 from textquarry.functions import cleaning, html as pages_html, lexical, robots, urls, vbyte
@@ -169,10 +171,27 @@ def vbyte_sizes(spark, sf_dir):
     return g.groupBy("term").agg(F.sum(ix.vbyte_size(F.col("gap"))).alias("bytes"))
 
 
-def vbyte_roundtrip(spark, sf_dir):
-    g = ix.gaps(_index(spark, sf_dir).postings).groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", "gap"))), lambda s: s["gap"]).alias("gaps"))
-    coded = g.withColumn("codigo", vbyte.vbyte_encode(F.col("gaps")))
-    return coded.select("term", F.octet_length("codigo").alias("bytes"), (vbyte.vbyte_decode(F.col("codigo")) == F.col("gaps")).alias("igual"))
+def vbyte_roundtrip(spark, sf_dir, block=4096):
+    """Blocks of every term's gaps encoded and decoded again."""
+    g = ix.gaps(_index(spark, sf_dir).postings).groupBy("term", F.floor(F.col("unit_id") / block).alias("b"))
+    gaps = g.agg(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", "gap"))), lambda s: s["gap"]).alias("gaps"))
+    coded = gaps.withColumn("codigo", vbyte.vbyte_encode(F.col("gaps")))
+    blocks = coded.select("term", F.octet_length("codigo").alias("bytes"), (vbyte.vbyte_decode(F.col("codigo")) == F.col("gaps")).alias("igual"))
+    return blocks.groupBy("term").agg(F.sum("bytes").alias("bytes"), F.min("igual").alias("igual"))
+
+
+def position_bytes(spark, sf_dir):
+    """Bytes of the position gaps of every field in the variable-byte code."""
+    g = ix.position_gaps(_index(spark, sf_dir).positions)
+    size = F.aggregate(F.transform("gaps", ix.vbyte_size), F.lit(0), lambda acc, n: acc + n)
+    return g.groupBy("field").agg(F.sum(F.size("gaps")).alias("posicoes"), F.sum(size).alias("bytes"))
+
+
+def config_sweep(spark, sf_dir):
+    """Units, vocabulary, postings and occurrences of several configurations."""
+    named = {"documento": _index(spark, sf_dir, "documento"), "campo": _index(spark, sf_dir), "chunk_64": _index(spark, sf_dir, "chunk", positions=False, chunk=64), "documento_sem_stemming": _index(spark, sf_dir, "documento", analyzer=UNSTEMMED, positions=False)}
+    rows = [ix.collection_statistics(i).select(F.lit(n).alias("configuracao"), "unidades", "vocabulario", "postings", "ocorrencias") for n, i in named.items()]
+    return reduce(lambda x, y: x.unionByName(y), rows)
 
 
 def crc32_bucket(spark, sf_dir):
@@ -321,22 +340,32 @@ def url_classify(spark, sf_dir):
     return _t(spark, sf_dir, "fila").select("id", c.alias("u")).select("id", urls.site_of(F.col("u")).alias("site"), urls.classify(F.col("u")).alias("tipo"))
 
 
+LINKS_A_PAGE, LOCS_A_MAP = 500, 1000
+
+
+def _parts(rows, by, size):
+    """Rows with ``parte``: those of one ``by`` in parts of about ``size``."""
+    sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / size).cast("long").alias("_m"))
+    return rows.join(sizes, by).withColumn("parte", F.pmod(F.xxhash64("url"), F.col("_m")))
+
+
 def _pages(spark, sf_dir):
-    """Listing pages put together from the queue: one page an origin with the
-    links that were found on it."""
-    q = _t(spark, sf_dir, "fila").where("origem is not null")
-    links = F.array_join(F.transform(F.array_sort(F.collect_set("url")), lambda u: F.concat(F.lit('<a href="'), u, F.lit('#top">x</a>'))), "")
-    return q.groupBy(F.col("origem").alias("url")).agg(F.concat(F.lit("<html><body>"), links, F.lit("</body></html>")).alias("html"))
+    """Listing pages put together from the queue: of every origin the links
+    that were found on it, some hundreds a page."""
+    q = _parts(_t(spark, sf_dir, "fila").where("origem is not null and url is not null").select("origem", "url").distinct(), "origem", LINKS_A_PAGE)
+    links = F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.concat(F.lit('<a href="'), u, F.lit('#top">x</a>'))), "")
+    return q.groupBy(F.col("origem").alias("url"), "parte").agg(F.concat(F.lit("<html><body>"), links, F.lit("</body></html>")).alias("html"))
 
 
 def link_extract(spark, sf_dir):
-    found = F.posexplode(pages_html.extract_links(F.col("html"), F.col("url")))
-    return _pages(spark, sf_dir).select("url", found.alias("n", "link"))
+    """Distinct links of every origin, read from its pages."""
+    found = F.explode(pages_html.extract_links(F.col("html"), F.col("url")))
+    return _pages(spark, sf_dir).select("url", found.alias("link")).distinct()
 
 
 def sitemap_locs(spark, sf_dir):
-    q = _t(spark, sf_dir, "fila").where("tipo = 'project'")
-    maps = q.groupBy("site").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_set("url")), lambda u: F.concat(F.lit("<url><loc> "), u, F.lit(" </loc></url>")))).alias("xml"))
+    q = _parts(_t(spark, sf_dir, "fila").where("tipo = 'project'").select("site", "url").distinct(), "site", LOCS_A_MAP)
+    maps = q.groupBy("site", "parte").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("url")), lambda u: F.concat(F.lit("<url><loc> "), u, F.lit(" </loc></url>")))).alias("xml"))
     return maps.select("site", F.explode(pages_html.sitemap_locs(F.col("xml"))).alias("loc"))
 
 
@@ -468,13 +497,54 @@ def _in_order(visits):
 
 
 def incident_runs(spark, sf_dir):
-    runs = crawl.incident_runs(_in_order(_t(spark, sf_dir, "visitadas")), threshold=2)
+    runs = crawl.incident_runs(_in_order(_t(spark, sf_dir, "visitadas")), threshold=2, band=F.floor(F.unix_timestamp("t") / 3600))
     return runs.groupBy("site", "tamanho", "incidentes").agg(F.count("*").alias("n"))
 
 
 def hold_backoff(spark, sf_dir):
     held = _in_order(_t(spark, sf_dir, "visitadas")).where("tipo is not null").withColumn("adiada", F.coalesce(F.col("resultado") == "erro_http", F.lit(False)))
-    return crawl.hold_backoff(held).groupBy("site", "tipo", "espera").agg(F.count("*").alias("n"))
+    return crawl.hold_backoff(held, band=F.floor(F.unix_timestamp("t") / 3600)).groupBy("site", "tipo", "espera").agg(F.count("*").alias("n"))
+
+
+def _responses(spark, sf_dir):
+    """Answers put together from the visits' columns."""
+    v = _t(spark, sf_dir, "visitadas").dropDuplicates(["url", "coletado_em"])
+    code = F.coalesce(crawl.result_code(F.col("resultado")), F.lit(""))
+    content = F.when(F.col("tipo") == "sitemap", "application/xml").when(F.coalesce("bytes", F.lit(1)) % 7 == 0, "image/png").otherwise("text/html; charset=utf-8")
+    return v.select("url", "coletado_em", (code != "bloqueada_robots").alias("allowed"), F.col("status_http").alias("status"), F.coalesce("tipo", F.lit("listing")).alias("kind"), content.alias("content_type"), F.lit(False).alias("xml"), (code != "soft404").alias("is_project"), (code == "duplicada").alias("duplicate"))
+
+
+def response_outcomes(spark, sf_dir):
+    return crawl.outcome(_responses(spark, sf_dir)).groupBy("kind", "resultado").agg(F.count("*").alias("n"))
+
+
+def backoff_waits(spark, sf_dir):
+    """Waits of failed visits: attempts by depth, Retry-After from the detail."""
+    v = _t(spark, sf_dir, "visitadas").where("status_http >= 400")
+    asked = F.nullif(F.regexp_extract("detalhe", r"(\d+)", 1), F.lit(""))
+    wait = crawl.backoff(F.coalesce("profundidade", F.lit(0)), asked)
+    return v.select("profundidade", asked.alias("pedido"), wait.alias("espera")).groupBy("profundidade", "pedido", "espera").agg(F.count("*").alias("n"))
+
+
+def line_counts(spark, sf_dir):
+    """Lines of every site's export."""
+    p = _t(spark, sf_dir, "projetos")
+    return p.select("site", export_json(p).alias("linha")).where(F.length("linha") > 0).groupBy("site").agg(F.count("*").alias("linhas"))
+
+
+def page_record(spark, sf_dir):
+    """Rows of the state after the pages of odd minutes are recorded."""
+    visits, projects = _t(spark, sf_dir, "visitadas"), _t(spark, sf_dir, "projetos")
+    late = F.coalesce(F.substring("coletado_em", 15, 2).try_cast("int") % 2 == 1, F.lit(False))
+    state = crawl.record_pages(_t(spark, sf_dir, "fila"), visits.where(~late), projects.where(~late), visits.where(late), projects.where(late))
+    counts = [df.agg(F.count("*").alias(n)) for df, n in zip(state, ("fila", "visitas", "projetos"))]
+    return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))  # one row each
+
+
+def target_stop(spark, sf_dir):
+    """Rows of the queue order that a crawl with a target of 100 projects takes."""
+    p = _t(spark, sf_dir, "projetos").select("site", F.col("id").alias("ordem"), (F.col("status_http") == 200).alias("projeto"))
+    return crawl.until_target(p, 100).groupBy("site").agg(F.count("*").alias("paginas"), F.max("ordem").alias("ate"))
 
 
 def _made_pages(spark, sf_dir):
@@ -556,7 +626,7 @@ def queries() -> dict:
         sitemap_locs, to_int, clean_ws, content_hash, exact_duplicates, greedy_duplicates, frontier_next, frontier_dedup, frontier_counts,
         requeue, seed_cross, hint_left_join, robots_match, link_priority, outcome_histogram, status_histogram, error_count, crawl_rate,
         fill_rate, hourly_timeline, crawl_summary, last_block, run_bookkeeping, systematic_sample, export_jsonl, project_listing,
-        incident_runs, hold_backoff, html_project_extract, listing_hints, stream_dedup, stream_incident, stream_hourly,
+        incident_runs, hold_backoff, html_project_extract, listing_hints, position_bytes, config_sweep, response_outcomes, backoff_waits, line_counts, page_record, target_stop, stream_dedup, stream_incident, stream_hourly,
     )
     renamed = {"fields": "field_view", "stem_words": "stem_vocabulary"}
     return {renamed.get(f.__name__, f.__name__): f for f in listed}
