@@ -107,6 +107,14 @@ def test_residue(spark):
     assert got == set(range(len(RESIDUE))), [rows[i] for i in got ^ set(range(len(RESIDUE)))]
 
 
+def test_residue_by_given_exemplars(spark):
+    """The labelled table is a parameter; what it does not hold is not found."""
+    rows = [("projeto vazio por enquanto", 1), ("This space is vacant for now, sorry", 1), ("<p>This space is vacant for now</p>", 1), ("A vacant space planner for parking lots", 0), ("undefined", 0)]
+    table = [("vago", "whole", "projeto vazio por enquanto"), ("vago", "part", "this space is vacant for now")]
+    got = {int(r.chave): r.rotulo for r in residue.template_residue(values(spark, [v for v, _ in rows]), table).collect()}
+    assert got == {i: "vago" for i, (_, case) in enumerate(rows) if case}
+
+
 def test_residue_repeats_and_long_texts(spark):
     df = spark.createDataFrame([("v", "u", "undefined")] * 3 + [("v", "u", "ok"), ("v", "l", "real words " * 20_000 + "please turn on javascript to view this page"), ("v", "m", "the page " * 20_000)], "tabela string, chave string, valor string")
     assert sorted(r.chave for r in residue.template_residue(df).collect()) == ["l", "u"]

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textquarry.functions.plan import once
 from textquarry.llm import residue_exemplars as ex
 from textquarry.llm.text import wide_enough
+from textquarry.session import cut
 
 THRESHOLD = 0.72
 
@@ -68,19 +69,16 @@ def _terms(tokens: list[str]) -> list[str]:
     return tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]
 
 
-def _exemplars() -> list[tuple[int, str, list[str], int]]:
-    """(number, scope, terms, words)."""
-    rows, n = [], 0
-    for scope, texts in (("part", ex.PART), ("whole", ex.WHOLE)):
-        for text in texts:
-            tokens = _split(text)
-            rows.append((n, scope, list(dict.fromkeys(_terms(tokens))), len(tokens)))
-            n += 1
-    for word in ex.CONTRAST_WORDS:
-        rows.append((n, "contrast", [ex.MARK, word], 4))
-        n += 1
-    rows.append((n, "lorem", list(ex.LOREM_BAG), 5))
-    rows.append((n + 1, "bag", list(ex.FILLER_BAG), 1))
+LENGTHS = {"near": 4, "run": 5, "bag": 1}
+
+
+def _numbered(exemplars: list[tuple[str, str, str]]) -> list[tuple[int, str, str, list[str], int]]:
+    """(number, label, scope, terms, words) of (label, scope, text)."""
+    rows = []
+    for n, (label, scope, text) in enumerate(exemplars):
+        tokens = _split(text)
+        terms = tokens if scope in LENGTHS else _terms(tokens)
+        rows.append((n, label, scope, list(dict.fromkeys(terms)), LENGTHS.get(scope, len(tokens))))
     return rows
 
 
@@ -91,15 +89,17 @@ def _value_terms(tokens: Column) -> Column:
     return F.concat(words, F.transform(pairs, lambda t, i: F.struct(i.alias("at"), t.alias("term"))))
 
 
-def template_residue(values: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+def template_residue(values: DataFrame, exemplars: list[tuple[str, str, str]] | None = None, *, threshold: float = THRESHOLD) -> DataFrame:
     """(tabela, chave, valor) to (tabela, chave, rotulo, cobertura): one row a
-    key with residue, its best label and that match's containment."""
+    key with residue, its best label and that match's containment. ``exemplars``
+    is the labelled table (label, scope, text), see ``residue_exemplars``."""
     spark = values.sparkSession
-    rows = _exemplars()
-    vocabulary = sorted({t for r in rows for t in r[2]})
+    rows = _numbered(ex.EXEMPLARS if exemplars is None else exemplars)
+    vocabulary = sorted({t for r in rows for t in r[3]})
     texts = wide_enough(values.where(F.trim("valor") != ""))
     base = once(texts, "tabela", "chave", tok=residue_tokens(F.col("valor")), vh=F.xxhash64("valor"))
-    base = base.select("tabela", "chave", "vh", F.size("tok").alias("words"), "tok").where("words > 0")
+    # tokens are made once for the frequencies and the look-up
+    base = cut(base.select("tabela", "chave", "vh", F.size("tok").alias("words"), "tok").where("words > 0"))
 
     # document frequencies of the index's terms over all values, one pass
     vocab = spark.createDataFrame([(t,) for t in vocabulary], "term string")
@@ -116,12 +116,12 @@ def template_residue(values: DataFrame, *, threshold: float = THRESHOLD) -> Data
     idf = {t: math.log((n + 2) / (found.get(t, 0) + 1)) for t in vocabulary}
 
     index, info, keys = [], [], set()
-    for number, scope, terms, words in rows:
+    for number, _, scope, terms, words in rows:
         weights = sorted(((idf[t], t) for t in terms), reverse=True)
         mass = sum(w for w, _ in weights) or 1.0
         index += [(t, number, w / mass) for w, t in weights]
         info.append((number, scope, words))
-        if scope == "contrast":
+        if scope == "near":
             continue
         rest = mass if scope in ("part", "whole") else float("inf")
         for w, t in weights:
@@ -159,34 +159,22 @@ def template_residue(values: DataFrame, *, threshold: float = THRESHOLD) -> Data
     best = F.array_max(F.transform("h", lambda s: held(F.col("h"), s["at"], F.col("span"), lambda x: x["share"])))
     run = F.array_max(F.transform("h", lambda s: F.size(F.filter("h", lambda x: (x["at"] >= s["at"]) & (x["at"] < s["at"] + 5))).cast("double") / 5))
     slack = F.when(F.col("len") <= 2, 0).otherwise(2)
-    scored = windows.select("tabela", "chave", "vh", "e", "scope", F.when(F.col("scope") == "lorem", run).otherwise(best).alias("cover"), (F.col("words") <= F.col("len") + slack).alias("fits"), "words")
+    scored = windows.select("tabela", "chave", "vh", "e", "scope", F.when(F.col("scope") == "run", run).otherwise(best).alias("cover"), (F.col("words") <= F.col("len") + slack).alias("fits"), "words")
     kept = scored.where(
         ((F.col("scope") == "part") & (F.col("cover") >= threshold))
         | ((F.col("scope") == "whole") & F.col("fits") & (F.col("cover") >= threshold))
-        | ((F.col("scope") == "lorem") & ((F.col("cover") >= 0.8) | (F.col("cover") * 5 >= F.col("words"))))
-        | ((F.col("scope") == "contrast") & (F.col("cover") > 0.99))
+        | ((F.col("scope") == "run") & ((F.col("cover") >= 0.8) | (F.col("cover") * 5 >= F.col("words"))))
+        | ((F.col("scope") == "near") & (F.col("cover") > 0.99))
     ).select("tabela", "chave", "vh", "e", "scope", "cover")
     kept = kept.unionByName(bags.where("cover >= 0.999"))
-    mark = next(r[0] for r in rows if r[1] == "part" and r[2] == [ex.MARK])
-    names = F.element_at(F.create_map(*[F.lit(x) for r in rows for x in (r[0], _label(r[0], r[1], mark))]), F.col("e"))
+    names = F.element_at(F.create_map(*[F.lit(x) for r in rows for x in r[:2]]), F.col("e"))
+    told = kept.withColumn("rotulo", names)
+    # a placeholder counts unless a negative exemplar speaks of placeholders
+    plain = F.when((F.col("scope") != "near") & (F.col("rotulo") != "marcador"), F.col("cover"))
     return (
-        kept.withColumn("rotulo", names)
-        .groupBy("tabela", "chave", "vh")
-        .agg(F.max(F.col("scope") == "contrast").alias("about"), F.max_by("rotulo", F.when((F.col("scope") != "contrast") & (F.col("e") != mark), F.col("cover"))).alias("other"), F.max(F.when((F.col("scope") != "contrast") & (F.col("e") != mark), F.col("cover"))).alias("cover"), F.max(F.col("e") == mark).alias("marked"))
+        told.groupBy("tabela", "chave", "vh")
+        .agg(F.max(F.col("scope") == "near").alias("about"), F.max_by("rotulo", plain).alias("other"), F.max(plain).alias("cover"), F.max(F.col("rotulo") == "marcador").alias("marked"))
         .where("cover is not null or (marked and not about)")
         .groupBy("tabela", "chave")
         .agg(F.min(F.when(F.col("marked") & ~F.col("about"), "marcador").otherwise(F.col("other"))).alias("rotulo"), F.max(F.coalesce("cover", F.lit(1.0))).alias("cobertura"))
     )
-
-
-def _label(number: int, scope: str, mark: int) -> str:
-    if number == mark:
-        return "marcador"
-    if scope in ("lorem", "bag"):
-        return "enchimento"
-    sizes = [("instrucao", len(ex.INSTRUCTIONS_PART)), ("erro", len(ex.ERRORS_PART)), ("scripts", len(ex.SCRIPTS_PART)), ("marcador", 1), ("instrucao", len(ex.INSTRUCTIONS_WHOLE)), ("erro", len(ex.ERRORS_WHOLE))]
-    for name, size in sizes:
-        if number < size:
-            return name
-        number -= size
-    return "sobre"

@@ -192,5 +192,16 @@ CONTRAST_WORDS = (
     "substitutes substitute replaces interpolation interpolates variables variable"
 ).split()
 
-PART = INSTRUCTIONS_PART + ERRORS_PART + SCRIPTS_PART + [MARK]
-WHOLE = INSTRUCTIONS_WHOLE + ERRORS_WHOLE
+#: The labelled table: label, scope and text. A "part" may lie anywhere, a
+#: "whole" makes up the value, "run" and "bag" are lists of words, and "near" are
+#: negative exemplars, two terms of which stand side by side.
+EXEMPLARS = (
+    [("instrucao", "part", t) for t in INSTRUCTIONS_PART]
+    + [("erro", "part", t) for t in ERRORS_PART]
+    + [("scripts", "part", t) for t in SCRIPTS_PART]
+    + [("marcador", "part", MARK)]
+    + [("instrucao", "whole", t) for t in INSTRUCTIONS_WHOLE]
+    + [("erro", "whole", t) for t in ERRORS_WHOLE]
+    + [("sobre", "near", f"{MARK} {w}") for w in CONTRAST_WORDS]
+    + [("enchimento", "run", " ".join(LOREM_BAG)), ("enchimento", "bag", " ".join(FILLER_BAG))]
+)
