@@ -116,7 +116,7 @@ def test_residue_by_given_exemplars(spark):
 
 
 def test_residue_repeats_and_long_texts(spark):
-    df = spark.createDataFrame([("v", "u", "undefined")] * 3 + [("v", "u", "ok"), ("v", "l", "real words " * 20_000 + "please turn on javascript to view this page"), ("v", "m", "the page " * 20_000)], "tabela string, chave string, valor string")
+    df = spark.createDataFrame([("v", "u", "undefined")] * 3 + [("v", "u", "ok"), ("v", "l", "real words " * 20_000 + "please turn on javascript to view this page"), ("v", "m", "the page " * 20_000)] + [("v", "w", "ok [10]")] * 4, "tabela string, chave string, valor string")
     assert sorted(r.chave for r in residue.template_residue(df).collect()) == ["l", "u"]
     assert residue.template_residue(df.limit(0)).count() == 0
 

@@ -29,6 +29,7 @@ from textquarry.llm.text import wide_enough
 from textquarry.session import cut
 
 THRESHOLD = 0.72
+SALTS = 16
 
 _HTML = r"(?i)</?(?:p|br|h[1-6]|b|i|u|em|strong|span|div|a|ul|ol|li|img|code|pre|table|tr|td|th|tbody|thead|hr|small|sup|sub|font|center|section|article|blockquote|kbd|details|summary_|picture|source|video)(?:\s[^<>]{0,500})?/?>"
 _NAME = r"[\p{L}_][\p{L}\p{N}_.\-]*"
@@ -96,21 +97,22 @@ def template_residue(values: DataFrame, exemplars: list[tuple[str, str, str]] |
     spark = values.sparkSession
     rows = _numbered(ex.EXEMPLARS if exemplars is None else exemplars)
     vocabulary = sorted({t for r in rows for t in r[3]})
-    texts = wide_enough(values.where(F.trim("valor") != ""))
-    base = once(texts, "tabela", "chave", tok=residue_tokens(F.col("valor")), vh=F.xxhash64("valor"))
+    texts = values.where(F.trim("valor") != "").select("tabela", "chave", "valor", F.xxhash64("valor").alias("vh"))
+    # a value is looked at once, however many rows have it
+    distinct = wide_enough(texts.groupBy("vh", "valor").agg(F.count("*").alias("n")))
+    base = once(distinct, "vh", "n", tok=residue_tokens(F.col("valor")))
     # tokens are made once for the frequencies and the look-up
-    base = cut(base.select("tabela", "chave", "vh", F.size("tok").alias("words"), "tok").where("words > 0"))
+    base = cut(base.select("vh", "n", F.size("tok").alias("words"), "tok").where("words > 0"))
 
     # document frequencies of the index's terms over all values, one pass
     vocab = spark.createDataFrame([(t,) for t in vocabulary], "term string")
     counted = (
-        base.select("tok", F.explode(F.array_distinct(F.transform(_value_terms(F.col("tok")), lambda s: s["term"]))).alias("term"))
-        .select("term")
+        base.select("n", F.explode(F.array_distinct(F.transform(_value_terms(F.col("tok")), lambda s: s["term"]))).alias("term"))
         .join(F.broadcast(vocab), "term", "left_semi")
         .groupBy("term")
-        .agg(F.count("*").alias("df"))
+        .agg(F.sum("n").alias("df"))
     )
-    total = base.agg(F.lit(None).cast("string").alias("term"), F.count("*").alias("df"))
+    total = base.agg(F.lit(None).cast("string").alias("term"), F.coalesce(F.sum("n"), F.lit(0)).alias("df"))
     found = {r["term"]: r["df"] for r in counted.unionByName(total).collect()}  # at most the vocabulary
     n = found.pop(None, 0)
     idf = {t: math.log((n + 2) / (found.get(t, 0) + 1)) for t in vocabulary}
@@ -132,9 +134,9 @@ def template_residue(values: DataFrame, exemplars: list[tuple[str, str, str]] |
     index_df = spark.createDataFrame(index, "term string, e int, share double")
     info_df = spark.createDataFrame(info, "e int, scope string, len int")
     hits = (
-        once(base, "tabela", "chave", "vh", "words", terms=_value_terms(F.col("tok")))
+        once(base, "vh", "words", terms=_value_terms(F.col("tok")))
         .where(F.arrays_overlap(F.transform("terms", lambda s: s["term"]), F.array(*[F.lit(k) for k in sorted(keys)])))
-        .select("tabela", "chave", "vh", "words", F.inline_outer("terms"))
+        .select("vh", "words", F.inline_outer("terms"))
         .join(F.broadcast(index_df), "term")
         .join(F.broadcast(info_df), "e")
         # every stretch of one length lies in one of the half-overlapping windows of two
@@ -142,12 +144,12 @@ def template_residue(values: DataFrame, exemplars: list[tuple[str, str, str]] |
         .withColumn("w", F.explode(F.array(F.floor(F.col("at") / F.col("span")), F.floor(F.col("at") / F.col("span")) - 1)))
         .where("w >= 0 or at < span")
     )
-    bags = hits.where("scope = 'bag' and w = 0 and instr(term, ' ') = 0").groupBy("tabela", "chave", "vh", "e").agg(
+    bags = hits.where("scope = 'bag' and w = 0 and instr(term, ' ') = 0").groupBy("vh", "e").agg(
         F.lit("bag").alias("scope"), (F.count("*") / F.first("words")).alias("cover")
     )
     windows = (
         hits.where("scope != 'bag'")
-        .groupBy("tabela", "chave", "vh", "e", "scope", "w")
+        .groupBy("vh", "e", "scope", "w")
         .agg(F.first("words").alias("words"), F.first("len").alias("len"), F.first("span").alias("span"), F.collect_list(F.struct("at", "term", "share")).alias("h"))
     )
 
@@ -159,22 +161,24 @@ def template_residue(values: DataFrame, exemplars: list[tuple[str, str, str]] |
     best = F.array_max(F.transform("h", lambda s: held(F.col("h"), s["at"], F.col("span"), lambda x: x["share"])))
     run = F.array_max(F.transform("h", lambda s: F.size(F.filter("h", lambda x: (x["at"] >= s["at"]) & (x["at"] < s["at"] + 5))).cast("double") / 5))
     slack = F.when(F.col("len") <= 2, 0).otherwise(2)
-    scored = windows.select("tabela", "chave", "vh", "e", "scope", F.when(F.col("scope") == "run", run).otherwise(best).alias("cover"), (F.col("words") <= F.col("len") + slack).alias("fits"), "words")
+    scored = windows.select("vh", "e", "scope", F.when(F.col("scope") == "run", run).otherwise(best).alias("cover"), (F.col("words") <= F.col("len") + slack).alias("fits"), "words")
     kept = scored.where(
         ((F.col("scope") == "part") & (F.col("cover") >= threshold))
         | ((F.col("scope") == "whole") & F.col("fits") & (F.col("cover") >= threshold))
         | ((F.col("scope") == "run") & ((F.col("cover") >= 0.8) | (F.col("cover") * 5 >= F.col("words"))))
         | ((F.col("scope") == "near") & (F.col("cover") > 0.99))
-    ).select("tabela", "chave", "vh", "e", "scope", "cover")
+    ).select("vh", "e", "scope", "cover")
     kept = kept.unionByName(bags.where("cover >= 0.999"))
     names = F.element_at(F.create_map(*[F.lit(x) for r in rows for x in r[:2]]), F.col("e"))
     told = kept.withColumn("rotulo", names)
     # a placeholder counts unless a negative exemplar speaks of placeholders
     plain = F.when((F.col("scope") != "near") & (F.col("rotulo") != "marcador"), F.col("cover"))
-    return (
-        told.groupBy("tabela", "chave", "vh")
+    found_values = (
+        told.groupBy("vh")
         .agg(F.max(F.col("scope") == "near").alias("about"), F.max_by("rotulo", plain).alias("other"), F.max(plain).alias("cover"), F.max(F.col("rotulo") == "marcador").alias("marked"))
         .where("cover is not null or (marked and not about)")
-        .groupBy("tabela", "chave")
-        .agg(F.min(F.when(F.col("marked") & ~F.col("about"), "marcador").otherwise(F.col("other"))).alias("rotulo"), F.max(F.coalesce("cover", F.lit(1.0))).alias("cobertura"))
+        .select("vh", F.when(F.col("marked") & ~F.col("about"), "marcador").otherwise(F.col("other")).alias("rotulo"), F.coalesce("cover", F.lit(1.0)).alias("cobertura"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
+    # rows of one frequent value are spread over the salts
+    keyed = texts.select("tabela", "chave", "vh", F.pmod(F.xxhash64("chave"), F.lit(SALTS)).cast("int").alias("salt"))
+    return keyed.join(found_values.hint("merge"), ["vh", "salt"]).groupBy("tabela", "chave").agg(F.min("rotulo").alias("rotulo"), F.max("cobertura").alias("cobertura"))
