@@ -1,6 +1,7 @@
 """Training-data operators on small fixtures, against brute force."""
 
 import itertools
+import os
 import re
 from collections import Counter
 
@@ -191,6 +192,21 @@ def test_entity_matching_of_repeated_pages(spark):
     assert {(5 + 10_000 * i, 1005 + 10_000 * j) for i in range(40) for j in range(40)} <= got
 
 
+def test_blocking_against_all_pairs(spark):
+    """Of the pairs that would match among all of both sites, nine of ten and more are candidates."""
+    folder = os.environ.get("TEXTQUARRY_MEDIUM", "/root/testdata/sf0.01")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    reps, _ = em.distinct_records(em.cut(em.records(spark.read.parquet(f"{folder}/projetos.parquet"))))
+    full, pairs, _ = em.candidates(reps, "github", "sourceforge")
+    site = lambda name, end: reps.where(F.col("site") == name).join(full.select("id"), "id", "left_semi").select(F.col("id").alias(end))
+    scored = em.score_pairs(full, site("github", "a").crossJoin(site("sourceforge", "b")))
+    model = em.calibrate(scored)
+    every = {(r.a, r.b) for r in em.confidences(scored, model).where("confianca >= 0.5").collect()}
+    found = {(r.a, r.b) for r in pairs.collect()}
+    assert len(every) > 20 and len(every & found) >= 0.95 * len(every)
+
+
 def test_calibration_by_chance_labels():
     """Agreement by chance among many pairs that are no match moves no cut."""
     rng = np.random.default_rng(3)
@@ -198,7 +214,7 @@ def test_calibration_by_chance_labels():
         x = np.concatenate([rng.normal(0.8, 0.1, (300, 2)), rng.normal(0.2, 0.15, (n, 2))])
         truth = np.concatenate([np.ones(300), np.zeros(n)])
         y = np.where(truth > 0, rng.random(n + 300) < 0.95, rng.random(n + 300) < 0.03).astype(float)
-        model = em.fit_calibration(x, y, x.prod(axis=1))
+        model = em.fit_calibration(x, y, x.prod(axis=1), products=[(0, 1)])
         assert ((model.confidence(x) > 0.5) == (truth > 0)).mean() > 0.99, n
         assert abs(model.chance - 0.03) < 0.03 and model.missed < 0.1
 

@@ -376,6 +376,11 @@ def scored_candidates(table: DataFrame, left: str = "github", right: str = "sour
     and the rows (rep, id) of every record."""
     reps, members = distinct_records(cut(records(table)))
     full, pairs, _ = candidates(reps, left, right, seed=seed, vectors=vectors)
+    return score_pairs(full, pairs), members
+
+
+def score_pairs(full: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact scores of pairs (a, b) of profiles that have a like name or a link."""
     few = full.select("id", "nk", "lt")
     named = (
         pairs.hint("merge").join(few.select(F.col("id").alias("a"), F.col("nk").alias("ka"), F.col("lt").alias("la")), "a")
@@ -393,22 +398,24 @@ def scored_candidates(table: DataFrame, left: str = "github", right: str = "sour
         .withColumn("f", F.pandas_udf(_exact, _FEATURES)("dt1", "dv1", "dt2", "dv2", "nt1", "nv1", "nt2", "nv2", "lt1", "lv1", "lt2", "lv2", "e1", "e2"))
         .select("a", "b", "dice", "f.*", "crowd1", "crowd2", agree("lg1", "lg2").alias("lang"), agree("lc1", "lc2").alias("lic"))
     )
-    return cut(scored), members
+    return cut(scored)
 
 
-#: The attribute scores, as they enter the model.
-SCORES = {
-    "dice": F.col, "name": F.col, "back": F.col, "fore": F.col, "vec": F.col, "link": lambda c: F.col(c) / 10,
-    "linked": lambda c: (F.col("link") > 0).cast("double"), "shared": lambda c: F.least(F.col(c) / 40, F.lit(2.0)),
-    "crowd1": lambda c: F.least(F.coalesce(F.col(c), F.lit(0.0)), F.lit(3.0)), "crowd2": lambda c: F.least(F.coalesce(F.col(c), F.lit(0.0)), F.lit(3.0)),
-}
+#: The scores as they enter the model: of the names, the descriptions, and others.
+OF_NAMES = {"dice": F.col, "name": F.col, "link": lambda c: F.col(c) / 10, "linked": lambda c: (F.col("link") > 0).cast("double")}
+OF_TEXTS = {"back": F.col, "fore": F.col, "vec": F.col, "shared": lambda c: F.least(F.col(c) / 40, F.lit(2.0))}
+OTHERS = {c: lambda c: F.least(F.coalesce(F.col(c), F.lit(0.0)), F.lit(3.0)) for c in ("crowd1", "crowd2")}
+SCORES = OF_NAMES | OF_TEXTS | OTHERS
+#: A match needs both views: names times texts, and every such score squared.
+PRODUCTS = [(i, j) for i in range(4) for j in range(4, 8)] + [(i, i) for i in range(8)]
 STRATA = 16
 
 
 @dataclass
 class Calibration:
-    """A logistic curve over the scores and their products."""
+    """A logistic curve over the scores and products of them."""
 
+    products: list
     centre: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -417,21 +424,17 @@ class Calibration:
 
     def design(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.centre) / self.scale
-        return np.concatenate([z] + [z[:, i : i + 1] * z[:, i:] for i in range(z.shape[1])] + [np.ones((len(z), 1))], axis=1)
+        return np.concatenate([z, *[z[:, [i]] * z[:, [j]] for i, j in self.products], np.ones((len(z), 1))], axis=1)
 
     def confidence(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weights, -30, 30)))
 
     def column(self, scores: list[Column]) -> Column:
         z = [(c - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(scores, self.centre, self.scale)]
-        w, n = [float(v) for v in self.weights], len(z)
-        total, at = F.lit(w[-1]), n
-        for i in range(n):
-            inner = F.lit(w[i])
-            for j in range(i, n):
-                inner = inner + F.lit(w[at]) * z[j]
-                at += 1
-            total = total + z[i] * inner
+        terms = z + [z[i] * z[j] for i, j in self.products]
+        total = F.lit(float(self.weights[-1]))
+        for w, term in zip(self.weights, terms):
+            total = total + F.lit(float(w)) * term
         return 1 / (1 + F.exp(-total))
 
 
@@ -447,11 +450,11 @@ def _logistic(x: np.ndarray, t: np.ndarray, ridge: np.ndarray, rounds: int = 30)
     return beta
 
 
-def fit_calibration(x: np.ndarray, y: np.ndarray, start: np.ndarray, *, ridge: float = 1.0, rounds: int = 60) -> Calibration:
+def fit_calibration(x: np.ndarray, y: np.ndarray, start: np.ndarray, *, products: list | None = None, ridge: float = 1.0, rounds: int = 60) -> Calibration:
     """The curve from noisy labels (EM). ``y`` is 1 where language and licence
     agree, which a match fails with a rate ``missed`` and others meet with a
     rate ``chance``; both rates are fitted. ``start`` is a first guess."""
-    out = Calibration(x.mean(axis=0) if len(x) else np.zeros(x.shape[1]), (x.std(axis=0) if len(x) else np.zeros(x.shape[1])) + 1e-3, np.empty(0), 0.05, 0.08)
+    out = Calibration(PRODUCTS if products is None else products, x.mean(axis=0) if len(x) else np.zeros(x.shape[1]), (x.std(axis=0) if len(x) else np.zeros(x.shape[1])) + 1e-3, np.empty(0), 0.05, 0.08)
     z = out.design(x)
     penalty = np.full(z.shape[1], ridge)
     penalty[-1] = 1e-3
@@ -480,10 +483,13 @@ def calibrate(scored: DataFrame) -> Calibration:
     return fit_calibration(sample[[f"x_{c}" for c in SCORES]].to_numpy(float), sample["y"].to_numpy(float), sample["start"].to_numpy(float))
 
 
+def confidences(scored: DataFrame, model: Calibration) -> DataFrame:
+    return scored.select("a", "b", model.column([make(c) for c, make in SCORES.items()]).alias("confianca"))
+
+
 def match_entities(table: DataFrame, left: str = "github", right: str = "sourceforge", *, threshold: float = 0.5, vectors: np.ndarray | None = None) -> DataFrame:
     """Pairs (a, b, confianca) of records of the two sites at the threshold."""
     scored, members = scored_candidates(table, left, right, vectors=vectors)
-    model = calibrate(scored)
-    sure = scored.select("a", "b", model.column([make(c) for c, make in SCORES.items()]).alias("confianca")).where(F.col("confianca") >= threshold)
+    sure = confidences(scored, calibrate(scored)).where(F.col("confianca") >= threshold)
     rows = lambda side: members.select(F.col("rep").alias(side), F.col("id").alias(f"{side}_id"))
     return sure.join(rows("a").hint("merge"), "a").join(rows("b").hint("merge"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "confianca")
