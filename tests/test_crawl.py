@@ -109,3 +109,24 @@ def test_page_record_changes_nothing_twice(spark):
         assert sorted((r.id for r in frames[0].collect())) == [2, 3]
         assert sorted((r.url, r.status_http) for r in frames[1].collect()) == [("u0", 200), ("u1", 200), ("u9", 200)]
         assert sorted((r.chave, r.nome) for r in frames[2].collect()) == [("a", "old"), ("b", "first")]
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    from textquarry.streaming import crawl as live
+
+    def deliver(n, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / n))
+
+    queue = "id long, site string, url string"
+    deliver("fila", [(1, "s", "https://gh.example/a/b"), (2, "s", "https://gh.example/a/b#x"), (3, "s", "https://gh.example/c/d")], queue)
+    new = lambda: sorted(r.canonica for r in live.run_new_urls(live.stream_of(spark, str(tmp_path / "fila")), "d", folder=str(tmp_path / "d")).collect())
+    assert new() == ["https://gh.example/a/b", "https://gh.example/c/d"]
+    deliver("fila", [(4, "s", "https://gh.example/c/d"), (5, "s", "https://gh.example/e/f")], queue)
+    assert new() == ["https://gh.example/a/b", "https://gh.example/c/d", "https://gh.example/e/f"] == new()
+
+    visits = "url string, site string, status_http int, resultado string, coletado_em string"
+    deliver("v", [("a", "s", 200, "projeto", "2024-01-01T10:05:00Z"), ("b", "s", 200, "ok", "2024-01-01T10:50:00Z")], visits)
+    hours = lambda: sorted((r.hora.hour, r.paginas, r.projetos) for r in live.run_available(live.hourly_counts(live.stream_of(spark, str(tmp_path / "v"))), "h", folder=str(tmp_path / "h"), latest=("hora", "site")).collect())
+    assert hours() == [(10, 2, 1)]
+    deliver("v", [("c", "s", None, "projeto", "2024-01-01T10:59:00Z"), ("d", "s", 200, "ok", "2024-01-01T11:00:00Z")], visits)
+    assert hours() == [(10, 2, 2), (11, 1, 0)] == hours()

@@ -597,9 +597,9 @@ def _stream(spark, sf_dir, name):
 
 
 def stream_dedup(spark, sf_dir):
-    from textquarry.streaming.crawl import new_urls, run_available
+    from textquarry.streaming.crawl import run_new_urls
 
-    return run_available(new_urls(_stream(spark, sf_dir, "fila")).select("canonica", "site"), "dedup")
+    return run_new_urls(_stream(spark, sf_dir, "fila"), "dedup").select("canonica", "site")
 
 
 def stream_incident(spark, sf_dir):
@@ -611,7 +611,7 @@ def stream_incident(spark, sf_dir):
 def stream_hourly(spark, sf_dir):
     from textquarry.streaming.crawl import hourly_counts, run_available
 
-    counts = run_available(hourly_counts(_stream(spark, sf_dir, "visitadas")), "hourly", mode="complete")
+    counts = run_available(hourly_counts(_stream(spark, sf_dir, "visitadas")), "hourly", latest=("hora", "site"))
     return counts.withColumn("hora", F.date_format("hora", "yyyy-MM-dd HH:mm"))
 
 

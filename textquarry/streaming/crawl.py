@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textquarry.functions.urls import canonical_native
 from textquarry.operators.crawl import result_code
-from textquarry.session import ensure_checkpoint_dir
+from textquarry.session import ensure_checkpoint_dir, path_of
 
 _RUN_STATE = "tamanho long"
 _INCIDENT = "site string, url string, coletado_em string, tamanho long"
@@ -26,9 +25,9 @@ def stream_of(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataF
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def new_urls(queue: DataFrame) -> DataFrame:
-    """Queue rows whose canonical url was not queued before."""
-    return queue.withColumn("canonica", canonical_native(F.col("url"))).where("canonica is not null").dropDuplicates(["canonica"])
+def canonical_rows(queue: DataFrame) -> DataFrame:
+    """Queue rows with their canonical url, those without one left out."""
+    return queue.withColumn("canonica", canonical_native(F.col("url"))).where("canonica is not null")
 
 
 def hourly_counts(visits: DataFrame, late: str = "30 days") -> DataFrame:
@@ -59,19 +58,54 @@ def incidents(visits: DataFrame, threshold: int = 10) -> DataFrame:
     return coded.groupBy("site").applyInPandasWithState(step, _INCIDENT, _RUN_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there into a table in the checkpoint
-    folder and return it; started again it resumes from its checkpoint."""
-    spark = stream.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    folder = tempfile.mkdtemp(prefix=f"{name}-") if not base else f"{base.rstrip('/')}/streams/{name}-{os.urandom(6).hex()}"
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    else:
+def _folder(spark: SparkSession, name: str, folder: str | None) -> str:
+    return folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{os.urandom(6).hex()}"
 
-        def save(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{folder}/out")
 
-        query = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+def _written(spark: SparkSession, path: str) -> bool:
+    fs, at = path_of(spark, path)
+    return fs.exists(at)
+
+
+def run_available(stream: DataFrame, name: str, *, folder: str | None = None, latest: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream over all that is there into a table and return it. In the
+    same ``folder`` it goes on where it ended; without one it starts anew.
+
+    With ``latest`` the stream's rows are updates, of which the last of every
+    key counts: every batch writes its own, once, and a window is forgotten by
+    the watermark instead of being kept for ever."""
+    spark, base = stream.sparkSession, _folder(stream.sparkSession, name, folder)
+    if not latest:
+        query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.parquet(f"{base}/out")
+
+    def save(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/lote={n}")
+
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{base}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    if not _written(spark, f"{base}/out"):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.parquet(f"{base}/out")
+    values = [c for c in stream.columns if c not in latest]
+    return rows.groupBy(*latest).agg(*[F.max_by(c, "lote").alias(c) for c in values]).select(stream.columns)
+
+
+def run_new_urls(queue: DataFrame, name: str, *, folder: str | None = None) -> DataFrame:
+    """Queue rows whose canonical url was not queued before. The known urls are
+    the table written so far, not the state of the stream; a batch that is run
+    again writes the same rows again."""
+    spark, base = queue.sparkSession, _folder(queue.sparkSession, name, folder)
+    rows = canonical_rows(queue)
+
+    def save(batch: DataFrame, n: int) -> None:
+        session = batch.sparkSession
+        fresh = batch.dropDuplicates(["canonica"])
+        if _written(session, f"{base}/out"):
+            known = session.read.parquet(f"{base}/out")
+            if "lote" in known.columns:
+                fresh = fresh.join(known.where(F.col("lote") < n).select("canonica"), "canonica", "left_anti")
+        fresh.select(rows.columns).write.mode("overwrite").parquet(f"{base}/out/lote={n}")
+
+    rows.writeStream.foreachBatch(save).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(rows.columns) if _written(spark, f"{base}/out") else spark.createDataFrame([], rows.schema)
