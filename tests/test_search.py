@@ -122,6 +122,24 @@ def test_gaps_and_sums_by_bands(spark):
     assert {(r.term, r.unit_id): r.before for r in sums.collect()} == {(t, u): sum(1 for w, v in rows if w == t and v < u) for t, u in rows}
 
 
+def test_sweep(spark, tmp_path):
+    from textquarry.cli import SWEEP, sweep
+
+    projects(spark, SEVEN).write.parquet(str(tmp_path / "p.parquet"))
+    few = {n: SWEEP[n] for n in ("documento", "chunk_64", "sem_stemming")}
+    rows = {r.configuracao: r for r in sweep(spark.read.parquet(str(tmp_path / "p.parquet")), few).collect()}
+    assert rows.keys() == few.keys() and rows["documento"].unidades == 7 and rows["chunk_64"].unidades == 12  # two readmes of one letter have no term
+    assert rows["documento"].ocorrencias == rows["sem_stemming"].ocorrencias
+
+
+def test_marks_are_folded(spark):
+    from textquarry.functions.lexical import fold
+
+    words = {"Ação": "acao", "STRASSE": "strasse", "Straße": "strasse", "سَلَام": "سلام", "שָׁלוֹם": "שלום", "cafe\u0301": "cafe", "plain": "plain"}
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert {r.w: r.f for r in df.select("w", fold(F.col("w")).alias("f")).collect()} == words
+
+
 @pytest.mark.parametrize("bad", [{"granularity": "x"}, {"granularity": "chunk", "chunk": 10, "overlap": 10}, {"partitions": 0}, {"block": 0}])
 def test_bad_options(bad):
     with pytest.raises(ValueError):

@@ -5,12 +5,14 @@
     python -m textquarry.cli term   python --indice indice
     python -m textquarry.cli serve  --indice indice --port 8000
     python -m textquarry.cli report --tabelas pasta
+    python -m textquarry.cli sweep  --entrada projetos.parquet --saida tabela.csv
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import time
 
 from pyspark.sql import SparkSession, functions as F
 
@@ -43,6 +45,9 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--indice", required=True)
         one.add_argument("--k", type=int, default=10)
         one.add_argument("--port", type=int, default=8000)
+    sweep = sub.add_parser("sweep")
+    sweep.add_argument("--entrada", required=True, help="a Parquet table of projects")
+    sweep.add_argument("--saida", required=True, help="folder of the CSV")
     report = sub.add_parser("report")
     report.add_argument("--tabelas", required=True)
     return p
@@ -77,12 +82,43 @@ def report(spark: SparkSession, folder: str) -> list[str]:
     return lines
 
 
+#: Configurations of the sweep: granularity, chunks, positions, analysis, buckets.
+SWEEP = {
+    "documento": IndexConfig(granularity="documento"),
+    "campo": IndexConfig(),
+    **{f"chunk_{n}": IndexConfig(granularity="chunk", chunk=n) for n in (64, 128, 256, 512)},
+    **{f"chunk_{n}_sobrep_{n // 4}": IndexConfig(granularity="chunk", chunk=n, overlap=n // 4) for n in (128, 256)},
+    "documento_sem_posicoes": IndexConfig(granularity="documento", positions=False),
+    "campo_sem_posicoes": IndexConfig(positions=False),
+    "sem_stopwords": IndexConfig(analyzer=Analyzer(remove_stopwords=False)),
+    "sem_stemming": IndexConfig(analyzer=Analyzer(stemming=False)),
+    "sem_stopwords_sem_stemming": IndexConfig(analyzer=Analyzer(remove_stopwords=False, stemming=False)),
+    **{f"particoes_{n}": IndexConfig(partitions=n) for n in (1, 64, 256)},
+}
+
+
+def sweep(projects, configurations: dict[str, IndexConfig] = SWEEP):
+    """A row a configuration: units, vocabulary, postings, occurrences, raw
+    bytes, and the seconds of its build from the kept analysis."""
+    out = None
+    for name, config in configurations.items():
+        ix.kept_analysis(projects, config.analyzer)
+        began = time.time()
+        index = ix.kept_index(projects, config)
+        row = ix.collection_statistics(index).select(F.lit(name).alias("configuracao"), "unidades", "vocabulario", "postings", "ocorrencias", "bytes_sem_compressao", F.lit(round(time.time() - began, 2)).alias("segundos"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("textquarry").getOrCreate()
     if args.command == "report":
         print("\n".join(report(spark, args.tabelas)))
         return
+    if args.command == "sweep":
+        sweep(read_input(spark, args.entrada)).coalesce(1).write.mode("overwrite").csv(args.saida, header=True)
+        return
     config = config_of(args)
     if args.command == "index":
         built = ix.build(read_input(spark, args.entrada, args.limite), config)

@@ -85,10 +85,24 @@ def _fold_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+@lru_cache(maxsize=1)
+def _marks() -> str:
+    """A pattern of all combining marks of the Unicode data, as ranges."""
+    ranges: list[list[int]] = []
+    for code in (c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{x:X}}}-\x{{{y:X}}}" for x, y in ranges) + "]"
+
+
 def fold(token: Column) -> Column:
-    """Case folded and without accents."""
+    """Case folded and without accents or other combining marks."""
     source, target = _fold_table()
-    return F.regexp_replace(F.replace(F.translate(F.lower(token), source, target), F.lit("ß"), F.lit("ss")), r"[\x{0300}-\x{036F}\x{3099}\x{309A}]", "")
+    plain = F.lower(token)
+    folded = F.regexp_replace(F.replace(F.translate(plain, source, target), F.lit("ß"), F.lit("ss")), _marks(), "")
+    return F.when(F.octet_length(token) == F.length(token), plain).otherwise(folded)  # ASCII has none
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from textquarry.functions.cleaning import clean_text
@@ -10,6 +9,7 @@ from textquarry.functions.lexical import FIELDS, Analyzer
 from textquarry.functions.plan import once, sums_before
 from textquarry.functions.stemmer import stem_vocabulary
 from textquarry.functions.stopwords import STOPWORDS
+from textquarry.session import cut
 
 
 def stages(fields_: DataFrame, analyzer: Analyzer) -> DataFrame:
@@ -22,8 +22,7 @@ def stages(fields_: DataFrame, analyzer: Analyzer) -> DataFrame:
         F.struct(F.lit("tokens").alias("etapa"), analyzer.tokens(F.col("text")).alias("t")),
         F.struct(F.lit("normalizados").alias("etapa"), normal.alias("t")),
     )
-    # kept in memory or on disk: three branches read it
-    made = once(base, "doc_id", "site", stages=arrays).persist(StorageLevel.MEMORY_AND_DISK)
+    made = cut(once(base, "doc_id", "site", stages=arrays))  # three branches read it
     rows = made.select("doc_id", "site", F.inline("stages")).select("doc_id", "site", "etapa", F.explode("t").alias("token"))
     kept = rows.where((F.col("etapa") == "normalizados") & ~F.col("token").isin(*STOPWORDS)).withColumn("etapa", F.lit("sem_stopwords"))
     vocabulary = stem_vocabulary(kept)
@@ -80,10 +79,11 @@ def top_terms(lexicon: DataFrame, documents: int | None = None, k: int = 40) ->
     return lexicon.orderBy(F.desc("df"), "term").limit(k).select("term", "df", "cf")
 
 
-def heaps_curve(occurrences_: DataFrame, width: int = 256) -> DataFrame:
-    """(doc_id, tokens, vocabulario): running totals in document order. The
+def heaps_curve(counts: DataFrame, width: int = 256) -> DataFrame:
+    """(doc_id, term, n) to (doc_id, tokens, vocabulario): running totals in
+    document order. The
     counts are summed by ranges of documents first, then inside each range."""
-    counted = occurrences_.groupBy("doc_id", "term").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    counted = cut(counts)
     firsts = counted.groupBy("term").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("novos"))
     sizes = counted.groupBy("doc_id").agg(F.sum("n").alias("n"))
     per = sizes.join(firsts, "doc_id", "left").select("doc_id", "n", F.coalesce("novos", F.lit(0)).alias("novos"), F.floor(F.col("doc_id") / width).alias("faixa"))

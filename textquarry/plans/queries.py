@@ -312,8 +312,11 @@ def top_terms_df(spark, sf_dir):
 
 
 def _document_terms(spark, sf_dir):
+    """A row an occurrence would join the stems once each; a row a distinct
+    token of a document, with its count, is joined instead."""
     rows = units(ix.kept_analysis(_t(spark, sf_dir, "projetos"), PLAIN), IndexConfig(granularity="documento", analyzer=PLAIN))
-    return ix.with_stems(ix.occurrences(rows).select("doc_id", "token"))
+    counted = ix.occurrences(rows).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return ix.with_stems(counted).groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
 
 
 def heaps_curve(spark, sf_dir):
