@@ -61,15 +61,17 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def _sketcher(width: int, slots: int, blocks: int, seed: int):
     rng = np.random.default_rng(seed)
-    a = rng.integers(1, 2**63, slots, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**63, slots, dtype=np.uint64)
+    a = rng.integers(0, 2**31, slots, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.integers(0, 2**32, slots, dtype=np.uint32)
     per = slots // blocks
 
     def minima(sh: np.ndarray) -> np.ndarray:
         low = np.full(slots, np.iinfo(np.uint32).max, np.uint32)
-        for at in range(0, len(sh), 4096):  # bounded memory for very long texts
-            part = sh[at : at + 4096, None] * a[None, :] + b[None, :]
-            low = np.minimum(low, (part >> np.uint64(32)).min(axis=0).astype(np.uint32))
+        x = (_mix(sh) >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(x), 1024):  # bounded memory for very long texts, and in the cache
+            part = np.multiply.outer(a, x[at : at + 1024])
+            part += b[:, None]
+            np.minimum(low, part.min(axis=1), out=low)
         return low
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +109,7 @@ def _shared_blocks(reps: DataFrame, chunk: int) -> DataFrame:
     counts = rows.groupBy("campo", "block", "key").agg(F.count("*").alias("m")).where("m > 1")
     # distinct texts sharing a block; blocks with one text leave before the join
     live = rows.join(counts, ["campo", "block", "key"]).withColumn("c", F.ceil(F.col("m") / chunk).cast("int"))
-    live = live.withColumn("i", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
+    live = cut(live.select("campo", "block", "key", "id", "c", F.pmod(F.xxhash64("id"), F.col("c")).cast("int").alias("i")))
     left = live.select("campo", "block", "key", F.col("id").alias("a"), "i", F.explode(F.sequence(F.col("i"), F.col("c") - 1)).alias("j"))
     right = live.select("campo", "block", "key", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"), F.col("i").alias("j"))
     pairs = left.join(right, ["campo", "block", "key", "i", "j"]).where("i < j or a < b")
