@@ -55,4 +55,19 @@ def test_page_store(spark, tmp_path):
     rows = spark.createDataFrame([("github", f"https://h/{i}", f"<p>{i}</p>") for i in range(20)], "site string, url string, html string")
     pages.append_pages(rows, str(tmp_path / "p"), block=6)
     assert pages.read_page(spark, str(tmp_path / "p"), "https://h/7", "github").first().html == "<p>7</p>"
-    assert pages.file_digests(spark, str(tmp_path / "p")).where("length(sha256) = 64").count() >= 4
+    import hashlib
+    from pathlib import Path
+
+    want = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in Path(tmp_path / "p").rglob("*.parquet")}
+    assert want.items() <= {r.arquivo: r.sha256 for r in pages.file_digests(spark, str(tmp_path / "p")).collect()}.items()
+    visits = spark.createDataFrame([("github", "https://h/3", "b1", 40), ("github", "https://h/3", "b1", 40), ("github", "https://h/4", "b1", 80)], "site string, url string, bloco string, posicao long")
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    assert [r.html for r in pages.read_stored(stored, visits, "github", "b1", 40).collect()] == ["<p>3</p>"]
+    assert pages.read_stored(stored, visits, "github", "b2", 40).count() == 0
+
+
+def test_csv_sink(spark, tmp_path):
+    df = spark.createDataFrame([("a, b", 1), ('say "x"', None), ("ção", 3)], "t string, n int")
+    pages.csv_sink(df, str(tmp_path / "c"))
+    back = spark.read.option("header", "true").option("escape", '"').schema("t string, n int").csv(str(tmp_path / "c"))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
