@@ -17,7 +17,10 @@ document frequency, those of a description also by how early they stand.
    too few tables. In each table a record therefore takes a short walk
    (``WALKS``): two name tokens and one of the description, or one link or rare
    word and one of the description, drawn by weight and, being seeded by table
-   and token only, alike for records that share tokens. The signs of the walk's
+   and token only, alike for records that share tokens. A walk whose tokens
+   together are not rare enough (the sum of their weights is below the logarithm
+   of the number of records) goes on to further words, so that a name or text of
+   a third of all records fills no block. The signs of the walk's
    summed vectors against the table's hyperplanes, ``hyperplanes(n)`` of them,
    are the key; records of the two sites with an equal key are candidates.
 3. Candidates with a like name or a link are ranked again exactly: letter pairs
@@ -224,11 +227,13 @@ def hyperplanes(n: int) -> int:
 WALKS = {"nnd": 56, "ld": 32}
 CROWD = {"ddd": 8}
 SLICE = 512
+MORE = 4
 
 
-def _hasher(vectors: np.ndarray, bits: int, seed: int):
+def _hasher(vectors: np.ndarray, bits: int, seed: int, least: float):
     kinds = [k for kinds in (WALKS, CROWD) for k, n in kinds.items() for _ in range(n)]
     planes = np.random.default_rng(seed + 1).standard_normal((len(kinds), vectors.shape[1], bits)).astype(np.float32)
+    walks_ = np.arange(len(kinds)) < sum(WALKS.values())
     # for every sort of token: the seeds of its draws by table, the tables, where each one's draws begin
     draws = {}
     for c in "ndl":
@@ -242,13 +247,33 @@ def _hasher(vectors: np.ndarray, bits: int, seed: int):
                 pdf = batch.iloc[at : at + SLICE]
                 total = np.zeros((len(kinds), len(pdf), vectors.shape[1]), np.float32)
                 known = np.ones((len(kinds), len(pdf)), bool)
-                for c, (seeds, tables, first) in draws.items():
-                    for r, (tokens, weights) in enumerate(zip(pdf[c + "t"], pdf[c + "w"])):
-                        if len(tokens):
-                            step = np.asarray(tokens, np.int64)[_draw(np.asarray(tokens, np.int64), np.asarray(weights, float), seeds)]
-                            total[tables, r] += np.add.reduceat(vectors[step % VOCABULARY], first)
-                        else:  # no token of this sort is known on the other site
+                for r, row in enumerate(zip(*[pdf[c + x] for c in "ndl" for x in ("t", "w", "v")])):
+                    told, seen = np.zeros(len(kinds)), []
+                    for (c, (seeds, tables, first)), tokens, weights, idf in zip(draws.items(), row[::3], row[1::3], row[2::3]):
+                        if not len(tokens):  # no token of this sort is known on the other site
                             known[tables, r] = False
+                            continue
+                        tokens, idf = np.asarray(tokens, np.int64), np.asarray(idf, float)
+                        at_ = _draw(tokens, np.asarray(weights, float), seeds)
+                        total[tables, r] += np.add.reduceat(vectors[tokens[at_] % VOCABULARY], first)
+                        told[tables] += np.add.reduceat(idf[at_], first)
+                        if c == "d":
+                            last = np.full(len(kinds), -1)
+                            last[tables] = at_[first]
+                            seen.append(last)
+                    # a walk that many records take goes on in the description
+                    tokens, weights, idf = (np.asarray(v) for v in row[3:6])
+                    for step in range(MORE):
+                        short = np.flatnonzero((told < least) & known[:, r] & walks_)
+                        if not len(short):
+                            break
+                        at_ = _draw(tokens.astype(np.int64), weights.astype(float), short * 8 + 4 + step)
+                        fresh = np.all([s_[short] != at_ for s_ in seen], axis=0)
+                        total[short, r] += vectors[tokens[at_] % VOCABULARY]
+                        told[short] += np.where(fresh, idf[at_], 0.0)
+                        now = np.full(len(kinds), -1)
+                        now[short] = at_
+                        seen.append(now)
                 signs = np.zeros((len(kinds), len(pdf), 64), bool)
                 signs[:, :, :bits] = np.matmul(total, planes) > 0
                 keys = np.packbits(signs, axis=2, bitorder="little").view(np.int64)[:, :, 0]
@@ -362,7 +387,8 @@ def candidates(reps: DataFrame, left: str, right: str, *, seed: int = SEED, vect
     )
     profile = cut(profile.withColumn("sample", _sampler(6)(F.concat("nt", "dt", "lt"), F.concat("nw", "dw", "lw"))))
     vectors = token_vectors(walks(profile), seed=seed) if vectors is None else vectors
-    keys = profile.select("id", "is_a", "nt", "nw", "dt", "dw", "lt", "lw").mapInPandas(_hasher(vectors, hyperplanes(profile.count()), seed), "id long, is_a boolean, tb int, key long")
+    n = profile.count()
+    keys = profile.select("id", "is_a", *[c + x for c in "ndl" for x in ("t", "w", "v")]).mapInPandas(_hasher(vectors, hyperplanes(n), seed, math.log(max(n, 2))), "id long, is_a boolean, tb int, key long")
     keys = cut(keys)
     walked = sum(WALKS.values())
     ways = keys.where(F.col("tb") >= walked)
