@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textquarry.llm import distinctive_terms as dt, entity_match as em, mixing, near_duplicates as nd, packing, residue, term_frequency as tf, truncation
 from textquarry.llm.queries import COMMON, queries
 from textquarry.llm.text import letter_terms, list_values
+from textquarry.session import ensure_checkpoint_dir
 
 WORDS = ["".join("abcdefghij"[int(d)] for d in f"{i:03d}") + "word" for i in range(400)]
 
@@ -60,6 +61,32 @@ def test_near_duplicate_pairs(spark, chunk):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, 0.6, 3, 25)
 
 
+def test_near_duplicates_keep_little_on_disk(spark, monkeypatch):
+    """What lies on disk between the steps, tables and shuffle files, is less
+    than fingerprints of whole slots and kept shingle sets would take."""
+    rng = np.random.default_rng(5)
+    rows = [("r", i, sentence(rng, 300), 0, "") for i in range(1000)]
+    rows += [("r", 2000 + i, t.replace("word", "words", 1), 0, "") for _, i, t, *_ in rows[:100]]
+
+    def held():
+        local = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+        dirs = [ensure_checkpoint_dir(spark).removeprefix("file:"), *[d.getPath() for d in local]]
+        files = [os.path.join(at, f) for d in dirs for at, _, names in os.walk(d) for f in names]
+        return sum(os.path.getsize(f) for f in files if "cut-" in f or os.path.basename(f).startswith("shuffle_"))
+
+    real, most, before = nd.cut, [], held()
+
+    def watched(df, **how):
+        out = real(df, **how)
+        most.append(held() - before)
+        return out
+
+    monkeypatch.setattr(nd, "cut", watched)
+    pairs = {tuple(r) for r in nd.near_duplicate_pairs(texts(spark, rows), threshold=0.6).collect()}
+    assert pairs == {("r", i, 2000 + i) for i in range(100)}
+    assert max(most) < 900 * len(rows)
+
+
 def test_near_duplicate_classes(spark):
     rows = near_rows()
     got = {(r.campo, r.id): (r.class_id, r.n_links) for r in nd.near_duplicate_classes(texts(spark, rows), threshold=0.8).collect()}

@@ -10,9 +10,17 @@ farther ones share one with the probability ``1-(1-J**r)**BLOCKS`` with
 on equal blocks, pairs beyond the Hamming limit are dropped and the rest is
 verified by the exact Jaccard similarity of the shingle sets.
 
-Exact copies (equal shingle sets) become one class before blocking, so that a
-class holding a third of all rows costs one fingerprint. Blocks shared by many
-classes are cut into chunks, and every pair of chunks is its own join key.
+Disk: of the fingerprint the low byte of every slot is kept, besides the blocks
+made from the whole slots. Slots that differ agree in that byte once in 256
+times, so that no pair more is dropped. Blocks are shuffled a few at a time.
+Shingle sets, larger than the texts that they come from, are not kept but made
+again from the two texts of a pair that is left. Tables and shuffle files go as
+soon as the next table stands.
+
+Exact copies (equal shingle sets) are one class, named by the hash ``h`` of the
+set, so that a class holding a third of all rows costs about one fingerprint a
+partition. Blocks shared by many classes are cut into chunks, and every pair of
+chunks is its own join key.
 
 Defined results: a null text, or one with fewer than ``min_tokens`` tokens,
 takes part in no pair; of these the latter have a class by equality. Empty tables give empty results. Repeated ids of one
@@ -22,6 +30,7 @@ field collapse to one. Columns other than those named are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,14 +38,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from textquarry.functions.plan import once
 from textquarry.llm.text import wide_enough, words
-from textquarry.session import cut
+from textquarry.session import cut, drop_cut
 
 SLOTS = 192
 BLOCKS = 48
 CHUNK = 2000
 SEED = 20240607
+#: Blocks shuffled at a time, and classes that a partition remembers.
+BLOCKS_AT_A_TIME = 12
+SEEN = 100_000
 
-_SKETCH = "campo string, id long, n int, h long, shingles array<long>, fp array<int>, blocks array<long>"
+_SKETCH = "campo string, id long, h long, fp binary, blocks array<long>"
+_JACCARD = "campo string, a long, b long, jaccard double"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,6 +72,11 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(acc)
 
 
+def set_hash(sh: np.ndarray) -> int:
+    """One number for a set of shingles."""
+    return int((_mix(sh).sum(dtype=np.uint64) ^ np.uint64(len(sh))).view(np.int64))
+
+
 def _sketcher(width: int, slots: int, blocks: int, seed: int):
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 2**31, slots, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -75,6 +93,7 @@ def _sketcher(width: int, slots: int, blocks: int, seed: int):
         return low
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set = set()
         with np.errstate(over="ignore"):
             for pdf in batches:
                 rows = []
@@ -82,76 +101,123 @@ def _sketcher(width: int, slots: int, blocks: int, seed: int):
                     sh = shingle_set(np.asarray(toks, dtype=np.int64), width)
                     if not len(sh):
                         continue
+                    h = set_hash(sh)
+                    if (campo, h) in seen:  # a copy: its class has its fingerprint
+                        rows.append((campo, id_, h, None, None))
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add((campo, h))
                     fp = minima(sh)
                     acc = np.arange(blocks, dtype=np.uint64)
                     for k in range(per):
                         acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + fp[k::per][:blocks].astype(np.uint64))
-                    whole = _mix(sh).sum(dtype=np.uint64) ^ np.uint64(len(sh))
-                    rows.append((campo, id_, len(toks), whole.view(np.int64), sh.view(np.int64), fp.view(np.int32), acc.view(np.int64)))
-                yield pd.DataFrame(rows, columns=["campo", "id", "n", "h", "shingles", "fp", "blocks"])
+                    rows.append((campo, id_, h, fp.astype(np.uint8).tobytes(), acc.view(np.int64)))
+                yield pd.DataFrame(rows, columns=["campo", "id", "h", "fp", "blocks"])
 
     return run
 
 
 def sketches(texts: DataFrame, *, width: int = 3, min_tokens: int = 25, slots: int = SLOTS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """(campo, id, text) to one fingerprint a row, cut from its lineage."""
+    """(campo, id, text) to a row each (campo, id, h, fp, blocks), cut from its
+    lineage; copies met before in a partition have no fp and blocks."""
     toks = (
         once(wide_enough(texts.select("campo", "id", "text").where(F.col("text").isNotNull())), "campo", "id", w=words(F.col("text")))
         .where(F.size("w") >= min_tokens)
         .select("campo", "id", F.transform("w", lambda t: F.xxhash64(t)).alias("toks"))
     )
-    return cut(toks.mapInPandas(_sketcher(width, slots, blocks, seed), _SKETCH))
+    return cut(toks.mapInPandas(_sketcher(width, slots, blocks, seed), _SKETCH), free=True)
+
+
+def _shared_blocks(sketch: DataFrame, blocks: int = BLOCKS) -> list[DataFrame]:
+    """Cut tables (key, campo, h, m) of the classes with a block in common with
+    another one; every table has some of the blocks."""
+    of = lambda f: F.expr(f"{f} over (partition by key, campo)")
+    live = []
+    for at in range(0, blocks, BLOCKS_AT_A_TIME):
+        rows = sketch.where("blocks is not null").select("campo", "h", F.explode(F.slice("blocks", at + 1, BLOCKS_AT_A_TIME)).alias("key"))
+        counted = rows.select("key", "campo", "h", of("count(*)").alias("m"), of("min(h)").alias("low"), of("max(h)").alias("high"))
+        live.append(cut(counted.where("low < high").select("key", "campo", "h", "m").distinct(), free=True))
+    return live
+
+
+def _sharing(live: DataFrame, chunk: int) -> DataFrame:
+    """Pairs (campo, ha, hb) of classes that share a block."""
+    live = live.withColumn("c", F.ceil(F.col("m") / chunk).cast("int"))
+    live = live.select("campo", "key", "h", "c", F.pmod(F.xxhash64("h"), F.col("c")).cast("int").alias("i"))
+    left = live.select("campo", "key", F.col("h").alias("a"), "i", F.explode(F.sequence(F.col("i"), F.col("c") - 1)).alias("j"))
+    right = live.select("campo", "key", F.col("h").alias("b"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"), F.col("i").alias("j"))
+    pairs = left.join(right, ["campo", "key", "i", "j"]).where("i < j or a < b")
+    return pairs.select("campo", F.least("a", "b").alias("ha"), F.greatest("a", "b").alias("hb")).distinct()
 
 
-def _shared_blocks(reps: DataFrame, chunk: int) -> DataFrame:
-    """Pairs (campo, a, b) of class ids that share a block."""
-    rows = reps.select("campo", "id", F.posexplode("blocks").alias("block", "key"))
-    counts = rows.groupBy("campo", "block", "key").agg(F.count("*").alias("m")).where("m > 1")
-    # distinct texts sharing a block; blocks with one text leave before the join
-    live = rows.join(counts, ["campo", "block", "key"]).withColumn("c", F.ceil(F.col("m") / chunk).cast("int"))
-    live = cut(live.select("campo", "block", "key", "id", "c", F.pmod(F.xxhash64("id"), F.col("c")).cast("int").alias("i")))
-    left = live.select("campo", "block", "key", F.col("id").alias("a"), "i", F.explode(F.sequence(F.col("i"), F.col("c") - 1)).alias("j"))
-    right = live.select("campo", "block", "key", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"), F.col("i").alias("j"))
-    pairs = left.join(right, ["campo", "block", "key", "i", "j"]).where("i < j or a < b")
-    return pairs.select("campo", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _differing(fa: pd.Series, fb: pd.Series) -> pd.Series:
+    """Slots in which two fingerprints differ."""
+    side = lambda f: np.frombuffer(b"".join(f), np.uint8).reshape(len(f), -1)
+    return pd.Series((side(fa) != side(fb)).sum(axis=1) if len(fa) else [], dtype="int32")
 
 
-def similar_classes(sketch: DataFrame, *, threshold: float, hamming_share: float = 0.55, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def _verifier(width: int, threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for campo, a, b, ha, hb, ta, tb in zip(*[pdf[c] for c in ("campo", "a", "b", "ha", "hb", "ta", "tb")]):
+                sa, sb = (shingle_set(np.asarray(t, dtype=np.int64), width) for t in (ta, tb))
+                if set_hash(sa) != ha or set_hash(sb) != hb:  # another text of a repeated id
+                    continue
+                both = len(np.intersect1d(sa, sb, assume_unique=True))
+                if (jaccard := both / (len(sa) + len(sb) - both)) >= threshold:
+                    rows.append((campo, min(a, b), max(a, b), jaccard))
+            yield pd.DataFrame(rows, columns=["campo", "a", "b", "jaccard"])
+
+    return run
+
+
+def similar_classes(texts: DataFrame, *, threshold: float, width: int, min_tokens: int, hamming_share: float = 0.55, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets and the similar pairs of classes.
 
     Returns members (campo, id, rep) and pairs (campo, a, b, jaccard) with
-    ``a < b`` representatives. ``hamming_share`` is the largest share of slots
-    that may differ; at 0.55 a pair of Jaccard 0.6 is lost with a probability
-    under 1e-4.
+    ``a < b`` representatives, both cut. ``hamming_share`` is the largest share
+    of slots that may differ; at 0.55 a pair of Jaccard 0.6 is lost with a
+    probability under 1e-4.
     """
+    sketch = sketches(texts, width=width, min_tokens=min_tokens)
     one = sketch.groupBy("campo", "h").agg(F.min("id").alias("rep"))
-    members = sketch.select("campo", "h", "id").distinct().join(one, ["campo", "h"]).select("campo", "id", "rep")
-    reps = sketch.join(one.select("campo", F.col("rep").alias("id")), ["campo", "id"], "left_semi").dropDuplicates(["campo", "id"])
-    candidates = _shared_blocks(reps, chunk)
-    limit = F.size("fa") * hamming_share
-    # fingerprints first, the far larger shingle sets only for what is left
-    side = lambda end, **cols: reps.select("campo", F.col("id").alias(end), *[F.col(c).alias(n) for n, c in cols.items()])
-    near = (
-        candidates.hint("merge").join(side("a", fa="fp"), ["campo", "a"])
-        .hint("merge").join(side("b", fb="fp"), ["campo", "b"])
-        .where(F.size(F.filter(F.zip_with("fa", "fb", lambda x, y: x != y), lambda d: d)) <= limit)
-        .select("campo", "a", "b")
-    )
-    close = (
-        cut(near).hint("merge").join(side("a", sa="shingles"), ["campo", "a"])
-        .hint("merge").join(side("b", sb="shingles"), ["campo", "b"])
-        .withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        .select("campo", "a", "b", (F.col("both") / (F.size("sa") + F.size("sb") - F.col("both"))).alias("jaccard"))
-        .where(F.col("jaccard") >= threshold)
+    members = cut(sketch.select("campo", "h", "id").distinct().join(one, ["campo", "h"]).select("campo", "id", "rep"), free=True)
+    live = _shared_blocks(sketch)
+    fps = sketch.where("fp is not null").select("campo", "h", "fp").dropDuplicates(["campo", "h"])
+    differing = F.pandas_udf(_differing, "int")
+    # fingerprints first, the far larger texts only for what is left
+    side = lambda df, value, at, name: df.select("campo", F.col("h").alias(at), F.col(value).alias(name))
+    near = cut(
+        _sharing(reduce(DataFrame.unionByName, live), chunk)
+        .hint("merge").join(side(fps, "fp", "ha", "fa"), ["campo", "ha"])
+        .hint("merge").join(side(fps, "fp", "hb", "fb"), ["campo", "hb"])
+        .where(differing("fa", "fb") <= F.length("fa") * hamming_share)
+        .select("campo", "ha", "hb")
+        .hint("merge").join(side(one, "rep", "ha", "a"), ["campo", "ha"])
+        .hint("merge").join(side(one, "rep", "hb", "b"), ["campo", "hb"])
+        .where("a != b"),
+        free=True,
     )
+    for table in (sketch, *live):
+        drop_cut(table)
+    whole = texts.select("campo", F.col("id").cast("long").alias("id"), "text").where(F.col("text").isNotNull())
+    ends = near.select("campo", F.explode(F.array("a", "b")).alias("id"))
+    whole = whole.hint("merge").join(ends, ["campo", "id"], "left_semi").distinct()
+    text = lambda end: whole.select("campo", F.col("id").alias(end), F.col("text").alias(f"t{end}"))
+    both = near.hint("merge").join(text("a"), ["campo", "a"]).hint("merge").join(text("b"), ["campo", "b"])
+    keys = ("campo", "a", "b", "ha", "hb")
+    found = once(both, *keys, ta=words(F.col("ta")), tb=words(F.col("tb"))).select(*keys, *[F.transform(t, lambda w: F.xxhash64(w)).alias(t) for t in ("ta", "tb")])
+    close = cut(found.mapInPandas(_verifier(width, threshold), _JACCARD).groupBy("campo", "a", "b").agg(F.max("jaccard").alias("jaccard")), free=True)
+    drop_cut(near)
     return members, close
 
 
 def near_duplicate_pairs(texts: DataFrame, *, threshold: float, width: int = 3, min_tokens: int = 25, chunk: int = CHUNK) -> DataFrame:
     """All pairs of rows (campo, id_a, id_b), id_a < id_b, at the threshold.
     Classes of many rows are cut into chunks, every pair of chunks a key."""
-    sketch = sketches(texts, width=width, min_tokens=min_tokens)
-    members, close = similar_classes(sketch, threshold=threshold, chunk=chunk)
+    members, close = similar_classes(texts, threshold=threshold, width=width, min_tokens=min_tokens, chunk=chunk)
     sizes = members.groupBy("campo", "rep").agg(F.ceil(F.count("*") / chunk).cast("int").alias("c"), F.count("*").alias("m"))
     linked = close.select("campo", "a", "b").unionByName(sizes.where("m > 1").select("campo", F.col("rep").alias("a"), F.col("rep").alias("b")))
     parted = members.join(sizes.hint("merge"), ["campo", "rep"]).select("campo", "rep", "id", F.pmod(F.xxhash64("id"), "c").cast("int").alias("g"))
@@ -192,9 +258,7 @@ def near_duplicate_classes(texts: DataFrame, *, threshold: float = 0.8, width: i
     near copy form a class of their own, shorter ones a class with those of the
     same tokens; nulls are left out."""
     least = max(min_tokens, width)
-    sketch = sketches(texts, width=width, min_tokens=least)
-    members, close = similar_classes(sketch, threshold=threshold)
-    close = cut(close)
+    members, close = similar_classes(texts, threshold=threshold, width=width, min_tokens=least)
     degree = close.select("campo", F.explode(F.array("a", "b")).alias("rep")).groupBy("campo", "rep").agg(F.count("*").alias("n_links"))
     found = components(close)
     short = once(texts.select("campo", "id", "text").where(F.col("text").isNotNull()), "campo", "id", w=words(F.col("text"))).where(F.size("w") < least)

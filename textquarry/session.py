@@ -43,16 +43,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return target
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Shuffle files go at the end of a query, not when the driver collects its garbage.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Cut the lineage with a table written to the checkpoint folder.
 
     It survives lost executors, and unlike a checkpointed frame, which keeps
     the size estimate of its source, it is planned by its own size, so that no
     side is broadcast that grew beyond the threshold. Files go with the
-    session's JVM, or before by ``drop_cut``."""
+    session's JVM, or before by ``drop_cut``. With ``free`` the shuffle files
+    of the write are gone when it ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE, None)
+    try:
+        if free:
+            spark.conf.set(FREE, "true")
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
     fs, at = path_of(spark, path)
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
