@@ -3,6 +3,7 @@
 import itertools
 import os
 import re
+import threading
 from collections import Counter
 
 import numpy as np
@@ -87,6 +88,40 @@ def test_near_duplicates_keep_little_on_disk(spark, monkeypatch):
     assert max(most) < 900 * len(rows)
 
 
+def test_texts_with_a_phrase_in_common_make_no_table_of_pairs(spark):
+    """Texts that share blocks but lie beyond the Hamming limit: their pairs,
+    some 100 000 here, are at no time rows of a shuffle."""
+    rng = np.random.default_rng(7)
+    phrase = sentence(rng, 36)
+    rows = [("r", i, f"{phrase} {sentence(rng, 36)}", 0, "") for i in range(700)]
+    local = [d.getPath() for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+
+    def held():
+        total = 0
+        for f in (os.path.join(at, f) for d in local for at, _, names in os.walk(d) for f in names if f.startswith("shuffle_")):
+            try:
+                total += os.path.getsize(f)
+            except OSError:  # gone meanwhile
+                pass
+        return total
+
+    before, most, over = held(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            most[0] = max(most[0], held() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        pairs = {tuple(r) for r in nd.near_duplicate_pairs(texts(spark, rows), threshold=0.6).collect()}
+    finally:
+        over.set()
+        watcher.join()
+    assert pairs == brute_pairs(rows, 0.6, 3, 25)
+    assert most[0] < 1_500_000
+
+
 def test_near_duplicate_classes(spark):
     rows = near_rows()
     got = {(r.campo, r.id): (r.class_id, r.n_links) for r in nd.near_duplicate_classes(texts(spark, rows), threshold=0.8).collect()}

@@ -13,6 +13,8 @@ verified by the exact Jaccard similarity of the shingle sets.
 Disk: of the fingerprint the low byte of every slot is kept, besides the blocks
 made from the whole slots. Slots that differ agree in that byte once in 256
 times, so that no pair more is dropped. Blocks are shuffled a few at a time.
+The members of a block are compared where they meet, with their fingerprints:
+the pairs of a block, most of them texts with a phrase in common, are no table.
 Shingle sets, larger than the texts that they come from, are not kept but made
 again from the two texts of a pair that is left. Tables and shuffle files go as
 soon as the next table stands.
@@ -20,7 +22,7 @@ soon as the next table stands.
 Exact copies (equal shingle sets) are one class, named by the hash ``h`` of the
 set, so that a class holding a third of all rows costs about one fingerprint a
 partition. Blocks shared by many classes are cut into chunks, and every pair of
-chunks is its own join key.
+chunks is a group of its own.
 
 Defined results: a null text, or one with fewer than ``min_tokens`` tokens,
 takes part in no pair; of these the latter have a class by equality. Empty tables give empty results. Repeated ids of one
@@ -34,6 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textquarry.functions.plan import once
@@ -47,6 +50,8 @@ SEED = 20240607
 #: Blocks shuffled at a time, and classes that a partition remembers.
 BLOCKS_AT_A_TIME = 12
 SEEN = 100_000
+#: Fingerprints a text that are shuffled at a time for the Hamming limit.
+FINGERPRINTS = 2
 
 _SKETCH = "campo string, id long, h long, fp binary, blocks array<long>"
 _JACCARD = "campo string, a long, b long, jaccard double"
@@ -141,20 +146,78 @@ def _shared_blocks(sketch: DataFrame, blocks: int = BLOCKS) -> list[DataFrame]:
     return live
 
 
-def _sharing(live: DataFrame, chunk: int) -> DataFrame:
-    """Pairs (campo, ha, hb) of classes that share a block."""
-    live = live.withColumn("c", F.ceil(F.col("m") / chunk).cast("int"))
-    live = live.select("campo", "key", "h", "c", F.pmod(F.xxhash64("h"), F.col("c")).cast("int").alias("i"))
-    left = live.select("campo", "key", F.col("h").alias("a"), "i", F.explode(F.sequence(F.col("i"), F.col("c") - 1)).alias("j"))
-    right = live.select("campo", "key", F.col("h").alias("b"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"), F.col("i").alias("j"))
-    pairs = left.join(right, ["campo", "key", "i", "j"]).where("i < j or a < b")
-    return pairs.select("campo", F.least("a", "b").alias("ha"), F.greatest("a", "b").alias("hb")).distinct()
+def _neighbours(limit: float):
+    """Rows (campo, key, lo, hi, right, h, fp), sorted, to the pairs of a group
+    (campo, key, lo, hi) that differ in at most ``limit`` slots: all of it where
+    ``lo = hi``, else those of its two sides. One group is held at a time."""
+    ones = np.uint64(0x0101010101010101)
+
+    def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        other = np.not_equal(x, y).view(np.uint8)
+        if (pad := -other.shape[1] % 8) or other.shape[1] >= 256:
+            return other.sum(axis=1, dtype=np.int64) if other.shape[1] >= 256 else differing(np.pad(x, [(0, 0)] * (x.ndim - 1) + [(0, pad)]), np.pad(y, ((0, 0), (0, pad))))
+        return ((other.view(np.uint64).sum(axis=1, dtype=np.uint64) * ones) >> np.uint64(56)).astype(np.int64)
+
+    def pairs(rows: list[np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, _, lo, hi, right, _, fp = rows
+        ends, left = starts[1:], [np.empty(0, np.int64)]
+        other, starts = [np.empty(0, np.int64)], starts[:-1]
+        two = starts[ends - starts == 2]
+        two = two[(lo[two] == hi[two]) | (right[two] != right[two + 1])]
+        two = two[differing(fp[two], fp[two + 1]) <= limit]
+        left.append(two)
+        other.append(two + 1)
+        for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
+            cut_at = 0 if lo[s] == hi[s] else s + int((~right[s:e]).sum())
+            for i in range(s, cut_at or e - 1):
+                at = cut_at or i + 1
+                if len(hit := at + np.flatnonzero(differing(fp[i], fp[at:e]) <= limit)):
+                    left.append(np.full(len(hit), i))
+                    other.append(hit)
+        return np.concatenate(left), np.concatenate(other)
+
+    def out(rows: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
+        a, b = pairs(rows, starts)
+        ha, hb = rows[5][a], rows[5][b]
+        return pa.RecordBatch.from_arrays([pa.array(rows[0][a], pa.string()), pa.array(np.minimum(ha, hb)), pa.array(np.maximum(ha, hb))], names=["campo", "ha", "hb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            *plain, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            rows = [*plain, np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1)]
+            if rest is not None:
+                rows = [np.concatenate(x) for x in zip(rest, rows)]
+            new = np.logical_or.reduce([c[1:] != c[:-1] for c in rows[:4]])
+            starts = np.concatenate([[0], 1 + np.flatnonzero(new)]).astype(np.int64)
+            if len(starts) > 1:
+                yield out(rows, starts)
+            rest = [c[starts[-1] :].copy() for c in rows]
+        if rest is not None:
+            yield out(rest, np.array([0, len(rest[0])], np.int64))
 
+    return run
 
-def _differing(fa: pd.Series, fb: pd.Series) -> pd.Series:
-    """Slots in which two fingerprints differ."""
-    side = lambda f: np.frombuffer(b"".join(f), np.uint8).reshape(len(f), -1)
-    return pd.Series((side(fa) != side(fb)).sum(axis=1) if len(fa) else [], dtype="int32")
+
+def _near(live: DataFrame, fps: DataFrame, chunk: int, limit: float, most: int) -> list[DataFrame]:
+    """Cut tables of the pairs (campo, ha, hb) of classes that share a block and
+    differ in at most ``limit`` slots. Pairs that only share a block, which grow
+    with the square of the texts that hold a common phrase, are never rows.
+    The blocks are taken in as many passes as keep the fingerprints in one
+    at ``most``."""
+    live = live.withColumn("c", F.ceil(F.col("m") / chunk).cast("int"))
+    passes = max(1, -(-(live.agg(F.sum("c")).first()[0] or 0) // max(most, 1)))
+    part = live.withColumn("i", F.pmod(F.xxhash64("h"), "c").cast("int"))
+    ends = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi"), (j < F.col("i")).alias("right")))
+    group, found = ("campo", "key", "lo", "hi"), []
+    for k in range(passes):
+        keys = part.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k)
+        rows = keys.hint("merge").join(fps, ["campo", "h"]).select("campo", "key", "h", "fp", F.inline(ends))
+        rows = rows.repartition(*group).sortWithinPartitions(*group, "right").select(*group, "right", "h", "fp")
+        found.append(cut(rows.mapInArrow(_neighbours(limit), "campo string, ha long, hb long"), free=True))
+    return found
 
 
 def _verifier(width: int, threshold: float):
@@ -186,21 +249,21 @@ def similar_classes(texts: DataFrame, *, threshold: float, width: int, min_token
     members = cut(sketch.select("campo", "h", "id").distinct().join(one, ["campo", "h"]).select("campo", "id", "rep"), free=True)
     live = _shared_blocks(sketch)
     fps = sketch.where("fp is not null").select("campo", "h", "fp").dropDuplicates(["campo", "h"])
-    differing = F.pandas_udf(_differing, "int")
+    most = FINGERPRINTS * sketch.count()
+    found = []
+    for table in live:
+        found += _near(table, fps, chunk, SLOTS * hamming_share, most)
+        drop_cut(table)
     # fingerprints first, the far larger texts only for what is left
-    side = lambda df, value, at, name: df.select("campo", F.col("h").alias(at), F.col(value).alias(name))
+    rep = lambda at, name: one.select("campo", F.col("h").alias(at), F.col("rep").alias(name))
     near = cut(
-        _sharing(reduce(DataFrame.unionByName, live), chunk)
-        .hint("merge").join(side(fps, "fp", "ha", "fa"), ["campo", "ha"])
-        .hint("merge").join(side(fps, "fp", "hb", "fb"), ["campo", "hb"])
-        .where(differing("fa", "fb") <= F.length("fa") * hamming_share)
-        .select("campo", "ha", "hb")
-        .hint("merge").join(side(one, "rep", "ha", "a"), ["campo", "ha"])
-        .hint("merge").join(side(one, "rep", "hb", "b"), ["campo", "hb"])
+        reduce(DataFrame.unionByName, found).distinct()
+        .hint("merge").join(rep("ha", "a"), ["campo", "ha"])
+        .hint("merge").join(rep("hb", "b"), ["campo", "hb"])
         .where("a != b"),
         free=True,
     )
-    for table in (sketch, *live):
+    for table in (sketch, *found):
         drop_cut(table)
     whole = texts.select("campo", F.col("id").cast("long").alias("id"), "text").where(F.col("text").isNotNull())
     ends = near.select("campo", F.explode(F.array("a", "b")).alias("id"))
