@@ -64,6 +64,15 @@ def test_index_against_brute_force(spark, small, options):
     assert lexicon == {w: (len(us), sum(len(x) for p in us.values() for x in p.values())) for w, us in want.items()}
 
 
+def test_a_built_index_is_planned_from_tables(spark):
+    """The plans of an index's tables do not hold those that they are made from."""
+    index = ix.build(projects(spark, SEVEN), IndexConfig())
+    for table in (index.units, index.postings, index.positions, index.lexicon):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" not in plan and "Generate" not in plan and len(plan) < 2000
+    index.release()
+
+
 def test_ranking_behaviour(spark):
     index = ix.build(projects(spark, SEVEN), IndexConfig())
     queries = spark.createDataFrame([(1, "python"), (2, "inexistentexyz"), (3, ""), (4, "common python")], "qid int, text string")

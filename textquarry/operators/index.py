@@ -8,13 +8,12 @@ import uuid
 import zlib
 from dataclasses import asdict, dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from textquarry.functions.lexical import Analyzer
 from textquarry.functions.stemmer import stem_vocabulary
 from textquarry.operators.fields import IndexConfig, analyzed, field_view, metadata, unit_numbers, units
-from textquarry.session import ensure_checkpoint_dir, path_of, spread
+from textquarry.session import cut, drop_cut, ensure_checkpoint_dir, freed_shuffles, path_of, spread
 
 
 def bucket_of(term: Column, partitions: int) -> Column:
@@ -52,23 +51,24 @@ class Index:
     kept: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
-        """Give back what ``build`` keeps in memory and on disk."""
+        """Give back what ``build`` keeps on disk."""
         for df in self.kept:
-            df.unpersist()
+            drop_cut(df)
 
 
 def build(projects: DataFrame, config: IndexConfig, analysis: DataFrame | None = None) -> Index:
     """The index of a table of projects, from their written ``analysis`` if
     there is one."""
     config.validate()
-    # kept, as lengths, postings and positions each read them; lost partitions
-    # are computed again from the projects
-    made = analyzed(spread(field_view(projects)), config.analyzer) if analysis is None else analysis
-    rows = units(made, config).persist(StorageLevel.MEMORY_AND_DISK)
+    # cut, as lengths, postings and positions each read them: the plans of the
+    # later tables would hold those of the earlier ones, the stemmer's among
+    # them, and the driver all of them
+    made = cut(analyzed(spread(field_view(projects)), config.analyzer), free=True) if analysis is None else analysis
+    rows = units(made, config)
     n = len(config.fields)
     lengths = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda f: F.aggregate(F.filter("segments", lambda s: s["field"] == f), F.lit(0), lambda a, s: a + F.size(s["terms"])))
     sized = rows.withColumn("len", lengths).select("doc_id", "unit_no", "kind", "len")
-    numbered = unit_numbers(rows).join(sized, ["doc_id", "unit_no"])
+    numbered = cut(unit_numbers(rows).join(sized, ["doc_id", "unit_no"]), free=True)
     occ = occurrences(rows)
     # one row a distinct token of a unit's field before anything is joined
     packed = occ.groupBy("token", "doc_id", "unit_no", "field").agg(F.count("*").cast("int").alias("tf"), *([F.collect_list("pos").alias("pos")] if config.positions else []))
@@ -77,12 +77,13 @@ def build(projects: DataFrame, config: IndexConfig, analysis: DataFrame | None =
     else:
         packed = packed.withColumnRenamed("token", "term")
     packed = packed.join(numbered.select("doc_id", "unit_no", "unit_id"), ["doc_id", "unit_no"])
+    packed = cut(packed.select("term", "unit_id", "field", "tf", *(["pos"] if config.positions else [])), free=True)
     tf = F.array(*[F.sum(F.when(F.col("field") == i, F.col("tf")).otherwise(0)).cast("int") for i in range(n)])
-    postings = packed.groupBy("term", "unit_id").agg(tf.alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
+    postings = cut(packed.groupBy("term", "unit_id").agg(tf.alias("tf")), free=True)
     positions = packed.groupBy("term", "unit_id", "field").agg(F.sort_array(F.flatten(F.collect_list("pos"))).alias("pos")) if config.positions else None
     total = F.aggregate("tf", F.lit(0), lambda a, x: a + x)
     lexicon = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(total).alias("cf"))
-    return Index(config, numbered, postings, positions, lexicon, metadata(projects), (rows, postings))
+    return Index(config, numbered, postings, positions, lexicon, metadata(projects), (numbered, packed, postings, *([made] if analysis is None else [])))
 
 
 def field_mask(tf: Column) -> Column:
@@ -153,7 +154,8 @@ def write(index: Index, path: str) -> None:
         keyed = df.withColumn("bucket", bucket_of(F.col("term"), p))
         listed = name != "lexicon"
         keyed = keyed.repartition("bucket", F.floor(F.col("unit_id") / BAND)) if listed else keyed.repartition("bucket")
-        keyed.sortWithinPartitions("bucket", "term", *(["unit_id"] if listed else [])).write.partitionBy("bucket").parquet(f"{new}/{name}")
+        with freed_shuffles(spark):
+            keyed.sortWithinPartitions("bucket", "term", *(["unit_id"] if listed else [])).write.partitionBy("bucket").parquet(f"{new}/{name}")
     index.units.write.parquet(f"{new}/units")
     index.documents.write.parquet(f"{new}/documents")
     config = spark.createDataFrame([(json.dumps(asdict(index.config)),)], "config string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Shuffle files of the queries inside are gone when each ends."""
+    before = spark.conf.get(FREE, None)
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
+
+
 def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Cut the lineage with a table written to the checkpoint folder.
 
@@ -57,14 +69,8 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     of the write are gone when it ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE, None)
-    try:
-        if free:
-            spark.conf.set(FREE, "true")
+    with freed_shuffles(spark) if free else nullcontext():
         df.write.parquet(path)
-    finally:
-        if free:
-            spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
     fs, at = path_of(spark, path)
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
